@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CUTOFF = 5  # counts above it are not discounted
-BLOCK = 2_000_000  # tokens of a block
-BUCKET = 2_000_000  # n-grams of a bucket, about
+BLOCK = 1_000_000  # tokens of a block: a worker holds about ten numbers for each
+BUCKET = 1_500_000  # n-grams of a bucket, about
 _END, _START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFA0C6A1B)
 _table = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 

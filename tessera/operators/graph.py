@@ -95,7 +95,8 @@ def merge(static: DataFrame, semantic: DataFrame) -> DataFrame:
     return semantic.unionByName(kept, allowMissingColumns=True).withColumn("confidence_rank", confidence_rank(F.col("confidence")))
 
 
-ORDER = ["confidence_rank", "source", F.coalesce("target", F.lit("")), "kind", "line"]
+def order() -> list[Column]:
+    return [F.col("confidence_rank"), F.col("source"), F.coalesce("target", F.lit("")), F.col("kind"), F.col("line")]
 
 
 def overlay_state(active: Column, current: Column) -> Column:
@@ -116,7 +117,7 @@ def relations(edges: DataFrame, ids: DataFrame, direction: str, kind: str | None
         edges = edges.where("target is not null")
     hit = edges.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi").withColumn("id", F.col(key))
     counts = hit.groupBy("id").agg(F.count("*").alias("total"))
-    first = shared.top(hit, ["id"], [F.col(c) if isinstance(c, str) else c for c in ORDER], limit)
+    first = shared.top(hit, ["id"], order(), limit)
     return first.join(counts, "id").withColumn("truncated", F.col("total") > limit)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,9 +121,6 @@ def creation_scores(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     Targets are a batch of few names; symbols stream past them.  The ratio is the matching-blocks one, which no
     built-in function has, so it runs in an Arrow batch function.
     """
-    import pandas as pd
-    from difflib import SequenceMatcher
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

@@ -6,7 +6,9 @@ grow, with the last token before that start.  A transition carries the number of
 to the count of the text read so far (it may be negative when a longer token replaces shorter ones), so a count
 is the sum along the path.  A chunk whose entry state is unknown is summarised as a map from entry states to
 (count, exit state): behind the first place where a blank follows a non-blank every entry state leads to the same
-state, so the map is (head, settled count, tail).  Maps compose associatively, in a balanced scan.
+state, so the map is (head, settled count, tail).  Maps compose associatively, in a balanced scan.  For the same
+reason a space and the word behind it lead from a settled place to the next one: such steps are kept as composite
+transitions, so that a frequent word is one step and not one for each character.
 
 Null and empty texts have 0 tokens.  Special strings inside a text count as one token each, as the library does.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +29,8 @@ from . import common
 
 CHUNK = 16_384  # characters of a chunk
 SPREAD = 65_536  # characters beyond which a text's chunks are dealt out to many tasks
-MAX_TRANSITIONS = 450_000  # of a worker's table; beyond it the lazily built table starts anew
+MAX_TRANSITIONS = 800_000  # of a worker's table (some 300 bytes each); beyond it the lazily built table starts anew
+MAX_WORDS = 600_000  # composite transitions of a worker's table, likewise
 _BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(x) for x in range(0x2000, 0x200B)}
 _SYNC = re.compile(r"\S(?=[ \n\t\r])")
 _machines: dict[str, "Transducer"] = {}
@@ -53,6 +57,15 @@ class _State(dict):
         return hit
 
 
+def _pack(live: list[tuple[int, int, int]]) -> bytes:
+    """Open starts (trie node, last token before, tokens before), oldest first."""
+    return array("q", [node << 40 | last + 1 << 20 | n + (1 << 19) for node, last, n in live]).tobytes()
+
+
+def _unpack(core: bytes) -> list[tuple[int, int, int]]:
+    return [(x >> 40, (x >> 20 & 0xFFFFF) - 1, (x & 0xFFFFF) - (1 << 19)) for x in array("q", core)]
+
+
 class ChunkMap(NamedTuple):
     """What a chunk does to any entry state; head is None-free, settled is -1 if no place settles the state."""
 
@@ -88,7 +101,6 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = k
-        self.fits: dict[tuple[int, int], bool] = {}
         self._kind: dict[str, str] = {}
         self._spec = path
         self._library = None
@@ -96,13 +108,15 @@ class Transducer:
 
     def _reset(self) -> None:
         self.made = 0
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, int] = {}  # tokens from a settled place over a space and this word
         self.states: dict = {}
-        self.steps: dict = {}
-        self.empty = ((0, -1, 0),)
-        self.start = self._state("", None, None)
+        self.firsts: dict[str, tuple[bytes, int]] = {}
+        self.empty = _pack([(0, -1, 0)])
+        self.start = self._state("", b"", "")
 
     def _state(self, mode, core, extra) -> _State:
-        key = (mode, core, extra)
+        key = f"{mode}\0{extra}".encode("utf-8", "surrogatepass") + core
         got = self.states.get(key)
         if got is None:
             got = self.states[key] = _State(self, mode, core, extra)
@@ -111,7 +125,7 @@ class Transducer:
     # which two neighbouring tokens can stand next to each other in an encoding
     def _adjacent(self, a: int, b: int) -> bool:
         """No merge across the seam would have come before the merges that made both tokens."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 20 | b)
         if known is None:
             left, right, bar = a, b, 1 << 60
             while True:
@@ -126,40 +140,39 @@ class Transducer:
                     bar, left = left, self.parts[left][1]
                 else:
                     bar, right = right + 1, self.parts[right][0]
-            self.fits[a, b] = known
+            self.fits[a << 20 | b] = known
         return known
 
-    def _byte(self, core, b: int):
-        """One byte of an open piece: the next core and what it adds to the count."""
-        grown, found = [], None
-        for node, last, n in core:
-            nxt = self.trie[node].get(b)
-            if nxt is None:
-                continue
-            token = self.token[nxt]
-            if found is None and token >= 0 and (last < 0 or self._adjacent(last, token)):
-                found = (token, n + 1)
-            if self.trie[nxt]:
-                grown.append((nxt, last, n))
-        token, n = found
-        return tuple((node, last, k - n) for node, last, k in grown) + ((0, token, 0),), n
-
-    def _step(self, core, ch: str):
-        got = self.steps.get((core, ch))
+    def _bytes(self, core: bytes, data: bytes) -> tuple[bytes, int]:
+        """Some bytes of an open piece: the next core and what they add to the count."""
+        live, added, trie, token_at = _unpack(core), 0, self.trie, self.token
+        for b in data:
+            grown, found = [], None
+            for node, last, n in live:
+                nxt = trie[node].get(b)
+                if nxt is None:
+                    continue
+                token = token_at[nxt]
+                if found is None and token >= 0 and (last < 0 or self._adjacent(last, token)):
+                    found = token, n + 1
+                if trie[nxt]:
+                    grown.append((nxt, last, n))
+            token, total = found
+            live = [(node, last, n - total) for node, last, n in grown]
+            live.append((0, token, 0))
+            added += total
+        return _pack(live), added
+
+    def _step(self, core: bytes, ch: str) -> tuple[bytes, int]:
+        if core is not self.empty:
+            return self._bytes(core, ch.encode("utf-8", "surrogatepass"))
+        got = self.firsts.get(ch)
         if got is None:
-            now, added = core, 0
-            for b in ch.encode("utf-8", "surrogatepass"):
-                now, n = self._byte(now, b)
-                added += n
-            got = self.steps[core, ch] = (now, added)
+            got = self.firsts[ch] = self._bytes(core, ch.encode("utf-8", "surrogatepass"))
         return got
 
-    def _run(self, text: str):
-        core, total = self.empty, 0
-        for ch in text:
-            core, n = self._step(core, ch)
-            total += n
-        return core, total
+    def _run(self, text: str) -> tuple[bytes, int]:
+        return self._bytes(self.empty, text.encode("utf-8", "surrogatepass"))
 
     def kind(self, ch: str) -> str:
         """L letter, N number, W blank, P anything else, as the library's own pre-tokenizer sees it."""
@@ -184,7 +197,7 @@ class Transducer:
         core, n = self._step(self.empty, ch)
         if kind == "W":
             return self._state("W", self.empty, ch), n
-        return self._state("'" if ch == "'" else kind, core, None), n
+        return self._state("'" if ch == "'" else kind, core, ""), n
 
     def _compile(self, at: _State, ch: str):
         mode, core = at.mode, at.core
@@ -197,7 +210,7 @@ class Transducer:
                 return self._state("W", before, ch), self._step(before, ch)[1]
             if at.extra == " ":
                 piece, n = self._run(" " + ch)
-                return self._state(kind, piece, None), n - n_last
+                return self._state(kind, piece, ""), n - n_last
             nxt, n = self._open(ch)
             return nxt, n + self._step(self.empty, at.extra)[1] - n_last
         if mode == "'":
@@ -205,7 +218,7 @@ class Transducer:
                 return self.start, self._run("'" + ch)[1] - self._run("'")[1]
             if ch in "rvl":
                 piece, n = self._step(self.empty, ch)
-                return self._state("'" + ch, piece, None), n
+                return self._state("'" + ch, piece, ""), n
             mode = "P"
         if mode in ("'r", "'v", "'l"):
             if ch == ("l" if mode == "'l" else "e"):
@@ -213,19 +226,44 @@ class Transducer:
             mode = "L"
         if kind == mode:
             piece, n = self._step(core, ch)
-            return self._state(mode, piece, None), n
+            return self._state(mode, piece, ""), n
         return self._open(ch)
 
-    def count(self, text: str) -> int:
-        """Tokens of a text without special strings that starts and ends at certain piece boundaries."""
-        if self.made > MAX_TRANSITIONS:
-            self._reset()
+    def _walk(self, text: str) -> int:
         state, total = self.start, 0
         for ch in text:
             state, n = state[ch]
             total += n
         return total
 
+    def count(self, text: str) -> int:
+        """Tokens of a text without special strings that starts and ends at certain piece boundaries."""
+        if self.made > MAX_TRANSITIONS:
+            self._reset()
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        known, total = self.words, 0
+        words = text.split(" ")
+        open_run = words[0]  # blanks not yet behind a word, or a text's first word
+        if open_run and not open_run[-1].isspace():
+            total, open_run = self._walk(open_run), None
+        for w in words[1:]:
+            if open_run is None:
+                n = known.get(w)
+                if n is not None:
+                    total += n
+                elif w and not w[-1].isspace():
+                    n = known[w] = self._walk(" " + w)
+                    total += n
+                else:
+                    open_run = " " + w
+            else:
+                open_run += " " + w
+                if w and not w[-1].isspace():
+                    total += self._walk(open_run)
+                    open_run = None
+        return total if open_run is None else total + self._walk(open_run)
+
     def chunk(self, text: str) -> ChunkMap:
         first = _SYNC.search(text)
         if first is None:

@@ -135,7 +135,7 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vs = [np.asarray(x, np.float64) for x in b.column(2).to_pylist()]
-            keys: list[list[int]] = [[len(x)] for x in vs]  # another length: a leaf of its own
+            keys: list[list[int]] = [[1 << 60 | len(x)] for x in vs]  # another length than the trees': a leaf of its own
             at = [i for i, x in enumerate(vs) if len(x) == dim and forest]
             if at:
                 with np.errstate(over="ignore"):

@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a text: densities of two lexicons (a fixed list of insults and one learned from the training labels),
-nearness of lexicon words to second-person words, share of capitals, punctuation and obfuscation rates.  Trees and
-calibration are fitted on the driver from feature rows of at most ``sample`` labelled documents, the ones with the
-smallest hash of their id; every document is then scored by its whole text in one pass.
+Features of a text: densities of two lexicons (a fixed list of insults, and words and word stems learned from the
+training labels), nearness of lexicon words to second-person words, share of capitals, punctuation and obfuscation
+rates.  Everything is fitted from at most ``sample`` labelled documents, the ones with the smallest hash of their
+id and of equal texts one: four tenths give the learned lexicon, four the trees, two the calibration, so that none
+sees what it was selected on.  Every document is then scored by its whole text in one pass.
 
 Null and empty texts get features of 0 and the score those lead to.  Without labels, or with one class only, every
 score is the share of label 1 (0 without labels).  A document labelled twice counts with its highest label.
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE = 20_000  # labelled documents that a model is fitted on, at most
-LEXICON = 400  # words of the learned lexicon, at most
-MIN_DOCS = 12  # training documents of label 1 in which a learned word stands, at least
-MIN_RATIO = 8.0  # how much more frequent it is under label 1 than under label 0
+LEXICON = 400  # entries of the learned lexicon, at most
+STEMS = range(4, 9)  # characters of a stem; whole words count as well
+MIN_DOCS = 8  # documents of label 1 in which an entry stands, at least
+MIN_RATIO = 6.0  # how much more frequent it is under label 1 than under label 0
 THRESHOLD = 0.3
 
 # Insults and second-person words of the four languages.
@@ -44,13 +46,34 @@ _SPACED = re.compile(rb"(?:\b[A-Za-z][.\-_ ]){3,}[A-Za-z]\b")
 # Characters that stand for letters in obfuscated words.
 _PLAIN = bytes.maketrans(b"@431$50!7", b"aaeissoit")
 _NEAR = 4  # words
-FEATURES = ("fixed_density", "fixed_count", "learned_density", "learned_count", "learned_kinds", "near_second", "second_density", "capitals", "marks", "exclaims", "digits", "masked_rate", "masked_hits", "mean_word", "log_words")
+FEATURES = ("fixed_density", "fixed_count", "learned_density", "learned_count", "learned_kinds", "learned_weight", "near_second", "second_density", "capitals", "marks", "exclaims", "digits", "masked_rate", "masked_hits", "mean_word", "log_words")
 
 
 class Lexicons(NamedTuple):
     fixed: frozenset[bytes]
     second: frozenset[bytes]
-    learned: frozenset[bytes]
+    learned: dict[bytes, float]  # with their weights
+
+
+_known: list = [None, {}]  # the learned lexicon that the words were looked up in, and the weights found
+
+
+def entries(word: str) -> set[str]:
+    """A word's stems, and the word itself."""
+    return {word[:k] for k in STEMS if len(word) > k} | {"=" + word}
+
+
+def weights(words: list[bytes], learned: dict[bytes, float]) -> list[float]:
+    """The weight of each word: its heaviest entry, 0 without one."""
+    if _known[0] is not learned or len(_known[1]) > 400_000:
+        _known[:] = [learned, {}]
+    memo, out = _known[1], []
+    for w in words:
+        x = memo.get(w)
+        if x is None:
+            x = memo[w] = max((learned.get(e.encode(), 0.0) for e in entries(w.decode("utf-8", "replace"))), default=0.0) if learned else 0.0
+        out.append(x)
+    return out
 
 
 def features(text: str | None, lex: Lexicons) -> list[float]:
@@ -58,7 +81,8 @@ def features(text: str | None, lex: Lexicons) -> list[float]:
     words = [w for w in raw.translate(_WORD).split(b" ") if w]
     n, size = max(1, len(words)), max(1, len(raw))
     hit = [i for i, w in enumerate(words) if w in lex.fixed]
-    own = [w for w in words if w in lex.learned]
+    weight = weights(words, lex.learned)
+    own = [w for w, x in zip(words, weight, strict=True) if x]
     you = [i for i, w in enumerate(words) if w in lex.second]
     spots = set(you)
     near = sum(any(j in spots for j in range(i - _NEAR, i + _NEAR + 1)) for i in hit)
@@ -67,7 +91,7 @@ def features(text: str | None, lex: Lexicons) -> list[float]:
     less = lambda drop: size - len(raw.translate(None, drop)) if raw else 0
     letters = less(_LETTERS)
     return [
-        len(hit) / n, math.log1p(len(hit)), len(own) / n, math.log1p(len(own)), math.log1p(len(set(own))), near / n, len(you) / n,
+        len(hit) / n, math.log1p(len(hit)), len(own) / n, math.log1p(len(own)), math.log1p(len(set(own))), sum(weight) / n, near / n, len(you) / n,
         less(_CAPITALS) / max(1, letters), less(_MARKS) / size, less(_EXCLAIM) / size, less(_DIGITS) / size,
         len(masked) / n, float(unmasked), sum(map(len, words)) / n, math.log1p(len(words)),
     ]
@@ -166,25 +190,42 @@ def learn(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
     )
     chosen = common.written(chosen, "toxic-sample")
     # at most `sample` rows of two numbers: bounded whatever the input, so it may be broadcast
-    rows = common.written(docs.select(F.col(id_col).alias("id"), common.whole(text_col).alias("t")).join(F.broadcast(chosen), "id"), "toxic-texts")
-    # the last tenth calibrates and gives nothing to the lexicon or the trees
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(10))
-    word = F.explode(F.array_distinct(F.split(F.lower("t"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))
-    by_class = rows.where(fold < 8).select("y", word.alias("w")).where("w <> ''").groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    sums = rows.where(fold < 8).agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    texts = docs.select(F.col(id_col).alias("id"), common.whole(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    rows = common.written(texts.withColumn("h", F.sha2("t", 256)).dropDuplicates(["h"]), "toxic-texts")
+    fold = F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(10))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tf: dict[str, int] = {}
+                for w in t.encode("utf-8", "surrogatepass").translate(_WORD).split():
+                    for e in entries(w.decode("utf-8", "replace")):
+                        tf[e] = tf.get(e, 0) + 1
+                for e, n in tf.items():
+                    at = found.setdefault(e, [0, 0, 0])
+                    at[0] += y
+                    at[1 if y else 2] += n
+        cols = [pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3))]
+        for i in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in cols], ["w", "docs", "pos", "neg"])
+
+    common.bounded_batches(docs.sparkSession)
+    first = rows.where(fold < 4)
+    sums = first.select("y", F.size(F.split("t", common.WHITE)).alias("n")).agg(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.sum(F.when(F.col("y") == 0, F.col("n")))).first()
     n_pos, n_neg = (sums[0] or 0) + 1, (sums[1] or 0) + 1
+    counts = first.select("y", "t").mapInArrow(gather, "w string, docs long, pos long, neg long").groupBy("w").agg(F.sum("docs").alias("docs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = (F.col("pos") + 0.5) / n_pos / ((F.col("neg") + 0.5) / n_neg)
-    top = by_class.where(F.col("pos") >= MIN_DOCS).withColumn("r", ratio).where(F.col("r") >= MIN_RATIO).orderBy(F.desc("r"), "w").limit(lexicon)
-    lex = Lexicons(_bytes(INSULTS), _bytes(SECOND_PERSON), _bytes(r.w for r in top.collect()))
+    top = counts.withColumn("r", ratio).where((F.col("docs") >= MIN_DOCS) & (F.col("r") >= MIN_RATIO)).orderBy(F.desc(F.log("r") * F.sqrt("docs")), "w").limit(lexicon)
+    lex = Lexicons(_bytes(INSULTS), _bytes(SECOND_PERSON), {r.w.encode(): math.log(r.r) for r in top.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t, lex) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "fold", "x"])
 
-    common.bounded_batches(docs.sparkSession)
     # at most `sample` rows of len(FEATURES) numbers
-    got = rows.select("y", fold.alias("fold"), "t", "id").mapInArrow(run, "y int, fold long, x array<double>").toPandas()
+    got = rows.where(fold >= 4).select("y", fold.alias("fold"), "t").mapInArrow(run, "y int, fold long, x array<double>").toPandas()
     if not len(got) or got["y"].nunique() < 2:
         p = float(got["y"].mean()) if len(got) else 0.0
         empty = np.zeros((0, 7))

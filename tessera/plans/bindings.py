@@ -130,7 +130,7 @@ hook AS (SELECT 'host' || (user_id % 4) AS host, CASE event_type WHEN 'purchase'
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Line items by supplier and status as paired runs: status F is the baseline, O the treatment."""
     li = table(spark, sf, "lineitem").where(F.col("l_linestatus").isin("F", "O"))
-    g = li.groupBy(F.col("l_suppkey").alias("k"), "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity")).cast("long").alias("q"), F.max("l_linenumber").alias("m"), F.min(F.col("l_shipdate").cast("long")).alias("d"))
+    g = li.groupBy(F.col("l_suppkey").alias("k"), "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity")).cast("long").alias("q"), F.max("l_linenumber").alias("m"))
     key = F.col("k").cast("string")
     return g.select(
         key.alias("task_id"), F.when(F.col("l_linestatus") == "F", "baseline").otherwise("treatment").alias("group"), F.lit("m").alias("model"), F.lit("r1").alias("revision"), F.lit(1).alias("run"),

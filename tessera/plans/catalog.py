@@ -1,7 +1,7 @@
 """All queries of the engine, by name, and their SQL."""
 
-from . import graph_queries, lookup_queries, pack_queries, search_queries, stats_queries
+from . import graph_queries, lookup_queries, pack_queries, search_queries, source_queries, stats_queries
 
-_MODULES = [lookup_queries, search_queries, graph_queries, pack_queries, stats_queries]
+_MODULES = [lookup_queries, search_queries, graph_queries, pack_queries, stats_queries, source_queries]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

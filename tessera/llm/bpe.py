@@ -90,7 +90,7 @@ def encode_table(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lambda b: common.trimmed(run(b)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held_out, size: int) ->
             yield flush()
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), common.whole(text_col).alias("t"), F.coalesce(held_out, F.lit(True)).alias("held"))
-    return base.mapInArrow(run, _PARTS)
+    return base.mapInArrow(lambda b: common.trimmed(run(b)), _PARTS)
 
 
 def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def send_counts(table: DataFrame, buckets: int) -> DataFrame:
                 uni, bi = block.counts()
                 yield _batch(_send(row["block"], UNI, block.hashes[block.key_order], uni.astype(np.int64), buckets) + _send(row["block"], BI, block.pair_keys, bi.astype(np.int64), buckets))
 
-    return table.mapInArrow(run, _PARTS)
+    return table.mapInArrow(lambda b: common.trimmed(run(b)), _PARTS)
 
 
 def _by_bucket(sent: DataFrame, parts: int) -> DataFrame:
@@ -232,7 +232,7 @@ def sum_counts(sent: DataFrame, parts: int, cutoff: int) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    return _by_bucket(sent, parts).mapInArrow(run, _PARTS)
+    return _by_bucket(sent, parts).mapInArrow(lambda b: common.trimmed(run(b)), _PARTS)
 
 
 def levels(replies: DataFrame, cutoff: int) -> tuple[Level, Level]:
@@ -315,7 +315,7 @@ def send_sums(met: DataFrame, low: Unigrams, high: Level, buckets: int) -> DataF
             pair = np.stack([kept[order], seen[order]], 1)
             yield _batch([(number, SUMS, k, pack_keys(keys[i:j]), pack(pair[i:j].T.copy().reshape(-1))) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i])
 
-    return met.mapInArrow(run, _PARTS)
+    return met.mapInArrow(lambda b: common.trimmed(run(b)), _PARTS)
 
 
 def sum_sums(sent: DataFrame, parts: int) -> DataFrame:
@@ -335,7 +335,7 @@ def sum_sums(sent: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    return _by_bucket(sent, parts).mapInArrow(run, _PARTS)
+    return _by_bucket(sent, parts).mapInArrow(lambda b: common.trimmed(run(b)), _PARTS)
 
 
 def bigram(c: Counted, low: Unigrams, high: Level) -> np.ndarray:
@@ -384,7 +384,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             ]
             yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = _together(table, counts, sums, parts=parts).mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = _together(table, counts, sums, parts=parts).mapInArrow(lambda b: common.trimmed(run(b)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 

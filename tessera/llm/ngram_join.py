@@ -31,10 +31,9 @@ RECALL = 0.9999  # of pairs at the threshold, in the forest
 SLACK = 0.15  # pairs whose sketches are further below the threshold than this are not similar
 BUCKET = 2048  # documents of a trie node that are compared in one task
 BLOCK = 512  # documents of a group that are verified in one task
-CACHED = 400_000  # word hashes a worker remembers
+CACHED = 200_000  # word hashes a task remembers
 
 _table = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
-_words: dict[bytes, int] = {}
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -45,17 +44,18 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, reca
     return 1
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """Hashes of a text's words; ``known`` remembers those of a task."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
-    if len(_words) > CACHED:
-        _words.clear()
+    if len(known) > CACHED:
+        known.clear()
     out = []
     for w in words:
-        h = _words.get(w)
+        h = known.get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
     return np.array(out, np.uint64)
 
@@ -92,10 +92,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int,
         import xxhash
 
         mult, mask = _multipliers(trees * depth)
+        known: dict[bytes, int] = {}
         for b in batches:
             cls, sk, keys = [], [], []
             for text in b.column(1).to_pylist():
-                h = word_hashes(text)
+                h = word_hashes(text, known)
                 if not len(h):
                     cls.append(None), sk.append(None), keys.append(None)
                     continue
@@ -105,7 +106,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int,
                 keys.append([xxhash.xxh3_64_intdigest(part.tobytes(), t) - (1 << 63) for t, part in enumerate(sig.reshape(trees, depth)[:, :length])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "sketch", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, cls binary, sketch binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(lambda b: common.trimmed(run(b)), "id long, cls binary, sketch binary, keys array<long>")
 
 
 def similar_stars(sk: np.ndarray, mine: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -219,21 +220,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
     order = ["key", "lo", "hi"]
-    stars = near.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(connect, "a long, b long").distinct()
+    stars = near.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(connect(b)), "a long, b long").distinct()
     groups = common.connected(stars)
     groups = common.written(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(reps.select("rep", "m"), "rep"), "ngram-groups")
     sizes = common.written(groups.groupBy("grp").agg(F.count("*").alias("__n")).where(F.col("__n") > block), "ngram-large")
     dealt = common.written(_blocks(groups, common.small(sizes), "grp", block), "ngram-dealt")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for b in batches:
-            made = [shingles(word_hashes(t)).tobytes() for t in b.column(1).to_pylist()]
+            made = [shingles(word_hashes(t, known)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["rep", "set"])
 
     wanted = groups.select("rep")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col))
     # groups few enough (checked) go to the readers, so texts of others move nowhere; beyond that texts are shuffled
-    chosen = texts.join(common.small(wanted, broadcast_rows), "rep", "left_semi").mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep"])
+    chosen = texts.join(common.small(wanted, broadcast_rows), "rep", "left_semi").mapInArrow(lambda b: common.trimmed(sets(b)), "rep long, set binary").dropDuplicates(["rep"])
     blocks = dealt.join(chosen, "rep").select("grp", "lo", "hi", "mine", "rep", "m", "set")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +246,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64()), pa.array(low, pa.int64())], ["rep", "links", "low"])
 
     order = ["grp", "lo", "hi"]
-    found = common.written(blocks.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(exact, "rep long, links long, low long"), "ngram-found")
+    found = common.written(blocks.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(exact(b)), "rep long, links long, low long"), "ngram-found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = common.connected(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     result = (

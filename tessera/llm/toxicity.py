@@ -30,6 +30,7 @@ STEMS = range(4, 9)  # characters of a stem; whole words count as well
 MIN_DOCS = 8  # documents of label 1 in which an entry stands, at least
 MIN_RATIO = 6.0  # how much more frequent it is under label 1 than under label 0
 THRESHOLD = 0.3
+CACHED = 200_000  # words that a task remembers, or entries that it gathers before it passes them on
 
 # Insults and second-person words of the four languages.
 INSULTS = """idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns dumb fool ugly
@@ -55,33 +56,30 @@ class Lexicons(NamedTuple):
     learned: dict[bytes, float]  # with their weights
 
 
-_known: list = [None, {}]  # the learned lexicon that the words were looked up in, and the weights found
-
-
 def entries(word: str) -> set[str]:
     """A word's stems, and the word itself."""
     return {word[:k] for k in STEMS if len(word) > k} | {"=" + word}
 
 
-def weights(words: list[bytes], learned: dict[bytes, float]) -> list[float]:
-    """The weight of each word: its heaviest entry, 0 without one."""
-    if _known[0] is not learned or len(_known[1]) > 400_000:
-        _known[:] = [learned, {}]
-    memo, out = _known[1], []
+def weights(words: list[bytes], learned: dict[bytes, float], known: dict[bytes, float]) -> list[float]:
+    """The weight of each word: its heaviest entry, 0 without one.  ``known`` remembers those of a task."""
+    if len(known) > CACHED:
+        known.clear()
+    out = []
     for w in words:
-        x = memo.get(w)
+        x = known.get(w)
         if x is None:
-            x = memo[w] = max((learned.get(e.encode(), 0.0) for e in entries(w.decode("utf-8", "replace"))), default=0.0) if learned else 0.0
+            x = known[w] = max((learned.get(e.encode(), 0.0) for e in entries(w.decode("utf-8", "replace"))), default=0.0) if learned else 0.0
         out.append(x)
     return out
 
 
-def features(text: str | None, lex: Lexicons) -> list[float]:
+def features(text: str | None, lex: Lexicons, known: dict[bytes, float] | None = None) -> list[float]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = [w for w in raw.translate(_WORD).split(b" ") if w]
     n, size = max(1, len(words)), max(1, len(raw))
     hit = [i for i, w in enumerate(words) if w in lex.fixed]
-    weight = weights(words, lex.learned)
+    weight = weights(words, lex.learned, {} if known is None else known)
     own = [w for w, x in zip(words, weight, strict=True) if x]
     you = [i for i, w in enumerate(words) if w in lex.second]
     spots = set(you)
@@ -190,10 +188,17 @@ def learn(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
     )
     chosen = common.written(chosen, "toxic-sample")
     # at most `sample` rows of two numbers: bounded whatever the input, so it may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), common.whole(text_col).alias("t")).join(F.broadcast(chosen), "id")
-    rows = common.written(texts.withColumn("h", F.sha2("t", 256)).dropDuplicates(["h"]), "toxic-texts")
+    texts = docs.select(F.col(id_col).alias("id"), common.whole(text_col).alias("t")).withColumn("h", F.sha2("t", 256))
+    firsts = texts.join(F.broadcast(chosen), "id").groupBy("h").agg(F.min(F.struct("id", "y")).alias("f")).select("h", "f.id", "f.y")
+    firsts = common.written(firsts, "toxic-firsts")
+    rows = common.written(texts.join(F.broadcast(firsts), ["id", "h"]), "toxic-texts")
     fold = F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(10))
 
+    def passed_on(found: dict[str, list[int]]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3))], ["w", "docs", "pos", "neg"])
+        found.clear()
+        return out
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
         for b in batches:
@@ -206,26 +211,27 @@ def learn(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
                     at = found.setdefault(e, [0, 0, 0])
                     at[0] += y
                     at[1 if y else 2] += n
-        cols = [pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3))]
-        for i in range(0, len(found), 100_000):
-            yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in cols], ["w", "docs", "pos", "neg"])
+                if len(found) > CACHED:
+                    yield passed_on(found)
+        yield passed_on(found)
 
     common.bounded_batches(docs.sparkSession)
     first = rows.where(fold < 4)
     sums = first.select("y", F.size(F.split("t", common.WHITE)).alias("n")).agg(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.sum(F.when(F.col("y") == 0, F.col("n")))).first()
     n_pos, n_neg = (sums[0] or 0) + 1, (sums[1] or 0) + 1
-    counts = first.select("y", "t").mapInArrow(gather, "w string, docs long, pos long, neg long").groupBy("w").agg(F.sum("docs").alias("docs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = first.select("y", "t").mapInArrow(lambda b: common.trimmed(gather(b)), "w string, docs long, pos long, neg long").groupBy("w").agg(F.sum("docs").alias("docs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = (F.col("pos") + 0.5) / n_pos / ((F.col("neg") + 0.5) / n_neg)
     top = counts.withColumn("r", ratio).where((F.col("docs") >= MIN_DOCS) & (F.col("r") >= MIN_RATIO)).orderBy(F.desc(F.log("r") * F.sqrt("docs")), "w").limit(lexicon)
     lex = Lexicons(_bytes(INSULTS), _bytes(SECOND_PERSON), {r.w.encode(): math.log(r.r) for r in top.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
         for b in batches:
-            x = [features(t, lex) for t in b.column(2).to_pylist()]
+            x = [features(t, lex, known) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "fold", "x"])
 
     # at most `sample` rows of len(FEATURES) numbers
-    got = rows.where(fold >= 4).select("y", fold.alias("fold"), "t").mapInArrow(run, "y int, fold long, x array<double>").toPandas()
+    got = rows.where(fold >= 4).select("y", fold.alias("fold"), "t").mapInArrow(lambda b: common.trimmed(run(b)), "y int, fold long, x array<double>").toPandas()
     if not len(got) or got["y"].nunique() < 2:
         p = float(got["y"].mean()) if len(got) else 0.0
         empty = np.zeros((0, 7))
@@ -248,16 +254,17 @@ def score(docs: DataFrame, model: tuple[Lexicons, Forest], id_col: str = "doc_id
     cols = [id_col, *(c for c in keep if c != id_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            x = np.array([features(t, lex) for t in texts]) if texts else np.zeros((0, len(FEATURES)))
+            x = np.array([features(t, lex, known) for t in texts]) if texts else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forest.score(x), pa.float64())], [*b.schema.names[:-1], "tox_score"])
 
     chosen = docs.select(*cols, F.col(text_col).alias("__scored_text"))
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*chosen.schema.fields[:-1], StructField("tox_score", DoubleType())])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(lambda b: common.trimmed(run(b)), schema)
 
 
 def training_rows(id_col: str = "doc_id"):

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op9_hilbert_sharding": sharding.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -94,3 +94,38 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_rows() -> list[int]:
+    """The table of the reflected polynomial EDB88320, by its rule."""
+    out = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        out.append(b)
+    return out
+
+
+def _crc_sql(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST(('0x' || h) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {octets}), lambda a, b: xor(a >> 8, crc_rows[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+def _named_sql(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN 0 ELSE {_crc_sql(column)} % 15 + 1 END"
+
+
+ORACLE = f"""
+WITH c AS (SELECT {_crc_rows()}::BIGINT[] AS crc_rows, {curve_table()}::INTEGER[] AS curve_rows),
+l AS (SELECT lang, {_named_sql('lang')} AS step FROM (SELECT DISTINCT lang FROM documents), c),
+s AS (SELECT source, {_named_sql('source')} AS step FROM (SELECT DISTINCT source FROM documents), c),
+d AS (SELECT doc_id, lang, source, coalesce(octet_length(encode(text)), 0) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, c),
+p AS (SELECT d.doc_id, d.size, d.text_crc32, curve_rows[l.step * 256 + least(15, greatest(0, length(bin(d.size)) - 5)) * 16 + s.step + 1] AS curve
+  FROM d JOIN l ON d.lang IS NOT DISTINCT FROM l.lang JOIN s ON d.source IS NOT DISTINCT FROM s.source, c),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size, text_crc32) - 1 AS k, count(*) OVER () AS n FROM p),
+b AS (SELECT *, n // {SHARDS} AS base, n % {SHARDS} AS extra FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law,
+  CAST(CASE WHEN k < extra * (base + 1) THEN k // (base + 1) ELSE extra + (k - extra * (base + 1)) // greatest(base, 1) END AS INTEGER) AS shard,
+  CASE WHEN k < extra * (base + 1) THEN k % (base + 1) ELSE (k - extra * (base + 1)) % greatest(base, 1) END AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM b
+"""

@@ -7,7 +7,7 @@ double precision, within leaves of one label.  A pair found in several leaves co
 leaves return a number of links per vector and a star of links per local component, never all pairs.  Large leaves
 are cut into blocks and compared block by block.  Equal vectors are one class and are compared once.
 
-Null labels, null, empty or zero vectors and those with null or non-finite components link with nothing.  Rows that
+Null ids or labels, null, empty or zero vectors and those with null or non-finite components link with nothing.  Rows that
 repeat a vec_id each give a row.  An empty table gives an empty result; other columns are ignored.
 """
 

@@ -8,7 +8,7 @@ similar at all are connected; each connected group is then verified exactly, blo
 counts per document and a star of links per block, never all pairs.
 
 Documents with equal words are one class and are compared once.  Null, empty and blank texts have no shingles and
-link with nothing.  Ids must not be null.  Rows that repeat an id with equal text are one document in the links; with
+link with nothing, and so do rows with a null id.  Rows that repeat an id with equal text are one document in the links; with
 another text they share one class.  An empty table gives an empty result; other columns are ignored.
 """
 

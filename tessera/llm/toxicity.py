@@ -250,21 +250,22 @@ def learn(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
 def score(docs: DataFrame, model: tuple[Lexicons, Forest], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``tox_score`` for every row; scored where the texts are read."""
     common.bounded_batches(docs.sparkSession)
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
     lex, forest = model
-    cols = [id_col, *(c for c in keep if c != id_col)]
+    cols = [id_col, *(c for c in keep if c not in (id_col, text_col))]
+    chosen = docs.select(*cols, text_col)
+    out = chosen if text_col in keep or text_col == id_col else docs.select(*cols)
+    width = len(out.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             x = np.array([features(t, lex, known) for t in texts]) if texts else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forest.score(x), pa.float64())], [*b.schema.names[:-1], "tox_score"])
-
-    chosen = docs.select(*cols, F.col(text_col).alias("__scored_text"))
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(forest.score(x), pa.float64())], [*b.schema.names[:width], "tox_score"])
 
-    schema = StructType([*chosen.schema.fields[:-1], StructField("tox_score", DoubleType())])
-    return chosen.mapInArrow(lambda b: common.trimmed(run(b)), schema)
+    return chosen.mapInArrow(lambda b: common.trimmed(run(b)), StructType([*out.schema.fields, StructField("tox_score", DoubleType())]))
 
 
 def training_rows(id_col: str = "doc_id"):

@@ -40,6 +40,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         alive = keyed.select("id", "len", "pre", full).join(groups, ["len", "pre"], "left_semi").select("id", "full")
     alive = common.written(alive, "dedup-alive")
     classes = alive.groupBy("full").agg(F.count("*").alias("size"), F.min("id").alias("keep")).where("size > 1")
+    # a table of its own, so that both sides of the join have plain exchanges, which adaptive execution can split
+    classes = common.small(common.written(classes, "dedup-classes"), broadcast_rows)
     return alive.join(classes, "full").select("id", "full", "size", "keep")
 
 

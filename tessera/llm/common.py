@@ -87,8 +87,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``edges`` has two long columns.  Returns ``node, component`` (smallest node reachable) for every node of
-    an edge.  Each step is two joins on node ids whose build side is an aggregate, so a hub's links are
-    pre-aggregated and its rows can be split by adaptive execution.  The edge table is written each round.
+    an edge.  Each step is two joins on node ids with an aggregate, so a hub's links are pre-aggregated; the
+    aggregate is dealt anew before its join, so that both sides have plain exchanges and adaptive execution can
+    split a hub's rows.  The edge table is written each round.
     """
     def tidy(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -97,11 +98,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")).repartition("m")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = tidy(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low.repartition("m"), "u")
         nxt = tidy(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
         now = written(nxt, "links")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of a narrow table (a few dozen bytes each) up to which it may be broadcast: about 16 MB.
 BROADCAST_ROWS = 200_000
 WHITE = r"[\x20\x09-\x0D]+"
@@ -45,7 +47,9 @@ def release(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: one holds 500 texts or 16 MB, so very long texts cannot fill a worker."""
+    """Keep Arrow batches small: one holds 500 texts or 16 MB, so very long texts cannot fill a worker.  The workers get
+    this package as well."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -47,11 +47,12 @@ def release(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: one holds 500 texts or 16 MB, so very long texts cannot fill a worker.  The workers get
-    this package as well."""
+    """Keep batches of texts small: readers decode 256 rows at a time, and an Arrow batch holds 256 rows or 4 MB, so very
+    long texts fill neither an executor's heap nor a worker.  The workers get this package as well."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -98,7 +99,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def tidy(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    now = written(tidy(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
+    # a row is two numbers: an eighth of the tasks writes as well, and leaves an eighth of the files
+    files = max(1, partitions(edges.sparkSession) // 8)
+    now = written(tidy(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))).coalesce(files), "links")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -108,7 +111,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low.repartition("m"), "u")
         nxt = tidy(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
-        now = written(nxt, "links")
+        now = written(nxt.coalesce(files), "links")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == (state.n, state.h):
             break

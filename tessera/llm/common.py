@@ -105,11 +105,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")).repartition("m")
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")).repartition(F.xxhash64("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = tidy(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low.repartition("m"), "u")
+        joined = large.join(low.repartition(F.xxhash64("u", "m")), "u")
         nxt = tidy(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
         now = written(nxt.coalesce(files), "links")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

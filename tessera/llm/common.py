@@ -37,6 +37,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(table: DataFrame) -> DataFrame:
+    """A written table, after the driver has let go of what led to it: Spark deletes shuffle files only when the
+    driver's garbage is collected, which on its own may be after the disk is full."""
+    import gc
+
+    gc.collect()
+    table.sparkSession._jvm.System.gc()
+    return table
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; only once every result that reads them is stored."""
     app = spark.sparkContext.applicationId

@@ -361,13 +361,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     table = common.written(blocks(docs, id_col, text_col, held_out, block), "lm-blocks")
     tokens = table.select(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x + 1))).first()[0] or 0
     parts = max(common.partitions(spark), -(-tokens // bucket))
-    replies = common.written(sum_counts(send_counts(table, parts), parts, cutoff), "lm-counts")
+    replies = common.swept(common.written(sum_counts(send_counts(table, parts), parts, cutoff), "lm-counts"))
     one, two = levels(replies, cutoff)
     # at most one row of `cutoff` numbers a bucket
     coc = np.sum([unpack(bytes(r.b), np.int64) for r in replies.where((F.col("kind") == STATS) & (F.col("bucket") == UNI)).select("b").collect()] or [np.zeros(cutoff + 4, np.int64)], axis=0)[2:]
     low = Unigrams(one, [int(x) for x in coc])
     counts = replies.where(F.col("kind") != STATS)
-    sums = common.written(sum_sums(send_sums(_together(table, counts, parts=parts), low, two, parts), parts), "lm-sums")
+    sums = common.swept(common.written(sum_sums(send_sums(_together(table, counts, parts=parts), low, two, parts), parts), "lm-sums"))
     n_all, types = one.tokens, one.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

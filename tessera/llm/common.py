@@ -14,6 +14,7 @@ from ..shipping import ship
 BROADCAST_ROWS = 200_000
 WHITE = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[str, str]] = []
 _own_dir: list[str] = []
 
@@ -29,24 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and outlives executors."""
+    """Write a table to the shared folder and read it back: cuts lineage and outlives executors.
+
+    What was shuffled for it goes with the end of the write; on its own, Spark keeps such files until the driver's
+    garbage is collected, which may be after the disks are full.  ``df`` is not to be used again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def swept(table: DataFrame) -> DataFrame:
-    """A written table, after the driver has let go of what led to it: Spark deletes shuffle files only when the
-    driver's garbage is collected, which on its own may be after the disk is full."""
-    import gc
-
-    gc.collect()
-    table.sparkSession._jvm.System.gc()
-    return table
-
-
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; only once every result that reads them is stored."""
     app = spark.sparkContext.applicationId

@@ -47,7 +47,9 @@ OBLIGATION = {
 }
 TAG = "spdx license identifier"
 UNKNOWN = 0.6
-_TAG = re.compile(r"spdx[^0-9a-z]+license[^0-9a-z]+identifier[^0-9a-z(\n]*([^\n\r]*)", re.I | re.A)
+_W = r"0-9a-z\x80-\U0010ffff"  # characters of words
+_TAG = re.compile(rf"(?<![{_W}])spdx[^{_W}]+license[^{_W}]+identifier(?![{_W}])[^0-9a-z(\n]*", re.I | re.A)
+_END = re.compile(r"[\n\r]")
 _TERM = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 _table = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -125,6 +127,14 @@ def _automaton():
     return _made[0]
 
 
+def _expressions(text: str) -> Iterator[str]:
+    """What stands behind each identifier tag, up to the next tag or the end of its line."""
+    tags = list(_TAG.finditer(text))
+    for tag, following in zip(tags, [*(t.start() for t in tags[1:]), len(text)]):
+        stop = _END.search(text, tag.end(), following)
+        yield text[tag.end() : stop.start() if stop else following]
+
+
 def scan_text(text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one whole text."""
     found = [w for w in words(text or "") if w]
@@ -142,8 +152,8 @@ def scan_text(text: str | None) -> tuple:
             n_base += 1
             at = line.count(" ", 0, end - len(phrase) - 1)
             first, last = at if first is None else min(first, at), at if last is None else max(last, at)
-    for match in _TAG.finditer(text) if tagged else ():
-        value, own = parse(match[1]) or (UNKNOWN, frozenset(["unknown"]))
+    for expression in _expressions(text) if tagged else ():
+        value, own = parse(expression) or (UNKNOWN, frozenset(["unknown"]))
         labels |= own
         score = max(score, value)
     return len(found), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score

@@ -75,6 +75,13 @@ def test_license_scan(spark):
     assert license_scan.scan(data.documents(spark, [])).count() == 0
 
 
+def test_every_tag_of_a_line_counts(spark):
+    tag = "SPDX-License-Identifier:"
+    texts = [f"{tag} MIT here. Later {tag} AGPL-3.0-only", f"{tag} MIT OR {tag} (ISC)", f"a {tag} MIT b " * 3000 + f"{tag} GPL-2.0-only", f"{tag} {tag} MIT", f"{tag} MIT, spdx license identifiers: GPL-2.0, xspdx license identifier GPL-2.0", f"{tag} MIT\r{tag} 0BSD\n"]
+    got = data.rows(license_scan.scan(data.documents(spark, list(enumerate(texts)))), "doc_id", "labels", "score")
+    assert got == [(0, "agpl,mit", 0.8), (1, "isc,mit", 0.2), (2, "gpl,mit", 0.7), (3, "mit,unknown", 0.6), (4, "mit", 0.2), (5, "bsd,mit", 0.2)]
+
+
 def test_license_precedence():
     assert license_scan.parse("MIT OR GPL-3.0 AND AGPL-3.0")[0] == 0.2
     assert license_scan.parse("(MIT OR GPL-3.0) AND AGPL-3.0")[0] == 0.8

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import pack
+from ..operators import lookup, pack
 from . import bindings as b
 
 
@@ -202,8 +202,7 @@ THEN 'full-file-cost-bypass' ELSE 'symbol-pack' END AS delivery FROM it"""
 def prepare_target(spark, sf):
     p = b.parts(spark, sf)
     q = p.where("p_partkey % 10 = 0").select(F.when(F.col("p_partkey") % 20 == 0, F.col("qualname")).otherwise(F.col("name")).alias("query")).distinct()
-    found = q.join(F.broadcast(p.select("id", "name")), F.lower("id").contains(F.lower("query"))) if p.count() <= 200_000 else q.join(p.select("id", "name"), F.lower("name") == F.lower("query"))
-    return pack.resolve_query(found)
+    return pack.resolve_query(lookup.find_all(q, p))
 
 
 PREPARE = f"""WITH {b.PARTS}, q AS (SELECT DISTINCT CASE WHEN p_partkey % 20 = 0 THEN qualname ELSE name END AS query FROM parts WHERE p_partkey % 10 = 0), f AS (SELECT query, id, name FROM q JOIN parts ON contains(lower(id), lower(query))),

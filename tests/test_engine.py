@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, incremental, pack, stats
-from tessera.plans import snapshot
+from tessera.operators import graph, incremental, lookup, pack, stats
+from tessera.plans import pack_queries, snapshot
 from tessera.plans.api import Engine
 from tessera.sources import python_parser, scan
 
@@ -200,3 +200,21 @@ def test_closure_is_a_fixed_point(spark):
 def test_unchanged_inventory_changes_nothing(spark):
     f = spark.createDataFrame([("a", "h", 1, 1), ("b", "h", 2, 1)], "path string, hash string, size long, mtime_ns long")
     assert {r.action for r in incremental.plan(f, f).collect()} == {"reused"} and not incremental.stale(f, f).first().stale
+
+
+def test_find_all_is_contains(spark):
+    ids = ["B::ring_bolt.1", "B::ring_bolt.12", "B::Ring.ring.ring", "b::ÉTÉ_ring", "x", "", "B::ring_bolt.1", None]
+    symbols = spark.createDataFrame([(i, "n") for i in ids], "id string, name string")
+    for queries in (["ring_bolt.1", "RING", "ring", "r", "été", "nowhere", "B::ring_bolt.12", None], ["ring_bolt.12", "ring_bolt.1"], ["", "x"], []):
+        found = lookup.find_all(spark.createDataFrame([(q,) for q in queries], "query string"), symbols)
+        want = [(q, i) for q in queries for i in ids if q is not None and i is not None and q.lower() in i.lower()]
+        assert sorted((r.query, r.id) for r in found.collect()) == sorted(want)
+
+
+def test_prepare_target_has_one_rule_at_every_size(spark, tmp_path):
+    n = 200_100
+    brand, name = F.lit("Brand").alias("p_brand"), F.concat(F.lit("ring "), (F.col("id") % 1000).cast("string")).alias("p_name")
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), brand, name, F.lit("t").alias("p_type"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.query: (r.id, r.ready) for r in pack_queries.prepare_target(spark, str(tmp_path)).where("query like '%.%'").collect()}
+    assert len(got) == n // 20
+    assert got["ring_20.100020"] == ("Brand::ring_20.100020", True) and got["ring_20.20"] == (None, False)

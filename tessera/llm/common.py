@@ -101,7 +101,7 @@ def whole(text: str) -> Column:
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
-    ``edges`` has two long columns.  Returns ``node, component`` (smallest node reachable) for every node of
+    ``edges`` has two columns of one orderable type.  Returns ``node, component`` (smallest node reachable) for every node of
     an edge.  Each step is two joins on node ids with an aggregate, so a hub's links are pre-aggregated; the
     aggregate is dealt anew before its join, so that both sides have plain exchanges and adaptive execution can
     split a hub's rows.  The edge table is written each round.

@@ -7,9 +7,10 @@ pairs at the threshold are met in some tree with the target recall.  Neighbours
 similar at all are connected; each connected group is then verified exactly, block by block, and returns link
 counts per document and a star of links per block, never all pairs.
 
-Documents with equal words are one class and are compared once.  Null, empty and blank texts have no shingles and
-link with nothing, and so do rows with a null id.  Rows that repeat an id with equal text are one document in the links; with
-another text they share one class.  An empty table gives an empty result; other columns are ignored.
+Documents with equal words are one class and are compared once; the digest of a class is its node in every step.
+Null, empty and blank texts have no shingles and link with nothing, and so do rows with a null id.  Rows that repeat an
+id with equal words are one document and get the same decision; with other words they are another document, with links
+and a class of its own.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,6 +61,14 @@ def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def class_digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(common.whole(text_col), 256))
+
+
 def shingles(h: np.ndarray, width: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words."""
     if not len(h):
@@ -87,7 +96,7 @@ def signature(s: np.ndarray, mult: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int, length: int) -> DataFrame:
-    """``id, cls, sketch, keys``: the class digest, one byte of each min-hash, and the prefix key in each tree."""
+    """``id, digest, cls, sketch, keys``: digests of text and class, one byte of each min-hash, the prefix key in each tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -101,12 +110,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int,
                     cls.append(None), sk.append(None), keys.append(None)
                     continue
                 sig = signature(shingles(h), mult, mask)
-                cls.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                cls.append(class_digest(h))
                 sk.append((sig & 255).astype(np.uint8).tobytes())
                 keys.append([xxhash.xxh3_64_intdigest(part.tobytes(), t) - (1 << 63) for t, part in enumerate(sig.reshape(trees, depth)[:, :length])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "cls", "sketch", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(lambda b: common.trimmed(run(b)), "id long, cls binary, sketch binary, keys array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), text_digest(text_col).alias("digest"))
+    return rows.mapInArrow(lambda b: common.trimmed(run(b)), "id long, digest binary, cls binary, sketch binary, keys array<long>")
 
 
 def similar_stars(sk: np.ndarray, mine: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +162,12 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def verify(rep: np.ndarray, m: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, lo: int, hi: int, threshold: float):
-    """Exact links of a group (or two of its blocks): rep, links to other classes' documents, smallest rep reached."""
+def verify(m: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, lo: int, hi: int, threshold: float):
+    """Exact links of a group (or two of its blocks): row, links to other classes' documents, first row reached."""
     left = np.flatnonzero(mine == lo)
     right = left if lo == hi else np.flatnonzero(mine == hi)
     if not len(left) or not len(right):
-        return rep[:0], m[:0], rep[:0]
+        return left[:0], m[:0], left[:0]
     inter = overlaps(sets, left, right)
     lens = np.array([len(s) for s in sets])
     union = lens[left][:, None] + lens[right][None, :] - inter
@@ -165,115 +175,132 @@ def verify(rep: np.ndarray, m: np.ndarray, sets: list[np.ndarray], mine: np.ndar
     a, b = left[a], right[b]
     keep = a < b if lo == hi else a != b
     a, b = a[keep], b[keep]
-    links = np.zeros(len(rep), np.int64)
+    links = np.zeros(len(m), np.int64)
     np.add.at(links, a, m[b])
     np.add.at(links, b, m[a])
-    order = np.argsort(rep, kind="stable")
-    place = np.empty(len(rep), int)
-    place[order] = np.arange(len(rep))
-    low = local_components(len(rep), place[a], place[b])
+    low = local_components(len(m), a, b)
     at = np.unique(np.concatenate([a, b]))
-    return rep[at], links[at], rep[order][low[place[at]]]
+    return at, links[at], low[at]
 
 
 def _blocks(df: DataFrame, counts: DataFrame, by: str, size: int) -> DataFrame:
     """Cut the rows of large groups into blocks; a row meets every block of its group once, in task (lo, hi)."""
     n = F.coalesce(F.ceil(F.col("__n") / size), F.lit(1)).cast("int")
-    out = df.join(counts, by, "left").withColumn("__b", n).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("__b")).cast("int"))
+    out = df.join(counts, by, "left").withColumn("__b", n).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("__b")).cast("int"))
     out = out.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
     return out.withColumn("lo", F.least("mine", "__o")).withColumn("hi", F.greatest("mine", "__o")).drop("__n", "__b", "__o")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, slack: float = SLACK, bucket: int = BUCKET, block: int = BLOCK, broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
-    """``id, n_links, class_id`` for the documents that have a link; all others stand alone."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, slack: float = SLACK, bucket: int = BUCKET, block: int = BLOCK, broadcast_rows: int = common.BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``id, digest, cls`` of every row, and ``cls, n_links, class_id, first`` of the classes that have a link.
+
+    Of a group of linked classes, the smallest id (``class_id``) in the class ``first`` stays.
+    """
     spark = docs.sparkSession
     common.bounded_batches(spark)
     length = prefix_length(threshold, trees, depth, recall)
-    base = common.written(sketch(docs, id_col, text_col, trees, depth, length).where("cls is not null"), "ngram-sketch")
+    rows = common.written(sketch(docs, id_col, text_col, trees, depth, length), "ngram-sketch")
+    base = rows.where("cls is not null and id is not null")
     same = common.written(base.groupBy("cls").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("m")), "ngram-class")
-    # a repeated id with two texts would stand for two classes; it stands for its first
-    own = same.groupBy("rep").agg(F.min("cls").alias("cls"), F.max("m").alias("m"))
-    reps = common.written(base.join(own, "cls").where("id = rep").dropDuplicates(["rep"]).select("rep", "m", "sketch", "keys"), "ngram-rep")
+    reps = common.written(base.join(same, "cls").where("id = rep").dropDuplicates(["cls"]).select("cls", "rep", "m", "sketch", "keys"), "ngram-rep")
 
-    nodes = reps.select("rep", F.explode("keys").alias("key"))
+    nodes = reps.select("cls", F.explode("keys").alias("key"))
     counted = nodes.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1")
-    near = nodes.join(counted, "key").select("key", "rep", "__n")
+    near = nodes.join(counted, "key").select("key", "cls", "__n")
     n = F.ceil(F.col("__n") / bucket).cast("int")
-    near = near.withColumn("__b", n).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("__b")).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    near = near.select("key", F.least("mine", "__o").alias("lo"), F.greatest("mine", "__o").alias("hi"), "mine", "rep")
-    near = near.join(reps.select("rep", "sketch"), "rep").select("key", "lo", "hi", "mine", "rep", "sketch")
+    near = near.withColumn("__b", n).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("__b")).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    near = near.select("key", F.least("mine", "__o").alias("lo"), F.greatest("mine", "__o").alias("hi"), "mine", "cls")
+    near = near.join(reps.select("cls", "sketch"), "cls").select("key", "lo", "hi", "mine", "cls", "sketch")
     parts = common.partitions(spark)
 
+    def stars_of(a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(a), pa.concat_arrays(b)], ["a", "b"])
+
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for (_, lo, hi), cols in common.runs(batches, 3):
-            rep = cols[4].to_numpy()
-            sk = np.frombuffer(b"".join(cols[5].to_pylist()), np.uint8).reshape(len(rep), -1)
+            sk = np.frombuffer(b"".join(cols[5].to_pylist()), np.uint8).reshape(len(cols[5]), -1)
             at, low = similar_stars(sk, cols[3].to_numpy(), lo, hi, threshold - slack)
             keep = at != low
-            a.append(rep[at[keep]])
-            b.append(rep[low[keep]])
+            a.append(cols[4].take(pa.array(at[keep])))
+            b.append(cols[4].take(pa.array(low[keep])))
             if len(a) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+                yield stars_of(a, b)
                 a, b = [], []
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+            yield stars_of(a, b)
 
     order = ["key", "lo", "hi"]
-    stars = near.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(connect(b)), "a long, b long").distinct()
+    stars = near.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(connect(b)), "a binary, b binary").distinct()
     groups = common.connected(stars)
-    groups = common.written(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(reps.select("rep", "m"), "rep"), "ngram-groups")
+    groups = common.written(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")).join(same, "cls"), "ngram-groups")
     sizes = common.written(groups.groupBy("grp").agg(F.count("*").alias("__n")).where(F.col("__n") > block), "ngram-large")
     dealt = common.written(_blocks(groups, common.small(sizes), "grp", block), "ngram-dealt")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            made = [shingles(word_hashes(t, known)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["rep", "set"])
+            made = [word_hashes(t, known) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_digest(h) for h in made], pa.binary()), pa.array([shingles(h).tobytes() for h in made], pa.binary())], ["cls", "set"])
 
+    # all texts of a wanted id are read; those of other classes find no partner in the join by class
     wanted = groups.select("rep")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col))
     # groups few enough (checked) go to the readers, so texts of others move nowhere; beyond that texts are shuffled
-    chosen = texts.join(common.small(wanted, broadcast_rows), "rep", "left_semi").mapInArrow(lambda b: common.trimmed(sets(b)), "rep long, set binary").dropDuplicates(["rep"])
-    blocks = dealt.join(chosen, "rep").select("grp", "lo", "hi", "mine", "rep", "m", "set")
+    chosen = texts.join(common.small(wanted, broadcast_rows), "rep", "left_semi").mapInArrow(lambda b: common.trimmed(sets(b)), "cls binary, set binary").dropDuplicates(["cls"])
+    blocks = dealt.join(chosen, "cls").select("grp", "lo", "hi", "mine", "cls", "m", "set")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), cols in common.runs(batches, 3):
             raw = [np.frombuffer(s, np.uint64) for s in cols[6].to_pylist()]
-            rep, links, low = verify(cols[4].to_numpy(), cols[5].to_numpy(), raw, cols[3].to_numpy(), lo, hi, threshold)
-            if len(rep):
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64()), pa.array(low, pa.int64())], ["rep", "links", "low"])
+            at, links, low = verify(cols[5].to_numpy(), raw, cols[3].to_numpy(), lo, hi, threshold)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([cols[4].take(pa.array(at)), pa.array(links, pa.int64()), cols[4].take(pa.array(low))], ["cls", "links", "low"])
 
     order = ["grp", "lo", "hi"]
-    found = common.written(blocks.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(exact(b)), "rep long, links long, low long"), "ngram-found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = common.connected(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    result = (
-        same.select("cls", "rep", "m")
-        .join(links, "rep", "left")
-        .join(linked.select(F.col("node").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
-        .select("cls", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
-        .where("n_links > 0")
+    found = common.written(blocks.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(exact(b)), "cls binary, links long, low binary"), "ngram-found")
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    linked = common.connected(found.select(F.col("cls").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cls")
+    linked = common.written(linked.join(same, "cls").select("cls", "component", "rep"), "ngram-linked")
+    # a table of its own, so that a large component's rows meet their first through plain exchanges
+    firsts = common.written(linked.groupBy("component").agg(F.min(F.struct("rep", "cls")).alias("f")).select("component", F.col("f.rep").alias("class_id"), F.col("f.cls").alias("first")), "ngram-first")
+    linked = linked.join(common.small(firsts, broadcast_rows), "component").select("cls", "class_id", "first")
+    result = same.join(links, "cls", "left").join(linked, "cls", "left").select(
+        "cls", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", "cls").alias("first")
     )
-    return base.select("id", "cls").distinct().join(result, "cls").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("class_id").alias("class_id"))
+    return rows.select("id", "digest", "cls"), common.written(result.where("n_links > 0"), "ngram-result")
+
+
+def _decided(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Each row with the findings of its class; a row without an id has none."""
+    own = rows.withColumn("__cls", F.when(F.col("id").isNotNull(), F.col("cls")))
+    return own.join(found.withColumnRenamed("cls", "__cls"), "__cls", "left")
+
+
+def _kept() -> Column:
+    return F.coalesce((F.col("class_id") == F.col("id")) & (F.col("first") == F.col("cls")), F.lit(True))
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``id_col, class_id, n_links, kept`` for every row of ``docs``; the smallest id of a class stays."""
-    found = common.written(classes(docs, id_col, text_col, **limits), "ngram-result")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"))
-    return rows.join(found, "id", "left").select(
+    rows, found = classes(docs, id_col, text_col, **limits)
+    return _decided(rows, found).select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"),
+        _kept().alias("kept"),
     )
 
 
+def dropped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, digest`` of the rows that are not the first of their class; ``digest`` is ``text_digest``."""
+    rows, found = classes(docs, id_col, text_col)
+    return _decided(rows, found).where(~_kept()).select("id", "digest").distinct()
+
+
 def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of the documents that are not the first of their class, as one narrow column ``id``."""
-    return classes(docs, id_col, text_col).where("class_id <> id").select("id")
+    return dropped_rows(docs, id_col, text_col).select("id").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

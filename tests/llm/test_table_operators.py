@@ -182,6 +182,22 @@ def test_ngram_join(spark, bucket, block, limit):
     assert ngram_join.near_dup(data.documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("bucket", "block", "limit"), [(2048, 512, 200_000), (2, 1, 0)])
+def test_ngram_join_takes_texts_of_one_id_apart(spark, bucket, block, limit):
+    rng = random.Random(12)
+    a, b = (data.prose(rng, 60) for _ in range(2))
+    rows = [(2, a + " end"), (5, a), (5, b), (7, b), (9, b + " end"), (5, a), (None, b), (4, "alone"), (4, ""), (3, b + " two ends")]
+    for rows, first in ((rows[:9], 5), (rows, 3)):
+        docs = data.documents(spark, rows)
+        want = {a + " end": (2, 1), a: (2, 1), b: (first, 2 if first == 5 else 3), b + " end": (first, 2 if first == 5 else 3), "alone": (4, 0), "": (4, 0), b + " two ends": (3, 3)}
+        out = ngram_join.near_dup(docs, bucket=bucket, block=block, broadcast_rows=limit)
+        assert data.rows(out, "doc_id", "class_id", "n_links", "kept") == sorted(((i, *((None, 0) if i is None else want[t]), i is None or i == want[t][0]) for i, t in rows), key=repr)
+        gone = {(r.id, bytes(r.digest)) for r in ngram_join.dropped_rows(docs).collect()}
+        assert gone == {(i, hashlib.sha256(t.encode()).digest()) for i, t in rows if i is not None and i != want[t][0]}
+    both = ngram_join.near_dup(data.documents(spark, [(5, a), (5, a + " end")])).collect()
+    assert [(r.class_id, r.n_links) for r in both] == [(5, 1)] * 2 and sum(r.kept for r in both) == 1
+
+
 def test_prefix_shortens_with_the_target():
     assert ngram_join.prefix_length(0.8, 24, 6, 0.99) == 6
     assert ngram_join.prefix_length(0.8, 24, 6, 0.9999) == 5

@@ -7,16 +7,17 @@ columns of ``documents``.  ``run`` writes each stage's rows to the shared folder
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, common, exact_dedup, mixing, ngram_join, toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not in the narrow table ids (broadcast only if its checked count is small)."""
-    gone = common.written(ids, "dropped").withColumnRenamed("id", "__id")
-    return docs.join(common.small(gone), docs["doc_id"] == gone["__id"], "left_anti")
+def _without(docs: DataFrame, rows: DataFrame, digest: Column) -> DataFrame:
+    """The rows of docs whose id (null or not) and digest are not in the narrow table rows (broadcast only if its checked count is small)."""
+    gone = common.written(rows, "dropped").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (digest == gone["__digest"])
+    return docs.join(common.small(gone), same, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of each group of equal texts."""
     common.release(spark)
-    return _without(docs, exact_dedup.dropped_ids(docs))
+    return _without(docs, exact_dedup.dropped_rows(docs), exact_dedup.text_digest("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by a shingle similarity of 0.8 or more."""
     common.release(spark)
-    return _without(docs, ngram_join.dropped_ids(docs))
+    return _without(docs, ngram_join.dropped_rows(docs), ngram_join.text_digest("text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ ids are allowed and lose against any other id.  An empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,6 +23,10 @@ def normalised(text: str):
     return F.regexp_replace(common.whole(text), common.WHITE, " ")
 
 
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(normalised(text_col), 256))
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
     """``id, size, keep`` for the rows of groups of two or more; all other rows stay as they are.
 
@@ -63,9 +67,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def dropped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, digest`` of the rows that go, null ids included; ``digest`` is ``text_digest``."""
+    gone = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("id"))
+    return decide(docs, id_col, text_col).where(gone).select("id", F.unhex("full").alias("digest")).distinct()
+
+
 def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of the rows that go, as one narrow column ``id``."""
-    return decide(docs, id_col, text_col).where("keep <> id").select("id").distinct()
+    """Ids of the rows that go, as one narrow column ``id``; a row that stays may share its id with one of them."""
+    return dropped_rows(docs, id_col, text_col).select("id").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

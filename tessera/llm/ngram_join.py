@@ -298,10 +298,5 @@ def dropped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _decided(rows, found).where(~_kept()).select("id", "digest").distinct()
 
 
-def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of the documents that are not the first of their class, as one narrow column ``id``."""
-    return dropped_rows(docs, id_col, text_col).select("id").distinct()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -63,6 +64,16 @@ def test_tokens(stages):
     assert data.rows(stages["byte_bpe"], "doc_id", "decoded_sha256") == want
 
 
+def test_only_copies_of_a_text_go(spark):
+    a, b = (data.prose(random.Random(k), 60) for k in (1, 2))
+    rows = [(1, a), (2, a), (2, "alone"), (None, a), (None, "alone as well"), (None, None), (4, ""), (5, b), (5, "other words"), (3, b + " end")]
+    exact = pipeline.drop_exact_copies(spark, data.documents(spark, rows), SF)
+    kept = [(1, a), (2, "alone"), (None, "alone as well"), (4, ""), (5, b), (5, "other words"), (3, b + " end")]
+    assert sorted(texts(exact), key=repr) == sorted(kept, key=repr)
+    near = pipeline.drop_near_copies(spark, data.documents(spark, kept), SF)
+    assert sorted(texts(near), key=repr) == sorted((r for r in kept if r != (5, b)), key=repr)
+
+
 def test_run_gives_the_last_stage(spark, stages):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert data.rows(pipeline.run(spark, SF), *names) == data.rows(stages["byte_bpe"], *names)

@@ -1,9 +1,9 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
 A document is the set of hashes of its five-word shingles (words: runs of non-blanks, A-Z lower-cased; a text of
-fewer words is one shingle).  Each tree of the forest labels it by a sequence of min-hashes; sorted by label, a tree
-is a prefix trie, and documents that share a prefix are neighbours.  Prefixes are shortened from full length until
-pairs at the threshold are met in some tree with the target recall.  Neighbours whose sketches say that they are
+fewer words is one shingle).  Each tree of the forest labels it by a sequence of min-hashes; documents whose labels
+share a prefix in some tree are neighbours.  The prefix is fixed: the longest by which a pair at the threshold is met
+in some tree with the target recall, whatever the data.  Neighbours whose sketches say that they are
 similar at all are connected; each connected group is then verified exactly, block by block, and returns link
 counts per document and a star of links per block, never all pairs.
 

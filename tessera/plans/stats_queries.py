@@ -46,8 +46,15 @@ def latency_percentiles(spark, sf):
 
 
 LATENCY = f"SELECT a.event_type, a.v AS p50, z.v AS p95 FROM ({_pct('event_type', 'value', 0.5, 'events')}) a JOIN ({_pct('event_type', 'value', 0.95, 'events')}) z USING (event_type)"
-_M = """count(*) AS runs, CAST(count(*) FILTER (WHERE success) AS BIGINT) AS successes, round(avg(CASE WHEN success THEN 1.0::DOUBLE ELSE 0 END), 4) AS success_rate, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
-round(sum(cost_usd) / nullif(count(*) FILTER (WHERE success), 0), 4) AS cost_per_success, round(avg(tool_calls), 4) AS mean_calls, round(avg(latency_seconds), 4) AS mean_latency"""
+def _exact(total: str, n: str) -> str:
+    """The mean, half up to 4 places, of a sum in millionths, in whole numbers."""
+    return f"CASE WHEN {n} > 0 THEN CAST((2 * CAST({total} AS HUGEINT) + 100 * {n}) // (200 * {n}) AS DOUBLE) / 10000.0::DOUBLE END"
+
+
+_WINS = "count(*) FILTER (WHERE success)"
+_micro = "sum(CAST(round(CAST({} AS DECIMAL(18,6)) * 1000000) AS HUGEINT))".format
+_M = f"""count(*) AS runs, CAST({_WINS} AS BIGINT) AS successes, {_exact(f"{_WINS} * 1000000", "count(success)")} AS success_rate, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
+{_exact(_micro('cost_usd'), _WINS)} AS cost_per_success, {_exact(_micro('tool_calls'), 'count(tool_calls)')} AS mean_calls, {_exact(_micro('latency_seconds'), 'count(latency_seconds)')} AS mean_latency"""
 
 
 def paired_summary(spark, sf):

@@ -71,14 +71,14 @@ TESTS = f"{_REC} SELECT start, id, c_name AS name FROM x JOIN customer ON id = '
 def relevant_tests(spark, sf):
     p = b.table(spark, sf, "part")
     tests = p.where("p_size > 45").select("p_brand", F.concat("p_type", F.lit(" "), "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("body"), "p_partkey")
-    tasks = p.where("p_partkey < 300").select(F.col("p_partkey").alias("task_id"), "p_brand", F.col("p_name").alias("name"), F.concat("p_name", F.lit(" is "), "p_type").alias("text"))
+    tasks = p.select(F.col("p_partkey").alias("task_id"), "p_brand", F.col("p_name").alias("name"), F.concat("p_name", F.lit(" is "), "p_type").alias("text"))
     long = lambda c: F.filter(t.distinct_terms(c), lambda x: F.length(x) >= 3)
     m = tasks.join(tests, "p_brand").select("task_id", F.col("p_partkey").cast("string").alias("id"), long(F.col("text")).alias("task_terms"), t.distinct_terms(F.col("body")).alias("test_terms"), F.lower("body").contains(F.lower("name")).alias("named"))
     return graph.relevant_tests(m).select("task_id", "id", "score", "rank")
 
 
 RELEVANT = """WITH w AS (SELECT p_brand, p_partkey, lower(p_type || ' ' || p_name || ' ' || p_partkey) AS body FROM part WHERE p_size > 45),
-k AS (SELECT p_partkey AS task_id, p_brand, lower(p_name) AS name, list_distinct(string_split(lower(p_name || ' is ' || p_type), ' ')) AS terms FROM part WHERE p_partkey < 300),
+k AS (SELECT p_partkey AS task_id, p_brand, lower(p_name) AS name, list_distinct(string_split(lower(p_name || ' is ' || p_type), ' ')) AS terms FROM part),
 s AS (SELECT task_id, CAST(p_partkey AS VARCHAR) AS id, len(list_filter(terms, lambda x: length(x) >= 3 AND list_contains(string_split(body, ' '), x))) + CASE WHEN contains(body, name) THEN 8 ELSE 0 END AS score FROM k JOIN w USING (p_brand))
 SELECT task_id, id, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score > 0 QUALIFY rank <= 2"""
 

@@ -45,8 +45,7 @@ SELECT old.path AS id, coalesce(new.hash = old.hash, false) AS fresh FROM old LE
 
 
 def nocase_lookup(spark, sf):
-    asked = b.prompts(spark, sf)
-    return lookup.exact_symbols(asked.where("task_id < 400"), b.parts(spark, sf))
+    return lookup.exact_symbols(b.prompts(spark, sf), b.parts(spark, sf))
 
 
 _IDENT = r"""ident AS (SELECT task_id, text, unnest(regexp_extract_all(text, '[_A-Za-z][_A-Za-z0-9]*(?:\.[_A-Za-z][_A-Za-z0-9]*)*')) AS v FROM prompts),
@@ -54,7 +53,7 @@ code AS (SELECT DISTINCT task_id, v, string_split(v, '.')[-1] AS leaf FROM ident
   OR (string_split(v, '.')[-1] = upper(string_split(v, '.')[-1]) AND regexp_matches(string_split(v, '.')[-1], '[A-Z]')) OR regexp_matches(substr(string_split(v, '.')[-1], 2), '[A-Z]'))
   AND lower(v) NOT IN ('what','which','where','when','return','default','current','source','code','with','from','into','true','false'))"""
 NOCASE = f"""WITH {b.PARTS}, {b.PROMPTS}, {_IDENT}
-SELECT DISTINCT task_id, id FROM code JOIN parts ON lower(leaf) = lower(name) WHERE task_id < 400 AND (NOT contains(v, '.') OR lower(v) IN (lower(name), lower(qualname)))"""
+SELECT DISTINCT task_id, id FROM code JOIN parts ON lower(leaf) = lower(name) WHERE (NOT contains(v, '.') OR lower(v) IN (lower(name), lower(qualname)))"""
 
 
 def symbol_exists(spark, sf):

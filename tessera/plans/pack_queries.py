@@ -9,8 +9,9 @@ from ..operators import lookup, pack
 from . import bindings as b
 
 
-def _targets(spark, n=40):
-    return spark.range(n).select(F.col("id").alias("task_id"), F.concat(F.lit("o/"), F.col("id").cast("string")).alias("id"))
+def _targets(spark, sf):
+    """Every order is the target of a task."""
+    return b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("id"))
 
 
 def _nodes(spark, sf):
@@ -31,12 +32,12 @@ def _tests(spark, sf, targets):
 
 
 def candidates_context(spark, sf):
-    targets, e = _targets(spark), b.edges(spark, sf).where("kind <> 'reference'")
+    targets, e = _targets(spark, sf), b.edges(spark, sf).where("kind <> 'reference'")
     out = pack.symbol_candidates(targets, _nodes(spark, sf), e, _tests(spark, sf, targets), "edit")
     return out.select("task_id", "id", "score", "role", "detail")
 
 
-CONTEXT = f"""WITH {b.EDGES}, t AS (SELECT i AS task_id, 'o/' || i AS id FROM range(40) r(i)), e AS (SELECT * FROM edges WHERE kind <> 'reference'),
+CONTEXT = f"""WITH {b.EDGES}, t AS (SELECT o_orderkey AS task_id, 'o/' || o_orderkey AS id FROM orders), e AS (SELECT * FROM edges WHERE kind <> 'reference'),
 u AS (SELECT task_id, t.id, 1000.0::DOUBLE AS score, 'target' AS role, 'full' AS detail, 0 AS o FROM t JOIN orders ON t.id = 'o/' || o_orderkey
 UNION ALL SELECT task_id, 'c/' || o_custkey, 900, 'parent', 'outline', 1 FROM t JOIN orders ON t.id = 'o/' || o_orderkey
 UNION ALL SELECT task_id, target, 700 + least(sum(CASE WHEN kind = 'call' THEN 3 ELSE 1 END), 30), 'dependency', 'outline', 2 FROM t JOIN e ON t.id = source GROUP BY ALL
@@ -46,7 +47,7 @@ SELECT task_id, id, score, role, detail FROM u QUALIFY row_number() OVER (PARTIT
 
 
 def _anchored(spark, sf):
-    anchors = _targets(spark).select((F.col("task_id") % 20).alias("task_id"), "id", F.floor(F.col("task_id") / 20).cast("int").alias("rank"), (F.col("task_id") * 7 % 150).cast("double").alias("score"), F.array(F.lit("order")).alias("evidence"))
+    anchors = _targets(spark, sf).select(F.expr("task_id div 2").alias("task_id"), "id", (F.col("task_id") % 2).cast("int").alias("rank"), (F.col("task_id") * 7 % 150).cast("double").alias("score"), F.array(F.lit("order")).alias("evidence"))
     tests = _tests(spark, sf, anchors.select("task_id", "id")).join(anchors.where("rank = 0").select("task_id", "rank"), "task_id").distinct()
     return pack.task_candidates(anchors, _nodes(spark, sf), b.edges(spark, sf).where("kind <> 'reference'"), tests, "edit")
 
@@ -55,7 +56,7 @@ def candidates_dedupe(spark, sf):
     return _anchored(spark, sf).select("task_id", "id", "score", "role", "detail")
 
 
-DEDUPE = f"""WITH {b.EDGES}, a AS (SELECT i % 20 AS task_id, 'o/' || i AS id, CAST(i // 20 AS INT) AS rank, CAST(i * 7 % 150 AS DOUBLE) AS score FROM range(40) r(i)), e AS (SELECT * FROM edges WHERE kind <> 'reference'),
+DEDUPE = f"""WITH {b.EDGES}, a AS (SELECT o_orderkey // 2 AS task_id, 'o/' || o_orderkey AS id, CAST(o_orderkey % 2 AS INT) AS rank, CAST(o_orderkey * 7 % 150 AS DOUBLE) AS score FROM orders), e AS (SELECT * FROM edges WHERE kind <> 'reference'),
 k AS (SELECT a.*, 'c/' || o_custkey AS parent FROM a JOIN orders ON a.id = 'o/' || o_orderkey), u AS (
 SELECT task_id, id, 1200 - rank * 80 + least(score, 100) AS score, 'task-anchor' AS role, CASE WHEN rank = 0 THEN 'full' ELSE 'outline' END AS detail, rank, 0 AS o FROM k
 UNION ALL SELECT task_id, parent, 900 - rank * 20, 'parent', 'outline', rank, 1 FROM k

@@ -51,7 +51,7 @@ RECALL = f"WITH {_bm25(20)} SELECT bm.task_id, count(*) AS found, min(rank) AS b
 
 
 def exact_pinning(spark, sf):
-    prompts, parts = b.prompts(spark, sf).where("task_id < 200"), b.parts(spark, sf).withColumn("source", F.col("name"))
+    prompts, parts = b.prompts(spark, sf), b.parts(spark, sf).withColumn("source", F.col("name"))
     from ..operators import lookup
 
     pool = search.bm25(prompts, search.documents(parts), 50)
@@ -61,13 +61,13 @@ def exact_pinning(spark, sf):
 
 from .lookup_queries import NOCASE  # noqa: E402
 
-_PP = f"""WITH {b.PARTS}, {b.PROMPTS}, symbols AS (SELECT *, name AS source FROM parts), tasks AS (SELECT * FROM prompts WHERE task_id < 200)"""
+_PP = f"""WITH {b.PARTS}, {b.PROMPTS}, symbols AS (SELECT *, name AS source FROM parts), tasks AS (SELECT * FROM prompts)"""
 PINNING = (
     _PP + f""", {_DOCS}, {_Q}, {_POST}, w AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 s AS (SELECT task_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (8.0::DOUBLE * tf_identity + tf_body) * 2.2::DOUBLE / ((8.0::DOUBLE * tf_identity + tf_body) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))), 3) AS score
  FROM tt JOIN post USING (term) JOIN df USING (term), w GROUP BY task_id, id),
 pool AS (SELECT task_id, id FROM s QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) <= 50),
-u AS (SELECT task_id, id FROM pool UNION SELECT task_id, id FROM ({NOCASE}) WHERE task_id < 200)
+u AS (SELECT task_id, id FROM pool UNION SELECT task_id, id FROM ({NOCASE}))
 SELECT task_id, count(*) AS n, min(id) AS first_id FROM u GROUP BY task_id"""
 )
 

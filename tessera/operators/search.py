@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +18,7 @@ IDENTITY, BODY = 8.0, 1.0  # column weights of recall
 # Points of reranking.
 EXACT_IDENTIFIER, NAME_IN_TASK, IN_NAME, IN_IDENTITY, IN_BODY, TEST_FACTOR = 80.0, 12.0, 8, 5, 1, 0.72
 ANCHOR_SHARE = 0.30
-MAX_TARGETS = 1000
+BATCH = 1000  # new names that are weighed against the symbols at once
 
 
 def pool_size(limit: int) -> int:
@@ -29,39 +31,76 @@ def identity(s: str = "") -> Column:
 
 
 def documents(symbols: DataFrame) -> DataFrame:
-    """Search fields of symbols: terms of identity and body with repeats, and the weighted length."""
-    d = symbols.select("id", "name", "qualname", "path", "is_test", text.search_terms(identity()).alias("identity_terms"), text.search_terms(F.coalesce("source", F.lit(""))).alias("body_terms"))
+    """Search fields of symbols: terms of name, identity and body with repeats, and the weighted length."""
+    d = symbols.select(
+        "id", "name", "qualname", "path", "is_test", text.distinct_terms(F.col("name")).alias("name_terms"),
+        text.search_terms(identity()).alias("identity_terms"), text.search_terms(F.coalesce("source", F.lit(""))).alias("body_terms"),
+    )
     return d.withColumn("dl", F.size("identity_terms") + F.size("body_terms"))
 
 
 def task_terms(tasks: DataFrame) -> DataFrame:
-    return tasks.select("task_id", F.explode(text.distinct_terms(F.col("text"))).alias("term"))
+    """(task_id, term, pos): distinct terms of each task in the order of their first places."""
+    return tasks.select("task_id", F.posexplode(text.distinct_terms(F.col("text"))).alias("pos", "term")).select("task_id", "term", "pos")
+
+
+#: Term of the posting that every document has: it carries the document's length through the same pass.  Real terms are longer.
+EVERY = ""
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Inverted index (id, term, tf_identity, tf_body, dl); only of the given terms, if there are any."""
-    both = F.concat(F.transform("identity_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("i"))), F.transform("body_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("i"))))
-    flat = docs.select("id", "dl", F.inline(both))
+    """Inverted index (id, term, dl, tf_identity, tf_body, in_name), one row of the term EVERY for each document; only
+    of the given terms, if there are any.  The corpus is cut into terms once."""
+    entry = lambda t, i: F.struct(t.alias("term"), F.lit(i).alias("i"))
+    of = lambda c, i: F.transform(c, lambda t: entry(t, i))
+    flat = docs.select("id", "dl", F.inline(F.concat(F.array(entry(F.lit(EVERY), 0)), of("name_terms", 2), of("identity_terms", 1), of("body_terms", 0))))
     if terms is not None:
-        flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
-    return flat.groupBy("id", "term", "dl").agg(F.sum("i").alias("tf_identity"), F.sum(1 - F.col("i")).alias("tf_body"))
+        flat = flat.join(terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(EVERY,)], "term string")), "term", "left_semi")
+    n = lambda i: F.sum((F.col("i") == i).cast("int"))
+    return flat.groupBy("id", "term", "dl").agg(n(1).alias("tf_identity"), n(0).alias("tf_body"), (F.max("i") == 2).alias("in_name"))
+
+
+def term_table(docs: DataFrame) -> DataFrame:
+    """(term, df, tf_identity, tf_body) of the whole corpus."""
+    return postings(docs).where(F.col("term") != EVERY).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_identity").alias("tf_identity"), F.sum("tf_body").alias("tf_body"))
+
+
+class Index(NamedTuple):
+    """A batch's terms and the postings of these terms, both written."""
+
+    asked: DataFrame
+    postings: DataFrame
+
+    @property
+    def hits(self) -> DataFrame:
+        return self.postings.where(F.col("term") != EVERY)
 
+    @property
+    def lengths(self) -> DataFrame:
+        return self.postings.where(F.col("term") == EVERY)
 
-def bm25(tasks: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+
+def index(tasks: DataFrame, docs: DataFrame) -> Index:
+    """Query terms prune the index as it is built (they are broadcast if counted few)."""
+    asked = shared.written(task_terms(tasks), "task-terms")
+    few = shared.small(asked.select("term").distinct())
+    return Index(asked, shared.written(postings(docs, few), "postings"))
+
+
+def bm25(tasks: DataFrame, docs: DataFrame, limit: int, at: Index | None = None) -> DataFrame:
     """(task_id, id, score, rank): the best ``limit`` documents of each task by smoothed BM25, ties by id.
 
-    Query terms prune the index as it is built (they are broadcast if counted few), scores are pre-aggregated by
-    task and document, and each partition keeps its own best rows before the ranking exchange.
+    Scores are pre-aggregated by task and document, and each partition keeps its own best rows before the ranking
+    exchange.
     """
-    wanted = shared.written(task_terms(tasks), "task-terms")
-    index = shared.written(postings(docs, shared.small(wanted.select("term").distinct())), "postings")
-    whole = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))  # one row
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    at = at or index(tasks, docs)
+    whole = at.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))  # one row
+    df = at.hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").join(F.broadcast(whole)).select("task_id", "term", idf.alias("idf"), "avg_dl")
+    weights = at.asked.join(df, "term").join(F.broadcast(whole)).select("task_id", "term", idf.alias("idf"), "avg_dl")
     tf = IDENTITY * F.col("tf_identity") + BODY * F.col("tf_body")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = index.join(shared.small(weights), "term").groupBy("task_id", "id").agg(F.round(F.sum(part), 3).alias("score"))
+    scored = at.hits.join(shared.small(weights), "term").groupBy("task_id", "id").agg(F.round(F.sum(part), 3).alias("score"))
     return shared.top(scored, ["task_id"], [F.desc("score"), F.col("id")], limit)
 
 
@@ -70,42 +109,95 @@ def pin_exact(pool: DataFrame, exact: DataFrame) -> DataFrame:
     return exact.select("task_id", "id").unionByName(pool.select("task_id", "id")).distinct()
 
 
-def rerank(tasks: DataFrame, docs: DataFrame, pool: DataFrame, limit: int) -> DataFrame:
-    """Rank a pool (task_id, id) by weighted terms whose rarity is measured in the task's own pool.
+def _weight() -> Column:
+    return F.when(F.col("in_name"), IN_NAME).when(F.col("tf_identity") > 0, IN_IDENTITY).otherwise(IN_BODY)
 
-    Returns task_id, id, score (3 places), evidence (at most 8), total, rank.  The weight of the path alone never
-    applies, since the identity holds the path.
-    """
-    asked = tasks.select("task_id", F.lower("text").alias("folded"), text.distinct_terms(F.col("text")).alias("terms"), F.transform(text.task_identifiers(F.col("text")), F.lower).alias("named"))
-    fields = docs.select("id", "name", "qualname", "is_test", text.distinct_terms(F.col("name")).alias("n"), F.array_distinct("identity_terms").alias("i"), F.array_distinct("body_terms").alias("b"))
-    met = pool.select("task_id", "id").join(shared.small(asked), "task_id").join(fields, "id")
+
+def spellings(symbols: DataFrame) -> DataFrame:
+    """(id, is_test, name, keys): a symbol's names as a task may spell them, lower-cased."""
     local = F.regexp_extract("id", r"^(?:.*?::)?(.*)$", 1)
-    exact = F.exists(F.array(*(F.lower(c) for c in ("name", "qualname", "id")), F.lower(local)), lambda x: F.array_contains(F.col("named"), x))
-    named = F.col("folded").contains(F.lower("name"))
-    weight = lambda t: F.when(F.array_contains("n", t), IN_NAME).when(F.array_contains("i", t), IN_IDENTITY).when(F.array_contains("b", t), IN_BODY).otherwise(0)
-    hits = F.filter(F.transform("terms", lambda t, p: F.struct(p.alias("pos"), t.alias("term"), weight(t).alias("w"))), lambda h: h.w > 0)
-    size = Window.partitionBy("task_id")
-    base = met.select("task_id", "id", "is_test", exact.alias("exact"), named.alias("named_in"), F.size(F.array_intersect("terms", F.array(F.lit("test"), F.lit("tests"), F.lit("测试")))).alias("about_tests"), hits.alias("hits"))
-    sizes = pool.select("task_id", "id").distinct().groupBy("task_id").agg(F.count("*").alias("pool"))
-    rows = base.select("task_id", "id", F.explode_outer("hits").alias("h")).select("task_id", "id", "h.pos", "h.term", "h.w")
-    df = rows.where("term is not null").groupBy("task_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("pool") + 1) / (F.col("df") + 1)) + 1
-    scored = rows.join(df, ["task_id", "term"], "left").join(shared.small(sizes), "task_id").groupBy("task_id", "id").agg(
-        F.coalesce(F.sum(F.col("w") * idf), F.lit(0.0)).alias("lexical"), F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", "term")))).alias("ev")
-    )
-    flags = base.select("task_id", "id", "is_test", "exact", "named_in", "about_tests")
-    total = F.col("lexical") + F.when(F.col("exact"), EXACT_IDENTIFIER).otherwise(0.0) + F.when(F.col("named_in"), NAME_IN_TASK).otherwise(0.0)
+    return symbols.select("id", "is_test", F.lower("name").alias("name"), F.array_distinct(F.array(*(F.lower(c) for c in ("name", "qualname", "id")), F.lower(local))).alias("keys"))
+
+
+def _ranked(found: DataFrame, tasks: DataFrame, limit: int) -> DataFrame:
+    """From (task_id, id, is_test, lexical, ev, exact, named_in): points, evidence, total, the best ``limit``."""
+    wants_tests = text.distinct_terms(F.col("text"))
+    about = tasks.select("task_id", F.arrays_overlap(wants_tests, F.array(F.lit("test"), F.lit("tests"), F.lit("测试"))).alias("about_tests"))
+    raw = F.coalesce("lexical", F.lit(0.0)) + F.when(F.col("exact"), EXACT_IDENTIFIER).otherwise(0.0) + F.when(F.col("named_in"), NAME_IN_TASK).otherwise(0.0)
     none = F.array().cast("array<string>")
-    evidence = F.concat(F.when(F.col("exact"), F.array(F.lit("exact-identifier"))).otherwise(none), F.when(F.col("named_in"), F.array(F.lit("exact-name"))).otherwise(none), F.transform("ev", lambda e: e.term))
-    out = flags.join(scored, ["task_id", "id"]).withColumn("raw", total).where("raw > 0")
-    out = out.withColumn("score", F.round(F.when(F.col("is_test") & (F.col("about_tests") == 0), F.col("raw") * TEST_FACTOR).otherwise(F.col("raw")), 3))
-    out = out.select("task_id", "id", "score", F.slice(F.array_distinct(evidence), 1, 8).alias("evidence"), F.count("*").over(size).alias("total"))
-    return shared.top(out, ["task_id"], [F.desc("score"), F.col("id")], limit)
+    evidence = F.concat(
+        F.when(F.col("exact"), F.array(F.lit("exact-identifier"))).otherwise(none), F.when(F.col("named_in"), F.array(F.lit("exact-name"))).otherwise(none),
+        F.coalesce(F.transform(F.array_sort("ev"), lambda e: e.term), none),
+    )
+    out = found.join(shared.small(about), "task_id").withColumn("raw", raw).where("raw > 0")
+    out = out.withColumn("score", F.round(F.when(F.col("is_test") & ~F.col("about_tests"), F.col("raw") * TEST_FACTOR).otherwise(F.col("raw")), 3))
+    out = out.withColumn("evidence", F.slice(F.array_distinct(evidence), 1, 8)).select("task_id", "id", "score", "evidence")
+    total = out.groupBy("task_id").agg(F.count("*").alias("total"))
+    return shared.top(out, ["task_id"], [F.desc("score"), F.col("id")], limit).join(shared.small(shared.written(total, "totals")), "task_id")
+
+
+def _terms_found(hits: DataFrame, asked: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """(task_id, id, lexical, ev): weighted terms; their rarity is measured among the documents that ``by`` names."""
+    df = hits.groupBy(*by).agg(F.count("*").alias("df"))
+    idf = F.log((F.col("pool") + 1) / (F.col("df") + 1)) + 1
+    rare = asked.join(df, by).join(sizes, "task_id").select("task_id", "term", "pos", idf.alias("idf"))
+    met = hits.join(shared.small(rare), by) if "task_id" in by else hits.join(shared.small(rare), "term")
+    return met.groupBy("task_id", "id").agg(F.sum(F.col("w") * F.col("idf")).alias("lexical"), F.collect_list(F.struct("pos", "term")).alias("ev"))
+
 
+def rerank(tasks: DataFrame, symbols: DataFrame, pool: DataFrame, limit: int, at: Index) -> DataFrame:
+    """Rank a pool (task_id, id) by weighted terms whose rarity is measured in the task's own pool.
 
-def task_matches(tasks: DataFrame, symbols: DataFrame, docs: DataFrame, exact: DataFrame, limit: int = 20) -> DataFrame:
-    """Recall by BM25, pinning of named symbols, reranking in the pool."""
-    return rerank(tasks, docs, pin_exact(bm25(tasks, docs, pool_size(limit)), exact), limit)
+    Returns task_id, id, score (3 places), evidence (at most 8), total, rank.  The weight of the path alone never
+    applies, since the identity holds the path.  Terms come from the batch's postings by an equi-join on the pool's
+    ids; whole texts take no part.
+    """
+    pool = shared.written(pool.select("task_id", "id").distinct(), "pool")
+    sizes = pool.groupBy("task_id").agg(F.count("*").alias("pool"))
+    near = at.hits.join(shared.small(pool.select("id").distinct()), "id", "left_semi").select("id", "term", _weight().alias("w"))
+    hits = shared.written(pool.join(at.asked.select("task_id", "term"), "task_id").join(near, ["id", "term"]), "pool-hits")
+    scored = _terms_found(hits, at.asked, sizes, ["task_id", "term"])
+    asked = tasks.select("task_id", F.lower("text").alias("folded"), F.transform(text.task_identifiers(F.col("text")), F.lower).alias("named"))
+    who = pool.join(spellings(symbols), "id").join(shared.small(asked), "task_id")
+    who = who.select("task_id", "id", "is_test", F.arrays_overlap("keys", "named").alias("exact"), F.col("folded").contains(F.col("name")).alias("named_in"))
+    return _ranked(who.join(scored, ["task_id", "id"], "left"), tasks, limit)
+
+
+def rank_all(tasks: DataFrame, symbols: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """The same ranking with the whole corpus as every task's pool, without a recall stage.
+
+    A symbol gets points by a term that it shares (an equi-join with the postings), by a spelling that the task names
+    (an equi-join on names) or by a name that stands in the task's text (an equi-join on pieces of the text); symbols
+    with none of these have no points, so no task meets a symbol that it has nothing in common with.
+    """
+    from .lookup import find_all
+
+    at = index(tasks, docs)
+    hits = at.hits.select("id", "term", _weight().alias("w"))
+    sizes = tasks.select("task_id").distinct().join(F.broadcast(at.lengths.agg(F.count("*").alias("pool"))))  # one row
+    scored = _terms_found(hits, at.asked, sizes, ["term"]).select("task_id", "id", "lexical", "ev")
+    who = shared.written(spellings(symbols), "spellings")
+    named = tasks.select("task_id", F.explode(F.array_distinct(F.transform(text.task_identifiers(F.col("text")), F.lower))).alias("key"))
+    exact = who.select("id", F.explode("keys").alias("key")).join(shared.small(shared.written(named, "named")), "key").select("task_id", "id").distinct()
+    # a name is sought in the distinct texts, which stand as ids here
+    texts = shared.written(tasks.select("task_id", "text"), "task-texts")
+    inside = find_all(who.select(F.col("name").alias("query")).distinct(), texts.select(F.col("text").alias("id"), F.lit("").alias("name")).distinct())
+    inside = inside.select(F.col("query").alias("name"), F.col("id").alias("text")).join(texts, "text").select("task_id", "name")
+    inside = who.select("id", "name").join(shared.small(shared.written(inside, "names-inside")), "name").select("task_id", "id")
+    none = F.lit(None)
+    rows = scored.select("task_id", "id", "lexical", "ev", F.lit(False).alias("exact"), F.lit(False).alias("named_in"))
+    rows = rows.unionByName(exact.select("*", none.cast("double").alias("lexical"), none.cast(rows.schema["ev"].dataType).alias("ev"), F.lit(True).alias("exact"), F.lit(False).alias("named_in")))
+    rows = rows.unionByName(inside.select("*", none.cast("double").alias("lexical"), none.cast(rows.schema["ev"].dataType).alias("ev"), F.lit(False).alias("exact"), F.lit(True).alias("named_in")))
+    found = rows.groupBy("task_id", "id").agg(F.max("lexical").alias("lexical"), F.first("ev", ignorenulls=True).alias("ev"), F.bool_or("exact").alias("exact"), F.bool_or("named_in").alias("named_in"))
+    return _ranked(found.join(who.select("id", "is_test"), "id"), tasks, limit)
+
+
+def task_matches(tasks: DataFrame, symbols: DataFrame, exact: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """Recall by BM25, pinning of named symbols (task_id, id), reranking in the pool; one index serves both."""
+    docs = documents(symbols)
+    at = index(tasks, docs)
+    pool = bm25(tasks, docs, pool_size(limit), at)
+    return rerank(tasks, symbols, pool if exact is None else pin_exact(pool, exact), limit, at)
 
 
 def above_threshold(matches: DataFrame) -> DataFrame:
@@ -118,20 +210,26 @@ def creation_scores(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     """Score existing symbols as models for a new one: 12 a common leading letter, 20 times the sequence ratio, 2 a
     shared term, and points for comparison and length helpers when the task is about prefixes.
 
-    Targets are a batch of few names; symbols stream past them.  The ratio is the matching-blocks one, which no
-    built-in function has, so it runs in an Arrow batch function.
+    Symbols stream past blocks of BATCH names, as many blocks as there are.  The ratio is the matching-blocks one, which
+    no built-in function has, so it runs in an Arrow batch function.
     """
+    long = lambda terms: F.filter(F.array_distinct(terms), lambda t: F.length(t) >= 3)
+    asked = targets.select("task_id", F.lower("target").alias("t"), long(text.search_terms(F.col("text"))).alias("terms"))
+    here = symbols.where("not is_test").select("id", "path", F.lower("name").alias("n"), F.lower(F.coalesce("source", F.lit(""))).alias("s"), F.array_distinct(text.search_terms(F.coalesce("source", F.lit("")))).alias("have"))
+    # every new name is weighed against every symbol, by definition: names go past in numbered blocks of a fixed size
+    place = F.row_number().over(Window.orderBy("task_id", "t")) - 1
+    asked = shared.written(asked.withColumn("block", F.floor(place / BATCH)), "new-names")
+    blocks = [r.block for r in asked.select("block").distinct().orderBy("block").collect()]
+    return reduce(DataFrame.unionByName, [_weighed(here, asked.where(F.col("block") == k).drop("block")) for k in blocks or [0]])
+
+
+def _weighed(here: DataFrame, asked: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     prefix = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t"))), F.lit(0), lambda s, k: F.when((s == k - 1) & (k <= F.length("n")) & (F.expr("t").substr(k, F.lit(1)) == F.expr("n").substr(k, F.lit(1))), k).otherwise(s))
-    long = lambda terms: F.filter(F.array_distinct(terms), lambda t: F.length(t) >= 3)
-    asked = targets.select("task_id", F.lower("target").alias("t"), long(text.search_terms(F.col("text"))).alias("terms"))
-    here = symbols.where("not is_test").select("id", "path", F.lower("name").alias("n"), F.lower(F.coalesce("source", F.lit(""))).alias("s"), F.array_distinct(text.search_terms(F.coalesce("source", F.lit("")))).alias("have"))
-    # every new name is weighed against every symbol, by definition: the batch of names is checked to be small
-    shared.require(asked.limit(MAX_TARGETS + 1).count() <= MAX_TARGETS, f"at most {MAX_TARGETS} new names in a batch")
-    met = here.join(F.broadcast(asked))
+    met = here.join(F.broadcast(asked))  # BATCH rows at most
     about_prefix = F.col("t").contains("startswith") | F.array_contains("terms", "prefix")
     extra = F.when(about_prefix, F.when(F.col("s").contains("memcmp"), 80).otherwise(0) + F.when(F.col("n").endswith("cmp"), 50).otherwise(0) + F.when(F.col("n").endswith("len"), 25).otherwise(0)).otherwise(0)
     score = prefix * 12 + ratio("t", "n") * 20 + F.size(F.array_intersect("terms", "have")) * 2 + extra

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from ..functions import text
 from ..operators import graph, search, shared
 from . import bindings as b
 
@@ -17,8 +17,7 @@ _POST = """post AS (SELECT id, term, dl, sum(i) AS tf_identity, sum(1 - i) AS tf
 
 
 def term_postings(spark, sf):
-    docs = search.documents(b.symbols(spark, sf))
-    return search.postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_identity").alias("tf_identity"), F.sum("tf_body").alias("tf_body"))
+    return search.term_table(search.documents(b.symbols(spark, sf)))
 
 
 POSTINGS = f"WITH {b.SYMBOLS}, {_DOCS}, {_POST} SELECT term, count(*) AS df, CAST(sum(tf_identity) AS BIGINT) AS tf_identity, CAST(sum(tf_body) AS BIGINT) AS tf_body FROM post GROUP BY term"
@@ -73,8 +72,7 @@ SELECT task_id, count(*) AS n, min(id) AS first_id FROM u GROUP BY task_id"""
 
 
 def rerank_pool_idf(spark, sf):
-    docs, tasks = search.documents(b.symbols(spark, sf)), b.tasks(spark, sf)
-    return search.rerank(tasks, docs, search.bm25(tasks, docs, search.pool_size(20)), 20).select("task_id", "id", "score", "rank", "total", F.array_join("evidence", ",").alias("evidence"))
+    return search.task_matches(b.tasks(spark, sf), b.symbols(spark, sf), limit=20).select("task_id", "id", "score", "rank", "total", F.array_join("evidence", ",").alias("evidence"))
 
 
 _NAMED = r"""list_filter(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([_A-Za-z][_A-Za-z0-9]*(?:\.[_A-Za-z][_A-Za-z0-9]*)*)', 1), lambda v: contains(v, '_') OR contains(v, '.')
@@ -98,13 +96,22 @@ RERANK = f"WITH {_bm25(100)}, {_rerank(20, 'bm')} SELECT task_id, id, score, ran
 
 
 def rerank_portable(spark, sf):
-    """The same ranking over all symbols that share a term, without a recall stage."""
-    docs, tasks = search.documents(b.symbols(spark, sf)), b.tasks(spark, sf).where("task_id < 5")
-    pool = docs.select("id").join(F.broadcast(tasks.select("task_id")))  # five tasks stand for the query set
-    return search.rerank(tasks, docs, pool, 20).select("task_id", "id", "score", "rank", "total")
+    """The same ranking with all symbols as the pool, without a recall stage."""
+    symbols = b.symbols(spark, sf)
+    return search.rank_all(b.tasks(spark, sf), symbols, search.documents(symbols), 20).select("task_id", "id", "score", "rank", "total")
 
 
-PORTABLE = f"WITH {b.SYMBOLS}, tasks AS (SELECT item_id AS task_id, text FROM benchmark WHERE item_id < 5), {_DOCS}, pl AS (SELECT task_id, id FROM tasks, docs), {_rerank(20, 'pl')} SELECT task_id, id, score, rank, total FROM rk"
+PORTABLE = f"""WITH {b.SYMBOLS}, {b.TASKS}, f AS (SELECT task_id, lower(text) AS folded, {b.distinct_sql(b.terms_sql('text'))} AS terms, list_transform({_NAMED}, lambda v: lower(v)) AS named FROM tasks),
+k AS (SELECT DISTINCT task_id, unnest(terms) AS term FROM f),
+d AS (SELECT id, name, is_test, {b.terms_sql('name')} AS n, {b.terms_sql("concat_ws(' ', name, qualname, path, id)")} AS i, {b.terms_sql(_T)} AS t FROM symbols),
+pw AS (SELECT id, term, max(w) AS w FROM (SELECT id, unnest(n) AS term, 8 AS w FROM d UNION ALL SELECT id, unnest(i), 5 FROM d UNION ALL SELECT id, unnest(t), 1 FROM d) WHERE term IN (SELECT term FROM k) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM pw GROUP BY term), z AS (SELECT count(*) AS pool FROM d),
+x AS (SELECT task_id, id, sum(w * (ln((pool + 1) / CAST(df + 1 AS DOUBLE)) + 1)) AS lexical FROM pw JOIN k USING (term) JOIN df USING (term), z GROUP BY task_id, id),
+nm AS (SELECT task_id, name, contains(folded, lower(name)) AS inside, list_contains(named, lower(name)) AS exact FROM f, (SELECT DISTINCT name FROM d)),
+y AS (SELECT f.task_id, d.id, coalesce(lexical, 0) + CASE WHEN inside THEN 12 ELSE 0 END + CASE WHEN exact THEN 80 ELSE 0 END AS raw, d.is_test AND NOT list_has_any(f.terms, ['test', 'tests']) AS less
+ FROM f CROSS JOIN d JOIN nm ON nm.task_id = f.task_id AND nm.name = d.name LEFT JOIN x ON x.task_id = f.task_id AND x.id = d.id),
+rr AS (SELECT task_id, id, round(CASE WHEN less THEN raw * 0.72::DOUBLE ELSE raw END, 3) AS score, count(*) OVER (PARTITION BY task_id) AS total FROM y WHERE raw > 0)
+SELECT task_id, id, score, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) AS INTEGER) AS rank, total FROM rr QUALIFY rank <= 20"""
 
 
 def anchor_threshold(spark, sf):
@@ -136,7 +143,9 @@ SELECT CAST(p.task_id AS INTEGER) AS task_id, b.best, p.path FROM p JOIN b ON p.
 
 
 def creation_scores(spark, sf):
-    targets = spark.createDataFrame([(1, "small_ring_size", "add small_ring_size() like the ring helpers"), (2, "startswith_bolt", "create startswith_bolt")], "task_id long, target string, text string")
+    """Every benchmark passage asks for a new symbol, named by its first words; all parts are weighed as models."""
+    terms = text.search_terms(F.col("text"))
+    targets = b.tasks(spark, sf).select("task_id", F.array_join(F.slice(terms, 1, 2), "_").alias("target"), "text")
     symbols = b.parts(spark, sf).withColumn("source", F.col("name"))
     return shared.top(search.creation_scores(targets, symbols), ["task_id"], [F.desc("score"), F.col("id")], 20)
 

@@ -13,6 +13,8 @@ from ..shipping import ship
 #: Rows of a narrow table (a few dozen bytes each) up to which it may be broadcast: about 16 MB.
 BROADCAST_ROWS = 200_000
 WHITE = r"[\x20\x09-\x0D]+"
+#: Bytes of a word that a worker remembers the hash of; longer ones would let a cache of so many words fill a worker.
+SHORT = 32
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[str, str]] = []
@@ -43,17 +45,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _written.append((spark.sparkContext.applicationId, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        item = (table.sparkSession.sparkContext.applicationId, table._stored_at)
+        if item in _written:
+            _delete(table.sparkSession, item)
+
+
+def _delete(spark: SparkSession, item: tuple[str, str]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove(item)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; only once every result that reads them is stored."""
     app = spark.sparkContext.applicationId
     for item in [x for x in _written if x[0] == app]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(item)
+        _delete(spark, item)
 
 
 def bounded_batches(spark: SparkSession) -> None:

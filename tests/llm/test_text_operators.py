@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, katz, license_scan, token_count, toxicity
 
@@ -170,9 +171,17 @@ def test_katz_scores(spark, size):
             assert sum(p2(h, w) for w in [*uni, "never seen"]) == pytest.approx(1)
 
 
+def test_katz_model_scores_other_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    model = katz.learn(docs, block=3000, bucket=5000)
+    got = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.apply(model, docs.where(held), block=700).collect()}
+    want = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(docs, block=3000, bucket=5000).where("held_out").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
 def test_katz_of_empty_and_untrained_tables(spark):
     assert katz.score(data.documents(spark, [])).count() == 0
-    from pyspark.sql import functions as F
 
     r = katz.score(data.documents(spark, [(1, "a b")]), held_out=F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)

@@ -1,11 +1,16 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
 A document is the set of hashes of its five-word shingles (words: runs of non-blanks, A-Z lower-cased; a text of
-fewer words is one shingle).  Each tree of the forest labels it by a sequence of min-hashes; documents whose labels
-share a prefix in some tree are neighbours.  The prefix is fixed: the longest by which a pair at the threshold is met
-in some tree with the target recall, whatever the data.  Neighbours whose sketches say that they are
-similar at all are connected; each connected group is then verified exactly, block by block, and returns link
-counts per document and a star of links per block, never all pairs.
+fewer words is one shingle).  Each tree of the forest labels it by a sequence of min-hashes.  A tree is a trie of sorted
+labels: the documents below a prefix are one run of the sorted order.  A document starts with the full label in every
+tree and shortens its prefixes, one tree at a time, until a pair at the threshold is met in some tree with the target
+recall; steps into crowded nodes come last, so a document with boilerplate in some trees takes shorter prefixes in the
+others.  It probes the node below its prefix in each tree, and everything there is a neighbour if the whole labels
+agree well enough to be similar at all.
+
+Neighbours are connected into groups.  A small group is verified exactly as one block.  A large one is cut into blocks by
+a min-hash, so that similar documents tend to share one, and only pairs of blocks that hold neighbours are verified.
+Verification returns link counts per document and a star of links per block, never all pairs.
 
 Documents with equal words are one class and are compared once; the digest of a class is its node in every step.
 Null, empty and blank texts have no shingles and link with nothing, and so do rows with a null id.  Rows that repeat an
@@ -15,7 +20,9 @@ and a class of its own.  An empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +37,39 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 24, 6  # trees and min-hashes of a label
 RECALL = 0.9999  # of pairs at the threshold, in the forest
 SLACK = 0.15  # pairs whose sketches are further below the threshold than this are not similar
-BUCKET = 2048  # documents of a trie node that are compared in one task
-BLOCK = 512  # documents of a group that are verified in one task
+BUCKET = 2048  # documents below a trie node that are compared in one task; more make the node crowded
+BLOCK = 512  # documents of a group that are verified in one task, about
 CACHED = 200_000  # word hashes a task remembers
 
 _table = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten the prefix from full depth until a pair at the threshold shares one in some tree often enough."""
+    """The longest prefix that, used in every tree, meets a pair at the threshold with the target recall."""
     for length in range(depth, 1, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
             return length
     return 1
 
 
+@functools.lru_cache(4096)
+def shortened(crowded: frozenset[tuple[int, int]], threshold: float, trees: int, depth: int, recall: float) -> tuple[int, ...]:
+    """A document's prefix length in each tree; ``crowded`` holds (tree, length) of its nodes that are.
+
+    Lengths go down one by one, first where the next node is not crowded, then where the prefix is longest, until the
+    target is met.  Sizes below the crowd take no part, so that whom a document meets does not decide where it looks.
+    """
+    shortest = max(1, prefix_length(threshold, trees, depth, recall) - 1)
+    length = [depth] * trees
+    missed = lambda n: math.log1p(-(threshold**n))
+    while sum(map(missed, length)) > math.log1p(-recall):
+        steps = [((t, n - 1) in crowded, -n, t) for t, n in enumerate(length) if n > shortest]
+        if not steps:
+            break
+        length[min(steps)[2]] -= 1
+    return tuple(length)
+
+
 def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     """Hashes of a text's words; ``known`` remembers those of a task."""
     import xxhash
@@ -56,7 +81,9 @@ def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     for w in words:
         h = known.get(w)
         if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
+            h = xxhash.xxh3_64_intdigest(w)
+            if len(w) <= common.SHORT:
+                known[w] = h
         out.append(h)
     return np.array(out, np.uint64)
 
@@ -88,54 +115,57 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(s: np.ndarray, mult: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Two bytes of each min-hash, from where they are even however small the minimum is."""
     low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(s), 1024):
             low = np.minimum(low, ((s[i : i + 1024, None] ^ mask) * mult).min(0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return (low >> np.uint64(16)).astype(np.uint16)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int, length: int) -> DataFrame:
-    """``id, digest, cls, sketch, keys``: digests of text and class, one byte of each min-hash, the prefix key in each tree."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
+    """``id, digest, cls, labels``: digests of text and class, and the labels in all trees, two bytes a min-hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         mult, mask = _multipliers(trees * depth)
         known: dict[bytes, int] = {}
         for b in batches:
-            cls, sk, keys = [], [], []
+            cls, labels = [], []
             for text in b.column(1).to_pylist():
                 h = word_hashes(text, known)
-                if not len(h):
-                    cls.append(None), sk.append(None), keys.append(None)
-                    continue
-                sig = signature(shingles(h), mult, mask)
-                cls.append(class_digest(h))
-                sk.append((sig & 255).astype(np.uint8).tobytes())
-                keys.append([xxhash.xxh3_64_intdigest(part.tobytes(), t) - (1 << 63) for t, part in enumerate(sig.reshape(trees, depth)[:, :length])])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "cls", "sketch", "keys"])
+                cls.append(class_digest(h) if len(h) else None)
+                labels.append(signature(shingles(h), mult, mask).tobytes() if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array(labels, pa.binary())], ["id", "digest", "cls", "labels"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), text_digest(text_col).alias("digest"))
-    return rows.mapInArrow(lambda b: common.trimmed(run(b)), "id long, digest binary, cls binary, sketch binary, keys array<long>")
+    return rows.mapInArrow(lambda b: common.trimmed(run(b)), "id long, digest binary, cls binary, labels binary")
 
 
-def similar_stars(sk: np.ndarray, mine: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Within a trie node (or two of its blocks): each row with a similar partner, and the first row it connects to."""
-    need = least * 255 / 256 + 1 / 256
-    left = np.flatnonzero(mine == lo)
-    right = left if lo == hi else np.flatnonzero(mine == hi)
-    a_all, b_all = [], []
-    for i in range(0, len(left), 64):
-        share = (sk[left[i : i + 64], None, :] == sk[None, right, :]).mean(2)
-        a, b = np.nonzero(share >= need)
-        a, b = left[i + a], right[b]
-        keep = a != b
-        a_all.append(a[keep])
-        b_all.append(b[keep])
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a_all, b_all))
-    low = local_components(len(sk), a, b)
-    at = np.unique(np.concatenate([a, b]))
-    return at, low[at]
+def neighbours(labels: np.ndarray, tree: int, depth: int, need: np.ndarray, mine: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (by row) below a trie node, or between two of its blocks: one probes a node that holds both, and their
+    labels agree in the share ``least`` or more.
+
+    Sorted labels are the trie: rows below a prefix are a run, found by comparing each label with the next.
+    """
+    part = labels[:, tree * depth : (tree + 1) * depth]
+    order = np.lexsort(part.T[::-1])
+    part = part[order]
+    # how many leading min-hashes a label shares with the one before it
+    shared = np.minimum.accumulate(part[1:] == part[:-1], axis=1).sum(1)
+    a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for length in np.unique(need[need <= depth]):
+        cuts = np.flatnonzero(shared < length) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])
+        for k in np.flatnonzero(ends - starts > 1):
+            run = order[starts[k] : ends[k]]
+            probes = run[need[run] == length]
+            for i in range(0, len(probes), 64):
+                asked = probes[i : i + 64]
+                a, b = np.nonzero((labels[asked, None, :] == labels[None, run, :]).mean(2) >= least)
+                a, b = asked[a], run[b]
+                keep = (a != b) if lo == hi else (mine[a] != mine[b])
+                a_all.append(a[keep])
+                b_all.append(b[keep])
+    return np.concatenate(a_all), np.concatenate(b_all)
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -183,12 +213,78 @@ def verify(m: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, lo: int, hi:
     return at, links[at], low[at]
 
 
-def _blocks(df: DataFrame, counts: DataFrame, by: str, size: int) -> DataFrame:
-    """Cut the rows of large groups into blocks; a row meets every block of its group once, in task (lo, hi)."""
-    n = F.coalesce(F.ceil(F.col("__n") / size), F.lit(1)).cast("int")
-    out = df.join(counts, by, "left").withColumn("__b", n).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("__b")).cast("int"))
+def _part(tree: Column, depth: int) -> Column:
+    return F.substr(F.col("labels"), tree * (2 * depth) + 1, F.lit(2 * depth))
+
+
+def _node(tree: Column, depth: int, length: Column) -> Column:
+    """Key of the trie node that a document's prefix of a length leads to."""
+    return F.xxhash64(tree, length, F.substr(_part(tree, depth), F.lit(1), length * 2))
+
+
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Cut the rows of a node into blocks; a row meets every block of its node once, in task (lo, hi)."""
+    out = rows.withColumn("__b", blocks).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("__b")).cast("int"))
     out = out.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    return out.withColumn("lo", F.least("mine", "__o")).withColumn("hi", F.greatest("mine", "__o")).drop("__n", "__b", "__o")
+    return out.withColumn("lo", F.least("mine", "__o")).withColumn("hi", F.greatest("mine", "__o")).drop("__b", "__o")
+
+
+def probes(reps: DataFrame, threshold: float, trees: int, depth: int, recall: float, bucket: int, broadcast_rows: int) -> DataFrame:
+    """``node, tree, need, cls, lo, hi, mine``: the trie nodes that hold more than one document and are probed by one.
+
+    Nodes are met at the shortest prefix that any document takes; longer prefixes are runs within it.  Only below a
+    crowded node do longer prefixes get rows of their own, so that no task holds the whole of it.
+    """
+    shortest = max(1, prefix_length(threshold, trees, depth, recall) - 1)
+    tree, usual = F.col("tree"), shortened(frozenset(), threshold, trees, depth, recall)
+    every = reps.select("cls", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    nodes = every.select("cls", "tree", _node(tree, depth, F.lit(shortest)).alias("node"))
+    counted = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    near = common.written(nodes.join(counted, "node"), "ngram-near")
+    usual_need = F.array(*map(F.lit, usual))[tree]
+    calm = near.where(F.col("n") <= bucket)
+
+    # documents with a crowded node choose their own lengths
+    crowd = near.where(F.col("n") > bucket).select("cls", "tree").join(reps.select("cls", "labels"), "cls")
+    crowd = crowd.withColumn("length", F.explode(F.sequence(F.lit(shortest), F.lit(depth))))
+    crowd = common.written(crowd.select("cls", "tree", "length", _node(tree, depth, F.col("length")).alias("node")), "ngram-crowd")
+    sizes = common.written(crowd.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "ngram-sizes")
+    met = crowd.join(common.small(sizes, broadcast_rows), "node")
+    full = met.where(F.col("n") > bucket).groupBy("cls").agg(F.collect_list(tree * 64 + F.col("length")).alias("full"))  # at most one a tree and length
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            needs = [shortened(frozenset((x // 64, x % 64) for x in full), threshold, trees, depth, recall) for full in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(needs, pa.list_(pa.int32()))], ["cls", "needs"])
+
+    chosen = common.small(common.written(full.mapInArrow(lambda b: common.trimmed(choose(b)), "cls binary, needs array<int>"), "ngram-needs"), broadcast_rows)
+    need = F.coalesce(F.col("needs")[tree], usual_need)
+    calm = _dealt(calm.join(chosen, "cls", "left").select("node", "tree", need.alias("need"), "cls"), F.lit(1))
+    length = F.col("length")
+    met = met.join(chosen, "cls", "left").select("node", "n", "tree", F.when(length == need, length).otherwise(depth + 1).alias("need"), "cls")
+    asked = met.where(F.col("need") <= depth).select("node").distinct()
+    full = _dealt(met.join(asked, "node", "left_semi"), F.ceil(F.col("n") / bucket).cast("int")).drop("n")
+    return common.written(calm.unionByName(full), "ngram-probes")
+
+
+def _paired(rows: DataFrame, parts: int, depth: int, least: float, out, schema: str) -> DataFrame:
+    """Find neighbours node by node; ``out`` turns (columns, a, b) of one task's part into record batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for (_, lo, hi), cols in common.runs(batches, 3):
+            labels = np.frombuffer(b"".join(cols[6].to_pylist()), np.uint16).reshape(len(cols[6]), -1)
+            a, b = neighbours(labels, cols[4][0].as_py(), depth, cols[5].to_numpy(), cols[3].to_numpy(), lo, hi, least)
+            if len(a):
+                held.append(out(cols, a, b))
+                size += 1
+            if size >= 2000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    order = ["node", "lo", "hi"]
+    return rows.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(run(b)), schema)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, slack: float = SLACK, bucket: int = BUCKET, block: int = BLOCK, broadcast_rows: int = common.BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -198,44 +294,45 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    length = prefix_length(threshold, trees, depth, recall)
-    rows = common.written(sketch(docs, id_col, text_col, trees, depth, length), "ngram-sketch")
+    rows = common.written(sketch(docs, id_col, text_col, trees, depth), "ngram-sketch")
     base = rows.where("cls is not null and id is not null")
     same = common.written(base.groupBy("cls").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("m")), "ngram-class")
-    reps = common.written(base.join(same, "cls").where("id = rep").dropDuplicates(["cls"]).select("cls", "rep", "m", "sketch", "keys"), "ngram-rep")
-
-    nodes = reps.select("cls", F.explode("keys").alias("key"))
-    counted = nodes.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1")
-    near = nodes.join(counted, "key").select("key", "cls", "__n")
-    n = F.ceil(F.col("__n") / bucket).cast("int")
-    near = near.withColumn("__b", n).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("__b")).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    near = near.select("key", F.least("mine", "__o").alias("lo"), F.greatest("mine", "__o").alias("hi"), "mine", "cls")
-    near = near.join(reps.select("cls", "sketch"), "cls").select("key", "lo", "hi", "mine", "cls", "sketch")
+    reps = common.written(base.join(same, "cls").where("id = rep").dropDuplicates(["cls"]).select("cls", "rep", "m", "labels"), "ngram-rep")
+
+    met = probes(reps, threshold, trees, depth, recall, bucket, broadcast_rows)
+    near = met.join(reps.select("cls", "labels"), "cls").select("node", "lo", "hi", "mine", "tree", "need", "labels", "cls")
     parts = common.partitions(spark)
 
-    def stars_of(a: list, b: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(a), pa.concat_arrays(b)], ["a", "b"])
+    def stars(cols, a, b) -> pa.RecordBatch:
+        low = local_components(len(cols[7]), a, b)
+        at = np.unique(np.concatenate([a, b]))
+        at = at[at != low[at]]
+        return pa.RecordBatch.from_arrays([cols[7].take(pa.array(at)), cols[7].take(pa.array(low[at]))], ["a", "b"])
 
-    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for (_, lo, hi), cols in common.runs(batches, 3):
-            sk = np.frombuffer(b"".join(cols[5].to_pylist()), np.uint8).reshape(len(cols[5]), -1)
-            at, low = similar_stars(sk, cols[3].to_numpy(), lo, hi, threshold - slack)
-            keep = at != low
-            a.append(cols[4].take(pa.array(at[keep])))
-            b.append(cols[4].take(pa.array(low[keep])))
-            if len(a) > 5000:
-                yield stars_of(a, b)
-                a, b = [], []
-        if a:
-            yield stars_of(a, b)
-
-    order = ["key", "lo", "hi"]
-    stars = near.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: common.trimmed(connect(b)), "a binary, b binary").distinct()
-    groups = common.connected(stars)
+    groups = common.connected(_paired(near, parts, depth, threshold - slack, stars, "a binary, b binary").distinct())
     groups = common.written(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")).join(same, "cls"), "ngram-groups")
-    sizes = common.written(groups.groupBy("grp").agg(F.count("*").alias("__n")).where(F.col("__n") > block), "ngram-large")
-    dealt = common.written(_blocks(groups, common.small(sizes), "grp", block), "ngram-dealt")
+    large = common.small(common.written(groups.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block).select("grp"), "ngram-large"))
+    one = groups.join(large, "grp", "left_anti").select("grp", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("mine"), "cls", "m")
+
+    # large groups: blocks by the first min-hash; a value that too many share is cut by the class, rare ones are put together
+    first = F.substr(F.col("labels"), F.lit(1), F.lit(2))
+    spread = groups.join(large, "grp", "left_semi").join(reps.select("cls", first.alias("first")), "cls").select("grp", "first", "cls", "m")
+    values = common.written(spread.groupBy("grp", "first").agg(F.count("*").alias("n")), "ngram-values")
+    rare = values.where(F.col("n") <= block).groupBy("grp").agg(F.ceil(F.sum("n") / block).alias("slots"))
+    spread = spread.join(common.small(values, broadcast_rows), ["grp", "first"]).join(common.small(rare, broadcast_rows), "grp", "left")
+    often = F.xxhash64(F.lit(0), "grp", "first", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / block)))
+    mine = F.when(F.col("n") > block, often).otherwise(F.xxhash64(F.lit(1), "grp", F.pmod(F.xxhash64("first"), F.col("slots"))))
+    spread = common.written(spread.select("grp", mine.alias("mine"), "cls", "m"), "ngram-blocks")
+
+    def block_pairs(cols, a, b) -> pa.RecordBatch:
+        own = cols[9].to_numpy()
+        pair, at = np.unique(np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])]), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([cols[8].take(pa.array(a[at])), pa.array(pair[0]), pa.array(pair[1])], ["grp", "lo", "hi"])  # neighbours are of one group
+
+    inside = near.join(spread.select("cls", "grp", F.col("mine").alias("own")), "cls").select("node", "lo", "hi", "mine", "tree", "need", "labels", "cls", "grp", "own")
+    wanted = common.written(_paired(inside, parts, depth, threshold - slack, block_pairs, "grp binary, lo long, hi long").distinct(), "ngram-pairs")
+    sides = wanted.select("grp", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("mine"))
+    dealt = common.written(one.unionByName(sides.join(spread, ["grp", "mine"]).select("grp", "lo", "hi", "mine", "cls", "m")), "ngram-dealt")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -244,10 +341,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             yield pa.RecordBatch.from_arrays([pa.array([class_digest(h) for h in made], pa.binary()), pa.array([shingles(h).tobytes() for h in made], pa.binary())], ["cls", "set"])
 
     # all texts of a wanted id are read; those of other classes find no partner in the join by class
-    wanted = groups.select("rep")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col))
     # groups few enough (checked) go to the readers, so texts of others move nowhere; beyond that texts are shuffled
-    chosen = texts.join(common.small(wanted, broadcast_rows), "rep", "left_semi").mapInArrow(lambda b: common.trimmed(sets(b)), "cls binary, set binary").dropDuplicates(["cls"])
+    chosen = texts.join(common.small(groups.select("rep"), broadcast_rows), "rep", "left_semi").mapInArrow(lambda b: common.trimmed(sets(b)), "cls binary, set binary").dropDuplicates(["cls"])
     blocks = dealt.join(chosen, "cls").select("grp", "lo", "hi", "mine", "cls", "m", "set")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

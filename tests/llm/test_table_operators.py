@@ -166,7 +166,7 @@ def jaccard_by_hand(rows):
     return {i: (comp[i], degree[i], comp[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize(("bucket", "block", "limit"), [(2048, 512, 200_000), (4, 3, 0)])
+@pytest.mark.parametrize(("bucket", "block", "limit"), [(2048, 512, 200_000), (4, 3, 0), (12, 5, 200_000)])
 def test_ngram_join(spark, bucket, block, limit):
     rng = random.Random(8)
     text = data.texts()
@@ -203,6 +203,29 @@ def test_prefix_shortens_with_the_target():
     assert ngram_join.prefix_length(0.8, 24, 6, 0.9999) == 5
     assert ngram_join.prefix_length(0.5, 2, 6, 0.999999) == 1
 
+    def recall(lengths):
+        return 1 - math.prod(1 - 0.8**n for n in lengths)
+
+    usual = ngram_join.shortened(frozenset(), 0.8, 24, 6, 0.9999)
+    assert set(usual) == {5, 6} and recall(usual) >= 0.9999 > recall((*usual[:-1], usual[-1] + 1))
+    crowded = frozenset((t, n) for t in range(8) for n in (4, 5))
+    own = ngram_join.shortened(crowded, 0.8, 24, 6, 0.9999)
+    assert own[:8] == (6,) * 8 and 4 in own[8:] and recall(own) >= 0.9999
+    everywhere = frozenset((t, n) for t in range(24) for n in (4, 5))
+    assert ngram_join.shortened(everywhere, 0.8, 24, 6, 0.9999) == usual
+
+
+def test_forest_meets_similar_sets():
+    """Share of pairs of sets at the threshold that some tree brings together: the target but for sampling."""
+    rng = np.random.default_rng(4)
+    mult, mask = ngram_join._multipliers(24 * 6)
+    usual, met = np.array(ngram_join.shortened(frozenset(), 0.8, 24, 6, 0.9999)), 0
+    for _ in range(400):
+        both, own = rng.integers(0, 1 << 63, 160, np.uint64), rng.integers(0, 1 << 63, 40, np.uint64)
+        labels = np.stack([ngram_join.signature(np.concatenate([both, own[:20]]), mult, mask), ngram_join.signature(np.concatenate([both, own[20:]]), mult, mask)])
+        met += any(len(ngram_join.neighbours(labels, t, 6, np.full(2, usual[t]), np.zeros(2, int), 0, 0, 0.0)[0]) for t in range(24))
+    assert met >= 399
+
 
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"

@@ -6,7 +6,8 @@ text is parsed with the precedence with > and > or and evaluated to its obligati
 side, an ``and`` the stricter, a ``with`` softens copyleft.  A text's score is its strictest finding.
 
 Null and empty texts have no words, no labels (empty strings) and score 0; a tag with a broken expression counts
-as ``unknown``.  Repeated rows each give a row; other columns are ignored.
+as ``unknown``.  A word of prose ends an expression: an identifier is a known one or has a capital, digit, hyphen, dot or
+plus in it.  Null and repeated ids each give a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,6 +67,13 @@ def _label(identifier: str) -> str:
     return IDENTIFIERS.get(name, name)
 
 
+def _names(term: str) -> bool:
+    """Whether a word is an identifier: one of the known ones, or spelled as such (a capital, digit, hyphen, dot or plus
+    in it), not a word of prose behind the expression."""
+    term = term.rstrip(".")
+    return _label(term) in OBLIGATION or bool(re.search(r"[A-Z0-9]|[a-z][-.+]", term))
+
+
 def _join(op: str, a: tuple[float, frozenset], b: tuple[float, frozenset]) -> tuple[float, frozenset]:
     if op == "with":
         return min(a[0], 0.5), a[1]
@@ -90,7 +98,7 @@ def parse(expression: str) -> tuple[float, frozenset[str]] | None:
                 waiting.append(term)
                 depth += 1
                 continue
-            if term == ")" or low in _STRENGTH or not any(c.isalnum() for c in term):
+            if term == ")" or low in _STRENGTH or not _names(term):
                 break
             label = _label(term.rstrip("."))
             values.append((OBLIGATION.get(label, UNKNOWN), frozenset([label])))
@@ -140,7 +148,9 @@ def scan_text(text: str | None) -> tuple:
     found = [w for w in words(text or "") if w]
     line = (b" " + b" ".join(found) + b" ").decode("latin-1")
     n_base, first, last, base, labels, score, tagged = 0, None, None, set(), set(), 0.0, False
+    at_end = here = 0  # blanks up to the end of the last hit: hits come in the order of their ends, so the count goes on
     for end, phrase in _automaton().iter(line):
+        at_end, here = at_end + line.count(" ", here, end), end
         if phrase == TAG:
             tagged = True
             continue
@@ -150,7 +160,7 @@ def scan_text(text: str | None) -> tuple:
         if phrase in BASE:
             base.add(label)
             n_base += 1
-            at = line.count(" ", 0, end - len(phrase) - 1)
+            at = at_end - phrase.count(" ") - 1
             first, last = at if first is None else min(first, at), at if last is None else max(last, at)
     for expression in _expressions(text) if tagged else ():
         value, own = parse(expression) or (UNKNOWN, frozenset(["unknown"]))

@@ -1,7 +1,9 @@
 import hashlib
+import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -40,6 +42,26 @@ def test_token_counts_of_random_texts(library):
         assert machine.tokens(text) == machine.tokens(text, 7) == library(text), text
 
 
+def test_texts_without_blanks_settle(library):
+    m, rng = token_count.transducer(JSON), random.Random(6)
+    for alphabet in ("漢字仮名，。、「」", "abcdefgXYZ0123456789+/", "don't've!'s'll1,é²"):
+        text = "".join(rng.choice(alphabet) for _ in range(6000))
+        maps = [m.chunk(text[i : i + 500]) for i in range(0, len(text), 500)]
+        assert all(x.settled >= 0 for x in maps)
+        assert max(len(x.head) + len(x.tail) for x in maps) < 200
+        assert m.finish(m.scan(maps)) == library(text)
+    run = "a" * 3000
+    assert m.tokens(run, 500) == library(run)
+
+
+def test_a_tokenizer_that_is_not_modelled_is_refused(tmp_path):
+    spec = json.load(open(JSON, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not modelled"):
+            token_count.Transducer(str(tmp_path / "t.json"))
+
+
 def test_token_counts_of_an_empty_table(spark):
     assert token_count.count_tokens(data.documents(spark, []), JSON).count() == 0
 
@@ -83,10 +105,18 @@ def test_every_tag_of_a_line_counts(spark):
     assert got == [(0, "agpl,mit", 0.8), (1, "isc,mit", 0.2), (2, "gpl,mit", 0.7), (3, "mit,unknown", 0.6), (4, "mit", 0.2), (5, "bsd,mit", 0.2)]
 
 
+def test_positions_of_many_phrases_take_linear_time():
+    text = "cc by nc under the MIT license, " * 60_000
+    began = time.perf_counter()
+    assert license_scan.scan_text(text)[:4] == (420_000, 120_000, 0, 419_996)
+    assert time.perf_counter() - began < 5  # counting from the text's start at each hit takes minutes
+
+
 def test_license_precedence():
     assert license_scan.parse("MIT OR GPL-3.0 AND AGPL-3.0")[0] == 0.2
     assert license_scan.parse("(MIT OR GPL-3.0) AND AGPL-3.0")[0] == 0.8
-    assert license_scan.parse("MIT and some text")[1] == {"mit", "some"}
+    assert license_scan.parse("MIT and some text")[1] == {"mit"}
+    assert license_scan.parse("MIT AND Zlib and more")[1] == {"mit", "zlib"} and license_scan.parse("mit or isc.")[1] == {"mit", "isc"}
     assert license_scan.parse("OR MIT") is None and license_scan.parse("") is None
     assert license_scan.parse("MIT OR")[1] == {"mit"}
 

@@ -5,12 +5,15 @@ A state holds where the pre-tokenizer stands and, for the open piece, every star
 grow, with the last token before that start.  A transition carries the number of tokens that the character adds
 to the count of the text read so far (it may be negative when a longer token replaces shorter ones), so a count
 is the sum along the path.  A chunk whose entry state is unknown is summarised as a map from entry states to
-(count, exit state): behind the first place where a blank follows a non-blank every entry state leads to the same
-state, so the map is (head, settled count, tail).  Maps compose associatively, in a balanced scan.  For the same
+(count, exit state): at a place where a piece ends whatever came before (a blank behind a non-blank, or a change between
+letters, digits and signs) every entry state leads to the same state, so the map is (head, settled count, tail).
+Maps compose associatively, in a balanced scan.  Only a chunk within one run of letters, digits, signs or blanks has no
+such place; the run is one piece, which the tokenizer itself treats as a whole, and joins the next chunk.  For the same
 reason a space and the word behind it lead from a settled place to the next one: such steps are kept as composite
 transitions, so that a frequent word is one step and not one for each character.
 
-Null and empty texts have 0 tokens.  Special strings inside a text count as one token each, as the library does.
+A file that asks for more than this (a normalizer, another pre-tokenizer, dropout, added tokens that strip or match
+whole words) is refused.  Null and empty texts have 0 tokens.  Special strings inside a text count as one token each, as the library does.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ SPREAD = 65_536  # characters beyond which a text's chunks are dealt out to many
 MAX_TRANSITIONS = 800_000  # of a worker's table (some 300 bytes each); beyond it the lazily built table starts anew
 MAX_WORDS = 600_000  # composite transitions of a worker's table, likewise
 _BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(x) for x in range(0x2000, 0x200B)}
-_SYNC = re.compile(r"\S(?=[ \n\t\r])")
+LONGEST = 32  # characters of a word whose count is remembered
 _machines: dict[str, "Transducer"] = {}
 
 
@@ -74,9 +77,20 @@ class ChunkMap(NamedTuple):
     tail: str
 
 
+def _checked(spec: dict) -> dict:
+    """The tokenizer's file, if all that it asks for is modelled here."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    added = all(not t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip"))
+    if not (plain and pieces and added and not spec.get("normalizer")):
+        raise ValueError("this tokenizer is not modelled: byte-level BPE without a normalizer and with plain added tokens is")
+    return spec
+
+
 class Transducer:
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = _checked(json.load(open(path, encoding="utf-8")))
         alphabet = _byte_alphabet()
         number = {s: b for s, b in alphabet.items()}
         self.pair: dict[tuple[int, int], int] = {}
@@ -253,7 +267,9 @@ class Transducer:
                 if n is not None:
                     total += n
                 elif w and not w[-1].isspace():
-                    n = known[w] = self._walk(" " + w)
+                    n = self._walk(" " + w)
+                    if len(w) <= LONGEST:
+                        known[w] = n
                     total += n
                 else:
                     open_run = " " + w
@@ -264,14 +280,17 @@ class Transducer:
                     open_run = None
         return total if open_run is None else total + self._walk(open_run)
 
+    def _ends(self, a: str, b: str) -> bool:
+        """Whether a piece ends between two characters whatever stands before them; a letter behind an apostrophe may
+        belong to a contraction, and a blank may lead the word behind it."""
+        left, right = self.kind(a), self.kind(b)
+        return left != "W" and left != right and not (a == "'" and right == "L")
+
     def chunk(self, text: str) -> ChunkMap:
-        first = _SYNC.search(text)
-        if first is None:
+        f = next((i for i in range(1, len(text)) if self._ends(text[i - 1], text[i])), None)
+        if f is None:
             return ChunkMap(text, -1, "")
-        f = first.end()
-        g = max(text.rfind(c) for c in " \n\t\r")
-        while g > f and (text[g - 1].isspace() or text[g] not in " \n\t\r"):
-            g -= 1
+        g = next(i for i in range(len(text) - 1, 0, -1) if self._ends(text[i - 1], text[i]))
         return ChunkMap(text[:f], self.count(text[f:g]), text[g:])
 
     def then(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
@@ -347,8 +366,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     short = base.where(F.length("t") <= spread).mapInArrow(near, out)
     split = F.split("t", "|".join(rf"\Q{s}\E" for s in sorted(specials, key=len, reverse=True))) if specials else F.array("t")
     segs = base.where(F.length("t") > spread).withColumn("row", F.monotonically_increasing_id()).select("row", "id", "n_bytes", split.alias("segs")).select("row", "id", "n_bytes", (F.size("segs") - 1).cast("long").alias("more"), F.posexplode("segs").alias("seg", "s"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("s") - 1) / chunk)).cast("int"))
-    pieces = segs.select("row", "id", "n_bytes", "more", "seg", "s", F.explode(starts).alias("at")).withColumn("piece", F.col("s").substr(F.col("at") * chunk + 1, F.lit(chunk))).drop("s")
+    # one pass cuts a text; a chunk is not sought from the text's start
+    cut = F.when(F.col("s") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("s", F.lit(rf"(?s)(.{{1,{chunk}}})"), F.lit(1)))
+    pieces = segs.select("row", "id", "n_bytes", "more", "seg", F.posexplode(cut).alias("at", "piece"))
     maps = pieces.repartition(F.col("row"), F.col("seg"), F.col("at")).mapInArrow(far, f"row long, id {id_type}, n_bytes long, more long, seg int, at int, head string, settled long, tail string")
     long = maps.groupBy("row").applyInPandas(compose, out)
     return short.unionByName(long).withColumnRenamed("id", id_col)

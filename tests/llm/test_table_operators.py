@@ -157,6 +157,50 @@ def test_embedding_dedup(spark, block):
     assert embedding_dedup.near_dups(df.limit(0)).count() == 0
 
 
+def test_embedding_rows_without_an_id_and_repeated_ones(spark):
+    a, b, huge = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [1e200, 2e200, 3e200]
+    rows = [(1, a, 0), (1, a, 0), (None, a, 0), (2, b, 0), (3, huge, 0), (4, [1e-310, 2e-310, 3e-310], 0), (5, a, None), (6, a, 1), (6, [-x for x in a], 1), (7, [1.0, 2.0], 0), (8, [1.0, 2.0001], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = data.rows(embedding_dedup.near_dups(df), "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 0, None, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True), (6, 0, 6, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False)], key=repr)
+
+
+def test_leaves_stay_small_when_the_sample_is_thin():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 16))
+    x[10_000:] = x[:10_000] + rng.standard_normal((10_000, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = embedding_dedup.grow(x[rng.permutation(20_000)[:300]], len(x), 0.98, leaf=100)
+    keys = embedding_dedup.route(forest, x)
+    sizes = Counter(k for own in keys for k in own)
+    assert np.mean([sizes[k] for own in keys for k in own]) < 500  # 20,000 rows over some 16 sample leaves would be 1,250 and more
+    close = [i for i in range(10_000) if x[i] @ x[i + 10_000] >= 0.98]
+    assert sum(bool(set(keys[i]) & set(keys[i + 10_000])) for i in close) >= 0.95 * len(close)
+
+
+def test_embedding_recall_on_the_table(spark):
+    """The whole table with copies of every third vector, moved about as far as the threshold allows, against all pairs
+    by brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label")
+    rng, rows = np.random.default_rng(3), [tuple(r) for r in table.collect()]
+    for i, v, label in rows[::3]:
+        if v:
+            v = np.array(v, float)
+            step = rng.standard_normal(len(v))
+            rows.append((1_000_000 + i, [float(e) for e in v + step * np.linalg.norm(v) / np.linalg.norm(step) * rng.uniform(0.05, 0.2)], label))
+    want = Counter()
+    for label in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == label]
+        x = np.array([np.float32(r[1]) for r in own], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i, n in enumerate((x @ x.T >= 0.98).sum(1) - 1):
+            want[own[i][0]] += int(n)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_dups(df, leaf=60, sample=200).collect()}
+    assert len(got) == len(rows) and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.9 * sum(want.values()) > 0
+
+
 def jaccard_by_hand(rows):
     fold = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
     sets = {i: {tuple(w[k : k + 5]) for w in [fold(t)] for k in range(max(1, len(w) - 4))} if fold(t) else set() for i, t in rows}

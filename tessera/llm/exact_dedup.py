@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+MAP_WORDS = 1 << 17  # numbers of 64 bits in the map of surviving keys: 1 MB
 PREFIX = 64  # characters of the normalised text that the prefix hash reads
 
 
@@ -27,12 +28,26 @@ def text_digest(text_col: str) -> Column:
     return F.unhex(F.sha2(normalised(text_col), 256))
 
 
+def _place() -> tuple[Column, Column]:
+    """Where a key's bit stands: the number's place and its bit."""
+    h = F.xxhash64("len", "pre")
+    return F.pmod(h, F.lit(MAP_WORDS)).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(len, pre) div {MAP_WORDS}, 64) as int))")
+
+
+def bit_map(keys: DataFrame) -> DataFrame:
+    """One row with the bits that the keys set, as MAP_WORDS numbers of 64 bits; pre-aggregated, so its size is fixed."""
+    word, bit = _place()
+    held = keys.select(word.alias("word"), bit.alias("bit")).unionByName(keys.sparkSession.range(MAP_WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit")))
+    words = held.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x.bits).alias("words"))
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
     """``id, size, keep`` for the rows of groups of two or more; all other rows stay as they are.
 
-    The surviving (length, prefix hash) keys go to the readers if they are few enough (the count is checked), and
-    full hashes are then taken from survivors alone.  Beyond that, rows are hashed where they are read, so that
-    no text is shuffled, and the keys meet them in a shuffle join.
+    The surviving (length, prefix hash) keys go to the readers, and full hashes are taken from survivors alone: the
+    keys themselves if they are few enough (the count is checked), else a bit map of fixed size that they set; what
+    passes the map by chance is taken out by an exact join of narrow rows.  No text is shuffled.
     """
     common.bounded_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
@@ -42,7 +57,10 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     if groups.limit(broadcast_rows + 1).count() <= broadcast_rows:
         alive = keyed.join(F.broadcast(groups), ["len", "pre"], "left_semi").select("id", full)
     else:
-        alive = keyed.select("id", "len", "pre", full).join(groups, ["len", "pre"], "left_semi").select("id", "full")
+        bits = common.written(bit_map(groups), "dedup-bits")
+        word, bit = _place()
+        maybe = keyed.join(F.broadcast(bits)).where(F.get("words", word).bitwiseAND(bit) != 0)  # one row of MAP_WORDS numbers
+        alive = maybe.select("id", "len", "pre", full).join(groups, ["len", "pre"], "left_semi").select("id", "full")
     alive = common.written(alive, "dedup-alive")
     classes = alive.groupBy("full").agg(F.count("*").alias("size"), F.min("id").alias("keep")).where("size > 1")
     # a table of its own, so that both sides of the join have plain exchanges, which adaptive execution can split

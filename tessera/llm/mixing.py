@@ -3,10 +3,12 @@
 Each source has a mean repetition rate: its target share of the mixture over its share of the corpus (in bytes).
 A document's number of copies inverts the Poisson distribution with that mean at a number in [0, 1) drawn from a
 hash of the seed and its id, so it is the same on every run and every cluster.  Documents are exploded by their
-counts and shuffled globally by a hash of seed, id and copy.
+counts and shuffled globally: put in the order of a hash of seed, id and copy.
 
 A null source is a source of its own, named ''.  Null texts have 0 bytes; a source without bytes keeps one copy of
-each row.  Rows that repeat an id draw the same count.  An empty table gives an empty result.  Other columns ride along.
+each row unless its target is 0.  Rows that repeat an id draw the same count; a row with a null id draws by its text.
+An empty table gives an empty result.  Other columns ride along; columns that are named like the helper columns
+(``__copy``, ``__place``, ``__rate`` and so on) must be renamed before, which is checked.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, source_col:
         wanted = sizes.select("src", "bytes", F.coalesce(*pairs, F.lit(0.0)).alias("w"))
     whole = wanted.agg(F.sum("bytes").cast("double").alias("total"), F.sum("w").alias("w_total"))
     # `whole` is one row, so this is no cross product
-    return wanted.join(F.broadcast(whole)).select("src", "bytes", F.when(F.col("bytes") == 0, 1.0).otherwise(F.round(F.col("w") / F.col("w_total") * F.col("total") / F.col("bytes"), 9)).alias("rate"))
+    return wanted.join(F.broadcast(whole)).select("src", "bytes", F.when((F.col("bytes") == 0) & (F.col("w") == 0), F.lit(1.0 if targets is None else 0.0)).when(F.col("bytes") == 0, 1.0).otherwise(F.round(F.col("w") / F.col("w_total") * F.col("total") / F.col("bytes"), 9)).alias("rate"))
 
 
 def copies(u: Column, rate: Column) -> Column:
@@ -58,9 +60,12 @@ def copies(u: Column, rate: Column) -> Column:
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The replicated and globally shuffled rows: ``carry`` (default: all columns) with ``__copy`` and ``__place``."""
     common.bounded_batches(docs.sparkSession)
+    clash = {"__src", "__key", "__rate", "__n", "__copy", "__place"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"rename the columns {sorted(clash)}")
     table = common.written(rates(docs, targets, source_col, text_col), "mix-rates")
     cols = carry if carry is not None else docs.columns
-    base = docs.select(*cols, F.coalesce(source_col, F.lit("")).alias("__src"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key"))
+    base = docs.select(*cols, F.coalesce(source_col, F.lit("")).alias("__src"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.md5(common.whole(text_col).cast("binary")))).alias("__key"))
     met = base.join(common.small(table.select(F.col("src").alias("__src"), F.col("rate").alias("__rate"))), "__src")
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / 20).cast("int"))
     each = F.transform(F.sequence(F.lit(1), parts), lambda p: copies(unit(F.concat_ws(":", F.lit(str(seed)), F.col("__key"), p.cast("string"))), F.col("__rate") / parts))
@@ -68,7 +73,9 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, seed: int = SE
     out = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     out = out.withColumn("__place", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("__key"), F.col("__copy").cast("string")).cast("binary")))
     n = common.partitions(docs.sparkSession)
-    return out.select(*cols, "__copy", "__rate", "__place").repartitionByRange(n, "__place").sortWithinPartitions("__place")
+    # places are even, so their leading bits cut them into ranges without a first pass over the rows to sample them
+    part = F.floor(F.conv(F.substring("__place", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * n).cast("int")
+    return out.select(*cols, "__copy", "__rate", "__place").repartitionById(n, part).sortWithinPartitions("__place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,17 +21,22 @@ WHITE = r"[\x20\x09-\x0D]+"
 SHORT = 32
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[tuple[str, str]] = []
+#: (application, path, scope) of the tables written and not yet deleted.
+_written: list[tuple[str, str, str]] = []
+_scopes: list[str] = [""]
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (local tests)."""
+    """The cluster's shared folder; where none is set, a temporary one of this machine, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        atexit.register(shutil.rmtree, _own_dir[0].removeprefix("file://"), ignore_errors=True)
     return _own_dir[0]
 
 
@@ -45,31 +54,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    _written.append((spark.sparkContext.applicationId, path, _scopes[-1]))
     out = spark.read.schema(df.schema).parquet(path)
-    _written.append((spark.sparkContext.applicationId, path))
     out._stored_at = path
     return out
 
 
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables written inside belong to the named run; nested scopes stand for themselves."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def _delete(spark: SparkSession, items: list[tuple[str, str, str]]) -> None:
+    for item in items:
+        path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(item)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for table in tables:
-        item = (table.sparkSession.sparkContext.applicationId, table._stored_at)
-        if item in _written:
-            _delete(table.sparkSession, item)
-
-
-def _delete(spark: SparkSession, item: tuple[str, str]) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written.remove(item)
+        _delete(table.sparkSession, [x for x in _written if x[1] == table._stored_at])
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; only once every result that reads them is stored."""
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the tables of a named run; only once every result that reads them is stored.  Those of others stay."""
     app = spark.sparkContext.applicationId
-    for item in [x for x in _written if x[0] == app]:
-        _delete(spark, item)
+    _delete(spark, [x for x in _written if x[0] == app and x[2] == name])
 
 
 def bounded_batches(spark: SparkSession) -> None:

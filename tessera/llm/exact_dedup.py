@@ -85,15 +85,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def dropped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, digest`` of the rows that go, null ids included; ``digest`` is ``text_digest``."""
+def dropped(found: DataFrame) -> DataFrame:
+    """``id, digest`` of the rows that go by the decisions of ``decide``, null ids included; ``digest`` is ``text_digest``."""
     gone = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("id"))
-    return decide(docs, id_col, text_col).where(gone).select("id", F.unhex("full").alias("digest")).distinct()
+    return found.where(gone).select("id", F.unhex("full").alias("digest")).distinct()
 
 
-def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of the rows that go, as one narrow column ``id``; a row that stays may share its id with one of them."""
-    return dropped_rows(docs, id_col, text_col).select("id").distinct()
+def repeated(found: DataFrame) -> DataFrame:
+    """``id, digest`` of the rows that stay and occur more than once with one id (or with none) and one text."""
+    stays = found.where(F.col("keep").eqNullSafe(F.col("id"))).groupBy("id", "full").agg(F.count("*").alias("n"))
+    return stays.where("n > 1").select("id", F.unhex("full").alias("digest"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,9 @@ def test_only_copies_of_a_text_go(spark):
     exact = pipeline.drop_exact_copies(spark, data.documents(spark, rows), SF)
     kept = [(1, a), (2, "alone"), (None, "alone as well"), (4, ""), (5, b), (5, "other words"), (3, b + " end")]
     assert sorted(texts(exact), key=repr) == sorted(kept, key=repr)
+    twice = rows + [(7, "C c"), (7, "C  c"), (7, "C c"), (None, "no id"), (None, "no id"), (1, a), (5, "other words")]
+    again = [(i, " ".join(t.split())) for i, t in texts(pipeline.drop_exact_copies(spark, data.documents(spark, twice), SF))]
+    assert sorted(again, key=repr) == sorted(kept + [(7, "C c"), (None, "no id")], key=repr)
     near = pipeline.drop_near_copies(spark, data.documents(spark, kept), SF)
     assert sorted(texts(near), key=repr) == sorted((r for r in kept if r != (5, b)), key=repr)
 
@@ -79,12 +82,30 @@ def test_run_gives_the_last_stage(spark, stages):
     assert data.rows(pipeline.run(spark, SF), *names) == data.rows(stages["byte_bpe"], *names)
 
 
+def test_a_run_deletes_its_tables_and_no_others(spark):
+    from tessera.llm import common, exact_dedup
+
+    held = exact_dedup.exact_dedup(data.documents(spark))
+    before = {x[1] for x in common._written}
+    out = pipeline.run(spark, SF)
+    assert out.count() > 0 and held.count() == len(data.texts())
+    left = [x for x in common._written if x[1] not in before]
+    assert len([x for x in left if x[2].startswith("pipeline-rows")]) == 1  # the last stage reads it
+
+
 def test_stages_take_awkward_rows(spark, tmp_path):
     docs = data.documents(spark)
     docs = docs.unionByName(docs.where("doc_id % 9 = 0"))
+    given = set(texts(docs))
     for name, stage in pipeline.STAGES:
+        before = dict(texts(docs))
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
+        if name == "exact_dedup":
+            assert sorted(i for i, _ in texts(docs)) == sorted(w[0] for w in equal_by_hand(list(before.items())) if w[3])
+        if name == "ngram_join":
+            assert sorted(i for i, _ in texts(docs)) == sorted(i for i, (_, _, first) in jaccard_by_hand(list(before.items())).items() if first)
+    assert {r.doc_id: r.decoded_sha256 for r in docs.collect()}.items() <= {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in given}
     assert docs.count() > 0
     empty = data.documents(spark, [])
     for name, stage in pipeline.STAGES:

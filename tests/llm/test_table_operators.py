@@ -50,7 +50,7 @@ def test_exact_dedup(spark, limit):
     want = sorted(equal_by_hand([(r.doc_id, r.text) for r in docs.collect()]), key=repr)
     out = exact_dedup.exact_dedup(docs, prefix=3, broadcast_rows=limit)
     assert data.rows(out, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
-    gone = {r.id for r in exact_dedup.dropped_ids(docs).collect()}
+    gone = {r.id for r in exact_dedup.dropped(exact_dedup.decide(docs)).collect()}
     assert gone == {w[0] for w in want if not w[3]}
     assert exact_dedup.exact_dedup(data.documents(spark, [])).count() == 0
 

@@ -7,7 +7,9 @@ id and of equal texts one: four tenths give the learned lexicon, four the trees,
 sees what it was selected on.  Every document is then scored by its whole text in one pass.
 
 Null and empty texts get features of 0 and the score those lead to.  Without labels, or with one class only, every
-score is the share of label 1 (0 without labels).  A document labelled twice counts with its highest label.
+score is the share of label 1 (0 without labels).  A document labelled twice counts with its highest label.  Rows with
+a null id are scored but never learned from; rows that repeat an id and a text are learned from once and each give a
+row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,7 +71,9 @@ def weights(words: list[bytes], learned: dict[bytes, float], known: dict[bytes,
     for w in words:
         x = known.get(w)
         if x is None:
-            x = known[w] = max((learned.get(e.encode(), 0.0) for e in entries(w.decode("utf-8", "replace"))), default=0.0) if learned else 0.0
+            x = max((learned.get(e.encode(), 0.0) for e in entries(w.decode("utf-8", "replace"))), default=0.0) if learned else 0.0
+            if len(w) <= common.SHORT:
+                known[w] = x
         out.append(x)
     return out
 
@@ -158,14 +162,10 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators; every block is shrunk by one pseudo-row towards the mean so that no score is certain."""
-    order = np.argsort(z, kind="stable")
+    at, place = np.unique(z, return_inverse=True)  # rows of equal z are one from the start
     blocks: list[list[float]] = []  # first z, weight, sum
-    for v, label in zip(z[order], y[order], strict=True):
-        if blocks and blocks[-1][0] == v:
-            blocks[-1][1] += 1
-            blocks[-1][2] += label
-        else:
-            blocks.append([v, 1.0, float(label)])
+    for v, n, total in zip(at, np.bincount(place, minlength=len(at)), np.bincount(place, y, len(at)), strict=True):
+        blocks.append([float(v), float(n), float(total)])
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1][1] += last[1]
@@ -187,11 +187,14 @@ def learn(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     chosen = common.written(chosen, "toxic-sample")
-    # at most `sample` rows of two numbers: bounded whatever the input, so it may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), common.whole(text_col).alias("t")).withColumn("h", F.sha2("t", 256))
-    firsts = texts.join(F.broadcast(chosen), "id").groupBy("h").agg(F.min(F.struct("id", "y")).alias("f")).select("h", "f.id", "f.y")
+    # at most `sample` rows of two numbers: bounded whatever the input, so it may be broadcast; only texts that the join
+    # lets through are hashed, and rows that repeat an id are put together before any text moves
+    texts = docs.select(F.col(id_col).alias("id"), common.whole(text_col).alias("t"))
+    digest = F.sha2("t", 256).alias("h")
+    firsts = texts.join(F.broadcast(chosen), "id").select("id", "y", digest).groupBy("h").agg(F.min(F.struct("id", "y")).alias("f")).select("h", "f.id", "f.y")
     firsts = common.written(firsts, "toxic-firsts")
-    rows = common.written(texts.join(F.broadcast(firsts), ["id", "h"]), "toxic-texts")
+    met = texts.join(F.broadcast(firsts.select("id").distinct()), "id").select("id", "t", digest)
+    rows = common.written(met.join(F.broadcast(firsts), ["id", "h"]).dropDuplicates(["h"]), "toxic-texts")
     fold = F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(10))
 
     def passed_on(found: dict[str, list[int]]) -> pa.RecordBatch:

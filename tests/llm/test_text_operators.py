@@ -246,3 +246,53 @@ def test_isotonic_is_monotone():
     z, y = rng.normal(size=300), (rng.random(300) < 0.3).astype(float)
     knots, levels = toxicity.isotonic(z, y)
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all() and 0 < levels[0] and levels[-1] < 1
+
+
+def test_boosting_against_direct_sums():
+    """Every split tried and every leaf valued by plain loops over rows."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((300, 4)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > 0.5) | (rng.random(300) < 0.1)).astype(float)
+    forest = toxicity.boost(x, y, trees=4, depth=2, rate=0.3, bins=8)
+    z = [math.log(y.mean() / (1 - y.mean()))] * len(y)
+    edges = [sorted({float(e) for e in np.quantile(x[:, f], [i / 8 for i in range(1, 8)])}) for f in range(4)]
+
+    def split(rows, depth):
+        g = {i: y[i] - 1 / (1 + math.exp(-z[i])) for i in rows}
+        h = {i: (1 - 1 / (1 + math.exp(-z[i]))) / (1 + math.exp(-z[i])) for i in rows}
+        part = lambda own: sum(g[i] for i in own) ** 2 / (sum(h[i] for i in own) + 1)
+        if not depth:
+            return [(rows, 0.3 * sum(g.values()) / (sum(h.values()) + 1))]
+        best, cut = 1e-9, None
+        for f in range(4):
+            for e in edges[f]:
+                left, right = [i for i in rows if x[i, f] <= e], [i for i in rows if x[i, f] > e]
+                gain = part(left) + part(right) - part(rows)
+                if gain > best + 1e-12:
+                    best, cut = gain, (left, right)
+        left, right = cut or (rows, [])
+        return split(left, depth - 1) + split(right, depth - 1)
+
+    for _ in range(4):
+        for rows, value in split(list(range(len(y))), 2):
+            for i in rows:
+                z[i] += value
+    assert forest.raw(x) == pytest.approx(z, rel=1e-9)
+
+
+def test_calibration_against_the_min_max_formula():
+    rng = np.random.default_rng(5)
+    z = np.round(rng.standard_normal(120), 1)
+    y = (rng.random(120) < 1 / (1 + np.exp(-2 * z))).astype(float)
+    knots, levels = toxicity.isotonic(z, y)
+    at = sorted(set(z))
+    total, n = [sum(y[z == v]) for v in at], [int((z == v).sum()) for v in at]
+    mean = lambda i, k: sum(total[i : k + 1]) / sum(n[i : k + 1])
+    fit = [max(min(mean(j, k) for k in range(i, len(at))) for j in range(i + 1)) for i in range(len(at))]
+    want, highest = [], 0.0
+    for i in range(len(at)):
+        own = [j for j in range(len(at)) if fit[j] == pytest.approx(fit[i], abs=1e-12)]
+        highest = max(highest, (sum(total[j] for j in own) + y.mean()) / (sum(n[j] for j in own) + 1))
+        want.append(highest)
+    assert [levels[np.searchsorted(knots, v, side="right") - 1] for v in at] == pytest.approx(want, abs=1e-9)
+    assert list(levels) == sorted(levels) and 0 < levels[0] and levels[-1] < 1

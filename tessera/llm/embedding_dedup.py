@@ -148,13 +148,16 @@ def route_unfitted(x: np.ndarray, rows: int, threshold: float, trees: int = TREE
     return [sorted(k) for k in out]
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
+def _units_of(x: np.ndarray) -> np.ndarray:
     """Unit vectors; a power of two takes off what would overflow when squared, without any rounding."""
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    return _units_of(np.stack([np.asarray(v, np.float64) for v in vectors]))
+
+
 def _first(keys_a: np.ndarray, keys_b: np.ndarray, here: int) -> np.ndarray:
     """Whether no leaf before ``here`` holds both vectors of a pair."""
     ok = np.ones(len(keys_a), bool)
@@ -235,27 +238,30 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     cut = cut.select("label", "leaf", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "cls", "v", "m", "keys")
 
-    def compare(key, pdf):
-        _, here, lo, hi = key
-        cls, m = pdf["cls"].to_numpy(), pdf["m"].to_numpy()
-        x = _units(pdf["v"])
-        width = max(map(len, pdf["keys"]))
-        keys = np.full((len(pdf), width), -1, np.int64)
-        for i, k in enumerate(pdf["keys"]):
-            keys[i, : len(k)] = k
-        links, a_all, b_all = np.zeros(len(pdf), np.int64), [], []
-        for a, b in link_block(x, np.where(pdf["mine"] == lo, 0, 1), lo == hi, threshold):
-            a_all.append(a)
-            b_all.append(b)
-            new = _first(keys[a], keys[b], int(here))
-            np.add.at(links, a[new], m[b[new]])
-            np.add.at(links, b[new], m[a[new]])
-        a, b = (np.concatenate(s) if s else np.zeros(0, int) for s in (a_all, b_all))
-        low = local_components(len(cls), a, b)
-        at = np.unique(np.concatenate([a, b]))
-        return pd.DataFrame({"cls": cls[at], "links": links[at], "low": cls[low[at]]})
-
-    found = common.written(cut.groupBy("label", "leaf", "lo", "hi").applyInPandas(compare, "cls binary, links long, low binary"), "vec-links")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, here, lo, hi), (*_, mine, cls, vec, m, own) in common.runs(batches, 4):
+            n, m = len(cls), m.to_numpy()
+            if n < 2:
+                continue
+            x = _units_of(vec.flatten().to_numpy().reshape(n, -1))  # a leaf's vectors are of one length
+            ends = own.value_lengths().to_numpy()
+            keys = np.full((n, ends.max()), -1, np.int64)
+            keys[np.arange(keys.shape[1]) < ends[:, None]] = own.flatten().to_numpy()
+            links, a_all, b_all = np.zeros(n, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in link_block(x, np.where(mine.to_numpy() == lo, 0, 1), lo == hi, threshold):
+                a_all.append(a)
+                b_all.append(b)
+                new = _first(keys[a], keys[b], int(here))
+                links += (np.bincount(a[new], m[b[new]], n) + np.bincount(b[new], m[a[new]], n)).astype(np.int64)
+            a, b = np.concatenate(a_all), np.concatenate(b_all)
+            if len(a):
+                low = local_components(n, a, b)
+                at = np.unique(np.concatenate([a, b]))
+                yield pa.RecordBatch.from_arrays([cls.take(pa.array(at)), pa.array(links[at]), cls.take(pa.array(low[at]))], ["cls", "links", "low"])
+
+    order = ["label", "leaf", "lo", "hi"]
+    dealt = cut.repartition(common.partitions(spark), *order).sortWithinPartitions(*order).select(*order, "mine", "cls", "v", "m", "keys")
+    found = common.written(dealt.mapInArrow(lambda b: common.trimmed(compare(b)), "cls binary, links long, low binary"), "vec-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = common.connected(found.select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()).withColumnRenamed("node", "cls")
     parts = common.written(parts.join(same, "cls").select("cls", "component", "rep"), "vec-parts")

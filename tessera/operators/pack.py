@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,71 +75,116 @@ def render(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("block", block).withColumn("bytes", F.octet_length("block")).withColumn("terms", text.distinct_terms(F.col("body"))).drop("source", "head")
 
 
+def _gathered(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """A task's candidates (a few hundred at most, by the retrieval limits) as one array."""
+    return candidates.groupBy("task_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
+
+
+def marginal(score: float, size: int, cost: int, terms: frozenset, chosen: list[frozenset]) -> float:
+    """Value a byte: less the more the terms overlap those already chosen, and the longer the block is."""
+    overlap = max((len(terms & c) / max(1, len(terms | c)) for c in chosen), default=0.0)
+    return (score - OVERLAP_PENALTY * overlap) * max(NOVELTY_FLOOR, 1 - overlap) / max(1, size + cost)
+
+
 def greedy(candidates: DataFrame, budget: int, required: list[str] | None = None) -> DataFrame:
     """Pick by marginal value until nothing is left: (task_id, id, place, state, value) with state included, omitted,
     pruned or reused.
 
     Input columns: task_id, id, score, role, bytes, terms, required (boolean), known (boolean).  A candidate is worth
     less the more its terms overlap one already chosen, and less the longer it is.  Each choice depends on all
-    earlier ones, so a task's candidates (a few hundred at most) are packed by one call.
+    earlier ones, so a task's candidates are packed by one call; many tasks share an Arrow batch.
     """
-    import pandas as pd
-
-    def pack(pdf):
-        left = {r.id: (r, frozenset(r.terms)) for r in pdf.itertuples()}
-        chosen, used, rows = [], 0, []
-
-        def worth(r, terms):
-            overlap = max((len(terms & c) / max(1, len(terms | c)) for c in chosen), default=0.0)
-            return (r.score - OVERLAP_PENALTY * overlap) * max(NOVELTY_FLOOR, 1 - overlap) / max(1, r.bytes + ROLE_COST.get(r.role, 120))
+    import pyarrow as pa
 
+    def pack(rows: list[dict]) -> list[tuple[str, str, float]]:
+        left = {r["id"]: (r, frozenset(r["terms"])) for r in rows}
+        chosen, used, out = [], 0, []
         while left:
-            values = {i: worth(*x) for i, x in left.items()}
-            for i in [i for i, v in values.items() if v < VALUE_FLOOR and not left[i][0].required and left[i][0].role != "task-anchor"]:
-                rows.append((i, "pruned", values[i]))
+            values = {i: marginal(r["score"], r["bytes"], ROLE_COST.get(r["role"], 120), terms, chosen) for i, (r, terms) in left.items()}
+            need = {i: 2 if r["role"] == "task-anchor" else 1 if r["required"] else 0 for i, (r, _) in left.items()}
+            for i in [i for i, v in values.items() if v < VALUE_FLOOR and not need[i]]:
+                out.append((i, "pruned", values[i]))
                 del left[i]
             if not left:
                 break
-            must = lambda i: 2 if left[i][0].role == "task-anchor" else 1 if left[i][0].required else 0
-            best = max(left, key=lambda i: (must(i), values[i], left[i][0].score, i))
+            best = max(left, key=lambda i: (need[i], values[i], left[i][0]["score"], i))
             r, terms = left.pop(best)
-            if r.known or used + r.bytes <= budget:
+            fits = used + r["bytes"] <= budget
+            if r["known"] or fits:
                 chosen.append(terms)
-                used += 0 if r.known else r.bytes
-                rows.append((best, "reused" if r.known else "included", values[best]))
-            else:
-                rows.append((best, "omitted", values[best]))
-        return pd.DataFrame([(pdf["task_id"].iloc[0], i, n, s, round(v, 3)) for n, (i, s, v) in enumerate(rows)], columns=["task_id", "id", "place", "state", "value"])
+                used += 0 if r["known"] else r["bytes"]
+            out.append((best, "reused" if r["known"] else "included" if fits else "omitted", values[best]))
+        return out
+
+    def run(batches):
+        for b in batches:
+            tasks, out = b.column(0), [pack(rows) for rows in b.column(1).to_pylist()]
+            at = pa.array([i for i, rows in enumerate(out) for _ in rows], pa.int64())
+            flat = [(place, *row) for rows in out for place, row in enumerate(rows)]
+            columns = [pa.array([r[1] for r in flat], pa.string()), pa.array([r[0] for r in flat], pa.int32()), pa.array([r[2] for r in flat], pa.string()), pa.array([round(r[3], 3) for r in flat], pa.float64())]
+            yield pa.RecordBatch.from_arrays([tasks.take(at), *columns], ["task_id", "id", "place", "state", "value"])
 
     kind = candidates.schema["task_id"].dataType.simpleString()
-    return candidates.select("task_id", "id", "score", "role", "bytes", "terms", "required", "known").groupBy("task_id").applyInPandas(pack, f"task_id {kind}, id string, place int, state string, value double")
+    gathered = _gathered(candidates, ["id", "score", "role", "bytes", "terms", "required", "known"])
+    return gathered.mapInArrow(run, f"task_id {kind}, id string, place int, state string, value double")
+
+
+def measured(blocks: DataFrame, count, column: str = "bytes") -> DataFrame:
+    """Blocks with their size in the caller's own units: ``count`` takes a text and gives a whole number (tokens of a
+    tokenizer, say).  Packing by it keeps a budget in these units; texts are counted in Arrow batches."""
+    @F.pandas_udf("int")
+    def units(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: int(count(t or "")))
+
+    return blocks.withColumn(column, units("block"))
 
 
 def frontier(candidates: DataFrame, budget: int) -> DataFrame:
     """Pack an edit's surroundings (task_id, id, role, ord, bytes, terms, used) role by role; the first of each role is
-    required, the others are pruned below the value floor; blocks that do not fit are passed over."""
-    import pandas as pd
-
-    def pack(pdf):
-        used, chosen, have, rows = int(pdf["used"].iloc[0]), [], set(), []
-        for role in FRONTIER_BASE:
-            for r in pdf[pdf["role"] == role].sort_values("ord").itertuples():
-                terms = frozenset(r.terms)
-                overlap = max((len(terms & c) / max(1, len(terms | c)) for c in chosen), default=0.0)
-                value = (FRONTIER_BASE[role] - OVERLAP_PENALTY * overlap) * max(NOVELTY_FLOOR, 1 - overlap) / max(1, r.bytes + FRONTIER_COST[role])
-                if role in have and value < VALUE_FLOOR:
-                    rows.append((r.id, role, "pruned"))
-                elif used + r.bytes > budget:
-                    rows.append((r.id, role, "omitted"))
-                else:
-                    used += r.bytes
-                    have.add(role)
-                    chosen.append(terms)
-                    rows.append((r.id, role, "included"))
-        return pd.DataFrame([(pdf["task_id"].iloc[0], *r) for r in rows], columns=["task_id", "id", "role", "state"])
+    required, the others are pruned below the value floor; blocks that do not fit are passed over.
 
-    kind = candidates.schema["task_id"].dataType.simpleString()
-    return candidates.select("task_id", "id", "role", "ord", "bytes", "terms", "used").groupBy("task_id").applyInPandas(pack, f"task_id {kind}, id string, role string, state string")
+    A fold over the ordered candidates: its state is the bytes used, the roles met and the terms chosen so far.
+    """
+    by_role = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    place = F.array_position(F.array(*map(F.lit, FRONTIER_BASE)), F.col("role"))
+    own = candidates.where(F.col("role").isin(list(FRONTIER_BASE))).select(
+        "task_id", F.struct(place.alias("place"), "ord", "id", "role", F.col("bytes").cast("long").alias("bytes"), F.array_distinct("terms").alias("terms"), F.col("used").cast("long").alias("used"),
+                            by_role(FRONTIER_BASE)[F.col("role")].alias("base"), by_role(FRONTIER_COST)[F.col("role")].alias("cost")).alias("c"),
+    )
+    rows = own.groupBy("task_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    out_type = "array<struct<id:string,role:string,state:string>>"
+    start = F.struct(F.get("c", 0).used.alias("used"), F.array().cast("array<string>").alias("roles"), F.array().cast("array<array<string>>").alias("chosen"), F.array().cast(out_type).alias("out"))
+
+    def take(s: Column, c: Column) -> Column:
+        shared_part = lambda x: F.size(F.array_intersect(c.terms, x)) / F.greatest(F.lit(1), F.size(F.array_union(c.terms, x)))
+        overlap = F.coalesce(F.array_max(F.transform(s.chosen, shared_part)), F.lit(0.0))
+        value = (c.base - OVERLAP_PENALTY * overlap) * F.greatest(F.lit(NOVELTY_FLOOR), 1 - overlap) / F.greatest(F.lit(1), c.bytes + c.cost)
+        pruned = F.array_contains(s.roles, c.role) & (value < VALUE_FLOOR)
+        fits = ~pruned & (s.used + c.bytes <= budget)
+        state = F.when(pruned, "pruned").when(fits, "included").otherwise("omitted")
+        return F.struct(
+            F.when(fits, s.used + c.bytes).otherwise(s.used).alias("used"), F.when(fits, F.array_union(s.roles, F.array(c.role))).otherwise(s.roles).alias("roles"),
+            F.when(fits, F.concat(s.chosen, F.array(c.terms))).otherwise(s.chosen).alias("chosen"), F.concat(s.out, F.array(F.struct(c.id.alias("id"), c.role.alias("role"), state.alias("state")))).alias("out"),
+        )
+
+    return rows.select("task_id", F.inline(F.aggregate("c", start, take).out))
+
+
+def imports_block(used: DataFrame, imports: DataFrame, budget: int) -> DataFrame:
+    """(task_id, block, bytes, included): a task's imports, each once in their order, as the last block of its pack; it is
+    added whole or not at all.  ``used``: (task_id, used); ``imports``: (task_id, source, ord)."""
+    firsts = imports.groupBy("task_id", "source").agg(F.min("ord").alias("ord"))
+    lines = firsts.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda x: x.source), "\n").alias("lines"))
+    out = used.join(lines, "task_id").withColumn("block", F.concat(F.lit("\n# imports\n"), "lines", F.lit("\n"))).withColumn("bytes", F.octet_length("block"))
+    return out.select("task_id", "block", "bytes", (F.col("used") + F.col("bytes") <= budget).alias("included"))
+
+
+def receipt_ids(symbols: DataFrame) -> DataFrame:
+    """(task_id, receipt): the name of the receipt of a task's symbols (task_id, id, hash), from their sorted JSON."""
+    text_of = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    pair = F.struct("id", F.concat(text_of(F.col("id")), F.lit(": "), text_of(F.col("hash"))).alias("json"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_set(pair)), lambda x: x.json), ", ")
+    return symbols.groupBy("task_id").agg(F.substring(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256), 1, 24).alias("receipt"))
 
 
 def first_fit(blocks: DataFrame, budget: int, order: list[str]) -> DataFrame:
@@ -204,12 +250,12 @@ def footer(df: DataFrame, template: str = "estimated_token_saving_percent: {}\n"
     extra = len(template.format(""))
 
     def percent(chars: Column) -> Column:
-        return F.round(F.least(F.lit(1.0), F.round(1.0 - chars / F.col("expected_native_units"), 4)) * 100, 1)
+        return F.round(F.least(F.lit(1.0), F.round(1.0 - chars / F.nullif(F.col("expected_native_units").cast("double"), F.lit(0.0)), 4)) * 100, 1)
 
     value = percent(F.col("payload_chars"))
     for _ in range(rounds):
         value = percent(F.col("payload_chars") + extra + F.length(F.format_string("%.1f", value)))
-    return df.withColumn("percent", F.when(value >= 0, value))
+    return df.withColumn("percent", F.when((F.col("expected_native_units") > 0) & (value >= 0), value))
 
 
 def decide(df: DataFrame, payload_limit: int = 7800) -> DataFrame:

@@ -234,3 +234,79 @@ def _weighed(here: DataFrame, asked: DataFrame) -> DataFrame:
     extra = F.when(about_prefix, F.when(F.col("s").contains("memcmp"), 80).otherwise(0) + F.when(F.col("n").endswith("cmp"), 50).otherwise(0) + F.when(F.col("n").endswith("len"), 25).otherwise(0)).otherwise(0)
     score = prefix * 12 + ratio("t", "n") * 20 + F.size(F.array_intersect("terms", "have")) * 2 + extra
     return met.select("task_id", "id", "path", F.round(score, 6).alias("score")).where("score > 0")
+
+
+# ---- definitions found by name, and an edit's surroundings
+
+# A definition of one of the names that stand for {0}.
+DEFINITION = r"(?is)\b(?:def|class|fn|function|interface|struct|enum|trait|type)\s+(?:{0})(?![A-Za-z0-9_])|\b(?:const|let|var)\s+(?:{0})\s*[=:]"
+# Folders of other people's code.
+VENDOR = ["deps", "vendor", "third_party", "third-party"]
+TEST_MARKS = ["test", "spec", "__tests__", "testing"]
+BEFORE, AFTER = 6, 7  # lines around a reference
+READ_TESTS, READ_NEAR, READ_FAR = 6, 4, 4  # files that are looked into, by kind
+
+
+def exact_definitions(tasks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(task_id, id, place): the symbols that a task names, best first; one for a task with one name, else two.
+
+    Production code goes first, then code that is not a vendor's, bodies before declarations, paths whose parts the task
+    mentions, short paths, ids.  ``symbols`` may come from files that ``DEFINITION`` let through to the parser.
+    """
+    names = text.task_identifiers(F.col("text"))
+    asked = tasks.select("task_id", F.lower("text").alias("folded"), F.size(names).alias("n"), F.explode(names).alias("name"))
+    asked = asked.withColumn("leaf", F.lower(F.regexp_extract("name", r"([^.]*)$", 1))).withColumn("name", F.lower("name"))
+    own = symbols.withColumn("leaf", F.lower("name")).withColumn("qual", F.lower("qualname")).drop("name", "qualname")
+    met = asked.join(own, "leaf").where(~F.col("name").contains(".") | (F.col("qual") == F.col("name")) | F.col("qual").endswith(F.concat(F.lit("."), "name")))
+    parts = F.split(F.lower("path"), "/")
+    said = F.size(F.filter(F.array_distinct(parts), lambda p: (F.length(p) >= 3) & F.replace(F.col("folded"), F.lit("\\"), F.lit("/")).contains(p)))
+    order = [F.col("is_test"), F.arrays_overlap(parts, F.array(*map(F.lit, VENDOR))), F.col("language").isin("c", "cpp") & F.trim("source").endswith(";"), F.desc(said), F.size(parts), F.col("id")]
+    once = met.dropDuplicates(["task_id", "id"])
+    best = shared.top(once, ["task_id"], order, 2, "place")
+    return best.where((F.col("n") > 1) | (F.col("place") == 1)).select("task_id", "id", "place")
+
+
+def reference_windows(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """(task_id, role, path, line, first, last, source): where other files name a target (task_id, path, name), as windows
+    of lines: the first two tests and the first caller.
+
+    Files (path, text) meet targets by their words; tests go first, then files of the target's folder, then short and
+    small paths.  So many tests, neighbours and other files are looked into at most, by name order.
+    """
+    word = r"(?<![A-Za-z0-9_])([A-Za-z0-9_]+)"
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    asked = targets.select("task_id", F.col("path").alias("own"), F.lower("name").alias("leaf"))
+    low = files.select("path", "text", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(1))).alias("words"))
+    hits = low.select("path", F.explode("words").alias("leaf")).join(shared.small(asked), "leaf").where(F.col("path") != F.col("own"))
+    test = F.exists(F.array(*map(F.lit, TEST_MARKS)), lambda m: F.lower("path").contains(m))
+    ranked = hits.select("task_id", "leaf", "path", test.alias("is_test"), (folder(F.col("path")) == folder(F.col("own"))).alias("near"), F.size(F.split("path", "/")).alias("depth"))
+    kind = F.when(F.col("is_test"), 0).when(F.col("near"), 1).otherwise(2)
+    most = F.when(F.col("kind") == 0, READ_TESTS).when(F.col("kind") == 1, READ_NEAR).otherwise(READ_FAR)
+    order = [~F.col("near"), F.col("depth"), F.lower("path"), F.col("path")]
+    ranked = ranked.withColumn("kind", kind)
+    read = shared.top(ranked, ["task_id", "kind"], order, max(READ_TESTS, READ_NEAR, READ_FAR)).where(F.col("rank") <= most)
+    first = Window.partitionBy("task_id", "is_test").orderBy("kind", "rank")
+    kept = read.withColumn("i", F.row_number().over(first)).where((F.col("i") <= 2) & F.col("is_test") | (F.col("i") == 1))
+    met = kept.join(files.select("path", "text"), "path")
+    lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
+    at = F.array_position(F.transform(lines, lambda line: F.array_contains(F.regexp_extract_all(F.lower(line), F.lit(word), F.lit(1)), F.col("leaf"))), True) - 1
+    out = met.withColumn("lines", lines).withColumn("at", at.cast("int")).where("at >= 0")
+    start, stop = F.greatest(F.lit(0), F.col("at") - BEFORE), F.least(F.size("lines"), F.col("at") + AFTER)
+    return out.select(
+        "task_id", F.when(F.col("is_test"), "test").otherwise("caller").alias("role"), "path", (F.col("at") + 1).alias("line"), (start + 1).alias("first"), stop.alias("last"),
+        F.array_join(F.slice("lines", start + 1, stop - start), "\n").alias("source"),
+    )
+
+
+def nearby_symbols(targets: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(task_id, id, role, place): symbols of a target's own file that its source names (the two shortest), and the
+    shortest declaration of its name elsewhere.  ``targets``: (task_id, id)."""
+    t = targets.join(symbols.select("id", F.col("path").alias("own"), F.lower("name").alias("leaf"), F.lower("source").alias("body")), "id").select("task_id", F.col("id").alias("target"), "own", "leaf", "body")
+    words = F.regexp_extract_all("body", F.lit(r"(?U)(\w+)"), F.lit(1))
+    s = symbols.select("id", "path", F.lower("name").alias("name"), F.length("source").alias("size"), F.trim("source").endswith(";").alias("declares"))
+    outside = (F.col("id") != F.col("target")) & ~F.startswith(F.col("target"), F.concat("id", F.lit(".")))
+    said = t.select("task_id", "target", F.col("own").alias("path"), F.explode(F.array_distinct(words)).alias("name")).where(F.length("name") >= 3)
+    near = said.join(s, ["path", "name"]).where(outside)
+    declared = t.join(s.where("declares"), F.col("leaf") == F.col("name")).where(F.col("id") != F.col("target"))
+    pick = lambda df, role, n: shared.top(df, ["task_id"], [F.col("size"), F.col("id")], n, "place").select("task_id", "id", F.lit(role).alias("role"), "place")
+    return pick(near, "dependency", 2).unionByName(pick(declared, "declaration", 1))

@@ -153,7 +153,7 @@ def creation_scores(spark, sf):
 def definition_prefilter(spark, sf):
     """Raw texts that can define a wanted name, found before any parsing."""
     names = ["the", "que"]
-    pattern = r"(?is)\b(?:def|class|fn|function|interface|struct|enum|trait|type)\s+(?:{0})(?![A-Za-z0-9_])|\b(?:const|let|var)\s+(?:{0})\s*[=:]".format("|".join(names))
+    pattern = search.DEFINITION.replace("{0}", "|".join(names))
     return b.table(spark, sf, "pages").where(F.col("html").rlike(pattern)).select("page_id")
 
 

@@ -110,7 +110,7 @@ def bootstrap_ratio(spark, sf):
     r = b.runs(spark, sf)
     side = lambda g: F.max(F.when(F.col("group") == g, F.col("input_tokens")))
     pairs = r.groupBy("task_id", "level").agg(side("baseline").cast("double").alias("baseline"), side("treatment").cast("double").alias("treatment")).where("baseline > 0 and treatment > 0")
-    return stats.bootstrap_log_ratio(pairs.select(F.col("level").cast("string").alias("stratum"), "baseline", "treatment"), resamples=500)
+    return stats.bootstrap_log_ratio(pairs.select(F.col("level").cast("string").alias("stratum"), F.col("task_id").cast("long").alias("pair"), "baseline", "treatment"))
 
 
 def median_latency(spark, sf):

@@ -185,12 +185,6 @@ def test_greedy_prefers_new_terms(spark):
     assert state.count("included") <= 2 and state.count("pruned") >= 3
 
 
-def test_bootstrap_is_reproducible(spark):
-    df = spark.createDataFrame([("s", float(100 + i), float(60 + i % 7)) for i in range(30)], "stratum string, baseline double, treatment double")
-    a, b = (stats.bootstrap_log_ratio(df, 200).first() for _ in range(2))
-    assert a == b and a.low < a.reduction_percent < a.high
-
-
 def test_closure_is_a_fixed_point(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("x", None)], "source string, target string")
     start = spark.createDataFrame([("c",)], "id string")
@@ -218,3 +212,215 @@ def test_prepare_target_has_one_rule_at_every_size(spark, tmp_path):
     got = {r.query: (r.id, r.ready) for r in pack_queries.prepare_target(spark, str(tmp_path)).where("query like '%.%'").collect()}
     assert len(got) == n // 20
     assert got["ring_20.100020"] == ("Brand::ring_20.100020", True) and got["ring_20.20"] == (None, False)
+
+@pytest.fixture()
+def tx(engine, tree):
+    from tessera.plans.transactions import Transactions
+
+    return Transactions(engine.store, str(tree))
+
+
+def change(spark, engine, name, source):
+    s = {r.name: r for r in engine.symbols().collect()}[name]
+    return spark.createDataFrame([(s.id, s.hash, source)], "id string, expected_hash string, source string")
+
+
+def test_transaction_rolls_back(spark, tree, engine, tx):
+    old = (tree / "store/prices.py").read_text()
+    with pytest.raises(snapshot.Conflict, match="no transaction"):
+        tx.active()
+    tx.begin()
+    with pytest.raises(snapshot.Conflict, match="already active"):
+        tx.begin()
+    first = change(spark, engine, "postage", "def postage(amount):\n    return 7\n")
+    assert "+    return 7" in tx.update(first).first().diff and (tree / "store/prices.py").read_text() == old
+    tx.update(first, dry_run=False)
+    tx.update(change(spark, engine, "postage", "def postage(amount):\n    return 8\n"), dry_run=False)
+    assert "return 8" in (tree / "store/prices.py").read_text()
+    assert [r.name for r in engine.symbols().where("source like '%return 8%'").collect()] == ["postage"]
+    diff = tx.diff().collect()
+    assert len(diff) == 1 and "+    return 8" in diff[0].diff and "-    return 0 if" in diff[0].diff
+    with pytest.raises(snapshot.Conflict):  # an old hash
+        tx.update(first, dry_run=False)
+    assert tx.rollback()["status"] == "rolled_back"
+    assert (tree / "store/prices.py").read_text() == old and not list((tree / "store").glob(".prices*.py.*"))
+    assert engine.status()["counts"]["symbols"] > 0
+    tx.begin()
+
+
+def test_transaction_commits_only_tested_sources(spark, tree, engine, tx):
+    tx.begin()
+    tx.update(change(spark, engine, "postage", "def postage(amount):\n    return 7\n"), dry_run=False)
+    with pytest.raises(snapshot.Conflict, match="tests"):
+        tx.commit()
+    tx.record_tests(True)
+    tx.update(change(spark, engine, "total", "def total(amount, rate):\n    return postage(amount)\n"), dry_run=False)
+    with pytest.raises(snapshot.Conflict, match="tests"):
+        tx.commit()
+    tx.record_tests(True)
+    (tree / "store/broken.py").write_text("def x(:\n")
+    with pytest.raises(snapshot.Conflict, match="parse"):
+        tx.commit()
+    (tree / "store/broken.py").unlink()
+    assert tx.commit()["status"] == "committed" and "return 7" in (tree / "store/prices.py").read_text()
+    with pytest.raises(snapshot.Conflict):
+        tx.active()
+
+
+def test_transaction_sees_changes_from_outside(spark, tree, engine, tx):
+    tx.begin()
+    tx.update(change(spark, engine, "postage", "def postage(amount):\n    return 7\n"), dry_run=False)
+    (tree / "store/prices.py").write_text("x = 1\n")
+    for end in (tx.rollback, tx.commit):
+        with pytest.raises(snapshot.Conflict, match="outside"):
+            end()
+
+
+def test_transaction_outlives_a_crash_before_the_files(spark, tree, engine, tx, monkeypatch):
+    old = (tree / "store/prices.py").read_text()
+    tx.begin()
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(tx, "_put", crash)
+    with pytest.raises(KeyboardInterrupt):
+        tx.update(change(spark, engine, "postage", "def postage(amount):\n    return 7\n"), dry_run=False)
+    monkeypatch.undo()
+    assert (tree / "store/prices.py").read_text() == old and tx.log().count() == 1
+    assert tx.rollback()["status"] == "rolled_back" and (tree / "store/prices.py").read_text() == old
+
+
+def test_readers_keep_the_last_whole_manifest(spark, engine, monkeypatch, tmp_path):
+    before = engine.status()
+    folder = tmp_path / "index/manifests"
+    (folder / "000000000002.json").write_text('{"version": "v-ha')
+    assert engine.status() == before
+    with pytest.raises(snapshot.Conflict, match="at work"):
+        engine.store.swap(before["version"], {"version": "v-new"})
+    monkeypatch.setattr(snapshot, "WRITING", -1.0)
+    engine.store.swap(before["version"], {"version": "v-new"})
+    assert engine.status()["version"] == "v-new" and (folder / "000000000003.json").exists()
+
+
+# ---- operators without SQL, against direct ones
+
+def greedy_by_hand(rows, budget):
+    left, chosen, used, out = sorted(rows), [], 0, []
+    while left:
+        worth = {}
+        for r in left:
+            over = max([len(set(r[4]) & c) / max(1, len(set(r[4]) | c)) for c in chosen], default=0.0)
+            worth[r[0]] = (r[1] - 260 * over) * max(0.15, 1 - over) / max(1, r[3] + pack.ROLE_COST.get(r[2], 120))
+        for r in [r for r in left if worth[r[0]] < 2 and r[2] != "task-anchor" and not r[5]]:
+            out.append((r[0], "pruned"))
+            left.remove(r)
+        if left:
+            r = max(left, key=lambda r: (2 if r[2] == "task-anchor" else int(r[5]), worth[r[0]], r[1], r[0]))
+            left.remove(r)
+            state = "reused" if r[6] else "included" if used + r[3] <= budget else "omitted"
+            out.append((r[0], state))
+            if state != "omitted":
+                chosen.append(set(r[4]))
+                used += 0 if state == "reused" else r[3]
+    return out
+
+
+def frontier_by_hand(rows, budget):
+    used, chosen, have, out = rows[0][5], [], set(), []
+    for role in ("declaration", "dependency", "test", "caller"):
+        for r in sorted((r for r in rows if r[1] == role), key=lambda r: r[2]):
+            over = max([len(set(r[4]) & c) / max(1, len(set(r[4]) | c)) for c in chosen], default=0.0)
+            value = (pack.FRONTIER_BASE[role] - 260 * over) * max(0.15, 1 - over) / max(1, r[3] + pack.FRONTIER_COST[role])
+            state = "pruned" if role in have and value < 2 else "included" if used + r[3] <= budget else "omitted"
+            if state == "included":
+                used += r[3]
+                have.add(role)
+                chosen.append(set(r[4]))
+            out.append((r[0], role, state))
+    return sorted(out)
+
+
+def test_packers_against_direct_ones(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    one = lambda t, i: (f"s{i:02}", float(rng.choice([1200, 900, 720, 640])), rng.choice(["task-anchor", "test", "dependency", "parent", "caller"]), rng.choice([50, 200, 400]), rng.sample(words, rng.randint(0, 8)), rng.random() < 0.2, rng.random() < 0.2)
+    tasks = {t: [one(t, i) for i in range(rng.randint(1, 15))] for t in range(60)}
+    df = spark.createDataFrame([(t, *r) for t, rows in tasks.items() for r in rows], "task_id long, id string, score double, role string, bytes int, terms array<string>, required boolean, known boolean")
+    got = {}
+    for r in pack.greedy(df, 900).orderBy("task_id", "place").collect():
+        got.setdefault(r.task_id, []).append((r.id, r.state))
+    for t, rows in tasks.items():
+        want = greedy_by_hand(rows, 900)
+        assert sorted(got[t]) == sorted(want) and [x for x in got[t] if x[1] != "pruned"] == [x for x in want if x[1] != "pruned"]
+
+    part = lambda i: (f"s{i:02}", rng.choice(list(pack.FRONTIER_BASE)), i, rng.choice([50, 200, 400]), rng.sample(words, rng.randint(0, 8)), 100)
+    tasks = {t: [part(i) for i in range(rng.randint(1, 12))] for t in range(60)}
+    df = spark.createDataFrame([(t, *r) for t, rows in tasks.items() for r in rows], "task_id long, id string, role string, ord int, bytes int, terms array<string>, used int")
+    got = {}
+    for r in pack.frontier(df, 900).collect():
+        got.setdefault(r.task_id, []).append((r.id, r.role, r.state))
+    assert {t: sorted(x) for t, x in got.items()} == {t: frontier_by_hand(rows, 900) for t, rows in tasks.items()}
+
+
+def test_budgets_in_other_units(spark):
+    df = spark.createDataFrame([(1, "a", 1200.0, "task-anchor", ["x"], True, False, "one two three"), (1, "b", 900.0, "test", ["y"], True, False, "w " * 50)], "task_id long, id string, score double, role string, terms array<string>, required boolean, known boolean, block string")
+    rows = pack.greedy(pack.measured(df, lambda t: len(t.split())), 20).collect()
+    assert {r.id: r.state for r in rows} == {"a": "included", "b": "omitted"}
+
+
+def test_creation_scores_against_a_direct_one(spark):
+    from difflib import SequenceMatcher
+
+    from tessera.operators import search
+
+    names = ["ring_size", "ring_cmp", "bolt_len", "Ring_sizes", "zed", "ring_prefix_cmp"]
+    symbols = [(f"p::{n}", n, "p", f"def {n}(prefix): memcmp(ring)", n == "zed") for n in names]
+    asked = [(1, "ring_sizer", "add ring_sizer like the ring helpers"), (2, "startswith_bolt", "create startswith_bolt by prefix")] + [(10 + i, f"n_{i}", "add n") for i in range(7)]
+    monkey, search.BATCH = search.BATCH, 3
+    try:
+        out = search.creation_scores(spark.createDataFrame(asked, "task_id long, target string, text string"), spark.createDataFrame(symbols, "id string, name string, path string, source string, is_test boolean")).collect()
+    finally:
+        search.BATCH = monkey
+    terms = lambda s: {w for w in "".join(c if c.isalnum() else " " for c in s.lower()).split() if len(w) > 1}
+    want = {}
+    for task, target, text in asked:
+        for i, name, _, source, test in symbols:
+            if not test:
+                a, b = target.lower(), name.lower()
+                same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                asks = {w for w in terms(text) if len(w) >= 3}
+                extra = (80 + 50 * b.endswith("cmp") + 25 * b.endswith("len")) if "startswith" in a or "prefix" in asks else 0
+                want[task, i] = round(12 * same + 20 * SequenceMatcher(None, a, b).ratio() + 2 * len(asks & terms(source)) + extra, 6)
+    assert {(r.task_id, r.id): pytest.approx(r.score) for r in out} == {k: v for k, v in want.items() if v > 0}
+
+
+def test_bootstrap_against_a_direct_one(spark):
+    import math
+    import random
+    import statistics
+
+    pairs = [(i, 100.0 + i, 60.0 + i % 7) for i in range(20)]
+    r = stats.bootstrap_log_ratio(spark.createDataFrame([("s", *p) for p in pairs[::-1]], "stratum string, pair long, baseline double, treatment double"), 400).first()
+    logs, rng = [math.log(t / b) for _, b, t in pairs], random.Random(20260912 + 20)
+    draws = sorted(100 * (math.exp(statistics.mean([logs[rng.randrange(20)] for _ in logs])) - 1) for _ in range(400))
+    want = (100 * (math.exp(statistics.mean(logs)) - 1), draws[10], draws[390], statistics.median(100 * (t / b - 1) for _, b, t in pairs))
+    assert (r.estimate_pct, r.ci95_low_pct, r.ci95_high_pct, r.median_pair_pct) == pytest.approx(want)
+
+
+def test_saving_footer(spark):
+    """The percentage must be that of the payload with the footer that prints it."""
+    df = spark.createDataFrame([(i, 100 + 37 * i, 3000 + 11 * (i % 5)) for i in range(90)] + [(90, 10, 0)], "task_id long, payload_chars long, expected_native_units long")
+    shares = 0
+    for r in pack.footer(df).collect():
+        if r.expected_native_units == 0:
+            assert r.percent is None
+            continue
+        line = "" if r.percent is None else f"estimated_token_saving_percent: {r.percent:.1f}\n"
+        share = 100 * (1 - (r.payload_chars + len(line)) / r.expected_native_units)
+        # the share is rounded to 4 places before the percentage is to one
+        assert (r.percent is None and share < 2.5) or abs(r.percent - share) <= 0.0551
+        shares += r.percent is not None
+    assert shares > 60

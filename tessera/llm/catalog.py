@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, embedding_dedup, exact_dedup, katz, license_scan, mixing, ngram_join, sharding, token_count, toxicity
+from . import bpe, code_compression, embedding_dedup, exact_dedup, katz, license_scan, mixing, ngram_join, piece_bpe, sharding, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_hilbert_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_code_compression": code_compression.query,
+    "op12_piece_bpe": piece_bpe.query,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op9_hilbert_sharding": sharding.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op9_hilbert_sharding": sharding.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_code_compression": code_compression.ORACLE}

@@ -48,7 +48,7 @@ class Words(dict):
         self.model = model
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.model.pack(self.model.word(word))
+        ids = self.model.word(word)
         if len(word) <= common.SHORT:
             if len(self) >= WORDS:
                 self.clear()
@@ -56,6 +56,17 @@ class Words(dict):
         return ids
 
 
+class Packed(dict):
+    """Packed ids of tokens; a character that is no piece has those of its bytes."""
+
+    def __init__(self, model: Model):
+        super().__init__((p, model.pack(array("I", [i]))) for p, i in model.ids.items())
+        self.model = model
+
+    def __missing__(self, char: str) -> bytes:
+        return self.model.pack(array("I", [self.model.bytes[b] for b in char.encode()]))
+
+
 class Model:
     def __init__(self, path: str):
         import ahocorasick
@@ -83,8 +94,8 @@ class Model:
         longer = {c for p in self.score if len(p) > 1 for c in p} - {SPACE}
         joined = "[" + "".join(map(re.escape, sorted(longer))) + "]"
         self.split = re.compile(f"{SPACE}+{joined}*|{joined}+|.", re.DOTALL)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = Words(self)
+        self.pairs: dict[tuple[str, str], bool] = {}  # tested ones
+        self.words, self.packed = Words(self), Packed(self)
         self.found = ahocorasick.Automaton()
         for p in self.score:
             if len(p) > 1 and self.merged(p) == [p]:  # others can never come out of merging
@@ -105,50 +116,30 @@ class Model:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether two tokens can stand side by side: merging their joined text gives them."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
-    def tokens(self, word: str) -> list[str]:
-        last: list[str] = []  # of each prefix
-        done = 0
-
-        def settle(end: int, longer: list[str]) -> None:
-            # a character of its own is a token wherever no longer piece fits: every prefix has a last token
-            for t in longer:
-                at = end - len(t)
-                if at < 0 or self.fits(last[at], t):
-                    last.append(t)
-                    return
-            last.append(word[end])
-
-        ending: list[str] = []
+    def last_tokens(self, word: str) -> list[str]:
+        """The last token of each prefix; a character of its own wherever no longer piece fits."""
+        last, settled, pairs, fits = list(word), -1, self.pairs, self.fits
         for end, piece in self.found.iter(word):
-            while done < end:
-                settle(done, ending)
-                ending, done = [], done + 1
-            ending.append(piece)
-        while done < len(word):
-            settle(done, ending)
-            ending, done = [], done + 1
-        out, at = [], len(word)
-        while at:
-            out.append(last[at - 1])
-            at -= len(last[at - 1])
-        return out[::-1]
-
-    def word(self, word: str) -> array:
-        ids = array("I")
-        for t in self.tokens(word):
-            known = self.ids.get(t)
-            if known is None:
-                ids.extend(self.bytes[b] for b in t.encode())
-            else:
-                ids.append(known)
-        return ids
+            if end == settled:
+                continue
+            at = end - len(piece)
+            if at < 0 or (known := pairs.get((last[at], piece))) or (known is None and fits(last[at], piece)):
+                last[end], settled = piece, end
+        return last
+
+    def word(self, word: str) -> bytes:
+        """Packed ids of a word, recovered from its end."""
+        last, out, at = self.last_tokens(word), [], len(word) - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= len(last[at])
+        out.reverse()
+        return b"".join(map(self.packed.__getitem__, out))
 
     @staticmethod
     def pack(ids: array) -> bytes:

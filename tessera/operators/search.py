@@ -66,29 +66,24 @@ def term_table(docs: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """A batch's terms and the postings of these terms, both written."""
+    """A batch's terms, the postings of these terms, and every document's length."""
 
     asked: DataFrame
-    postings: DataFrame
-
-    @property
-    def hits(self) -> DataFrame:
-        return self.postings.where(F.col("term") != EVERY)
-
-    @property
-    def lengths(self) -> DataFrame:
-        return self.postings.where(F.col("term") == EVERY)
+    hits: DataFrame
+    lengths: DataFrame
 
 
 def index(tasks: DataFrame, docs: DataFrame) -> Index:
     """Query terms prune the index as it is built (they are broadcast if counted few)."""
     asked = shared.written(task_terms(tasks), "task-terms")
     few = shared.small(asked.select("term").distinct())
-    return Index(asked, shared.written(postings(docs, few), "postings"))
+    rows = shared.written(postings(docs, few), "postings")
+    return Index(asked, rows.where(F.col("term") != EVERY), rows.where(F.col("term") == EVERY))
 
 
-def bm25(tasks: DataFrame, docs: DataFrame, limit: int, at: Index | None = None) -> DataFrame:
-    """(task_id, id, score, rank): the best ``limit`` documents of each task by smoothed BM25, ties by id.
+def bm25(tasks: DataFrame, docs: DataFrame | None, limit: int, at: Index | None = None) -> DataFrame:
+    """(task_id, id, score, rank): the best ``limit`` documents of each task by smoothed BM25, ties by id.  ``docs`` may be
+    missing where there is an index.
 
     Scores are pre-aggregated by task and document, and each partition keeps its own best rows before the ranking
     exchange.
@@ -192,11 +187,11 @@ def rank_all(tasks: DataFrame, symbols: DataFrame, docs: DataFrame, limit: int)
     return _ranked(found.join(who.select("id", "is_test"), "id"), tasks, limit)
 
 
-def task_matches(tasks: DataFrame, symbols: DataFrame, exact: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """Recall by BM25, pinning of named symbols (task_id, id), reranking in the pool; one index serves both."""
-    docs = documents(symbols)
-    at = index(tasks, docs)
-    pool = bm25(tasks, docs, pool_size(limit), at)
+def task_matches(tasks: DataFrame, symbols: DataFrame, exact: DataFrame | None = None, limit: int = 20, at: Index | None = None) -> DataFrame:
+    """Recall by BM25, pinning of named symbols (task_id, id), reranking in the pool; one index serves both.  With a stored
+    index (see ``stored.index``) no source is read."""
+    at = at or index(tasks, documents(symbols))
+    pool = bm25(tasks, None, pool_size(limit), at)
     return rerank(tasks, symbols, pool if exact is None else pin_exact(pool, exact), limit, at)
 
 

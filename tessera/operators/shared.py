@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of a narrow table up to which it may be broadcast, about 16 MB.
 BROADCAST_ROWS = 200_000
 _own: list[str] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """A table in the shared folder: cuts lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Tables of ``written`` that this thread writes inside are deleted at the end; what is read from them must be stored by
+    then."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a narrow table if its counted rows are few; otherwise leave it to a shuffle join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -234,7 +234,10 @@ def _weighed(here: DataFrame, asked: DataFrame) -> DataFrame:
 # ---- definitions found by name, and an edit's surroundings
 
 # A definition of one of the names that stand for {0}.
-DEFINITION = r"(?is)\b(?:def|class|fn|function|interface|struct|enum|trait|type)\s+(?:{0})(?![A-Za-z0-9_])|\b(?:const|let|var)\s+(?:{0})\s*[=:]"
+DEFINITION = (
+    r"(?is)\b(?:def|class|fn|function|interface|struct|enum|trait|type)\s+({0})(?![A-Za-z0-9_])|\b(?:const|let|var)\s+({0})\s*[=:]"
+    r"|(?<![A-Za-z0-9_])({0})\s*\([^;{}]{0,1000}\)\s*(?:\{|;|=>|:)"
+)
 # Folders of other people's code.
 VENDOR = ["deps", "vendor", "third_party", "third-party"]
 TEST_MARKS = ["test", "spec", "__tests__", "testing"]

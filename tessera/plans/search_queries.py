@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, search, shared
+from ..operators import graph, search, shared, stored
 from . import bindings as b
 
 _T = "coalesce(source, '')"
@@ -38,10 +40,20 @@ bm AS (SELECT task_id, id, score, CAST(row_number() OVER (PARTITION BY task_id O
 BM25 = f"WITH {_bm25(20)} SELECT task_id, id, score, rank FROM bm"
 
 
+def stored_bm25(spark, sf):
+    """The same from an index that was stored with other texts, other ids and without some documents, and then brought up to
+    date by a segment of what differs."""
+    s, folder = b.symbols(spark, sf), f"{shared.shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    early = s.where("doc_id % 13 <> 0").withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit(" an early text"))).otherwise(F.col("source")))
+    past = s.where("doc_id % 11 = 0").withColumn("id", F.concat("id", F.lit("/gone")))
+    stored.write(search.documents(early.unionByName(past)), folder, "1")
+    stored.write(search.documents(s.where("doc_id % 13 = 0 or doc_id % 7 = 0")), folder, "2", past)
+    return search.bm25(b.tasks(spark, sf), None, 20, stored.index(b.tasks(spark, sf), stored.table(spark, folder))).select("task_id", "id", "score", "rank")
+
+
 def retrieval_recall(spark, sf):
-    """Share of tasks' verbatim sources among the top 20: (pairs, found)."""
+    """Tasks whose text stands verbatim in documents among their top 20: how many, and the best rank."""
     symbols, tasks = b.symbols(spark, sf), b.tasks(spark, sf)
-    # a passage meets only documents that hold its first long word pair, then the whole text is compared
     hits = bm25_topk(spark, sf).join(symbols.select("id", "source"), "id").join(tasks, "task_id")
     return hits.where(F.col("source").contains(F.col("text"))).groupBy("task_id").agg(F.count("*").alias("found"), F.min("rank").alias("best_rank"))
 
@@ -160,10 +172,10 @@ def definition_prefilter(spark, sf):
 PREFILTER = r"SELECT page_id FROM pages WHERE regexp_matches(html, '(?is)\b(?:def|class|fn|function|interface|struct|enum|trait|type)\s+(?:the|que)(?:[^A-Za-z0-9_]|$)|\b(?:const|let|var)\s+(?:the|que)\s*[=:]')"
 
 QUERIES = {
-    "term_postings": term_postings, "bm25_topk": bm25_topk, "retrieval_recall": retrieval_recall, "exact_pinning": exact_pinning, "rerank_pool_idf": rerank_pool_idf, "rerank_portable": rerank_portable,
+    "term_postings": term_postings, "bm25_topk": bm25_topk, "stored_bm25": stored_bm25, "retrieval_recall": retrieval_recall, "exact_pinning": exact_pinning, "rerank_pool_idf": rerank_pool_idf, "rerank_portable": rerank_portable,
     "anchor_threshold": anchor_threshold, "containment": containment, "companion_files": companion_files, "creation_scores": creation_scores, "definition_prefilter": definition_prefilter,
 }
 ORACLES = {
-    "term_postings": POSTINGS, "bm25_topk": BM25, "retrieval_recall": RECALL, "exact_pinning": PINNING, "rerank_pool_idf": RERANK, "rerank_portable": PORTABLE,
+    "term_postings": POSTINGS, "bm25_topk": BM25, "stored_bm25": BM25, "retrieval_recall": RECALL, "exact_pinning": PINNING, "rerank_pool_idf": RERANK, "rerank_portable": PORTABLE,
     "anchor_threshold": ANCHORS, "containment": CONTAINMENT, "companion_files": COMPANIONS, "definition_prefilter": PREFILTER,
 }

@@ -15,6 +15,8 @@ OVERLAP_PENALTY, NOVELTY_FLOOR, VALUE_FLOOR = 260.0, 0.15, 2.0
 FRONTIER_BASE = {"declaration": 900, "dependency": 800, "test": 820, "caller": 620}
 FRONTIER_COST = {"declaration": 60, "dependency": 100, "test": 40, "caller": 160}
 READ_COST, SEARCH_COST, FILE_COST, FILE_CAP, ENVELOPE, FOLLOWUP, MARGIN = 320, 160, 2, 1200, 420, 600, 0.15
+# Bytes from which an anchor is cut, bounds of what is left of it, letters of a term that counts.
+EXCERPT_FROM, EXCERPT_LEAST, EXCERPT_MOST, LEAST_TERM = 1400, 700, 2000, 3
 
 CANDIDATE = ["task_id", "id", "score", "role", "detail"]
 
@@ -66,13 +68,24 @@ def symbol_candidates(targets: DataFrame, symbols: DataFrame, edges: DataFrame,
     return shared.top(out, ["task_id", "id"], [F.desc("score"), F.col("offer")], 1, "best").select(*CANDIDATE)
 
 
-def render(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Candidates with their block of text, its bytes and its terms."""
+def render(candidates: DataFrame, symbols: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """Candidates with their block of text, its bytes and its terms.
+
+    With tasks (task_id, text, budget), an anchor that would take half of its task's budget is cut to the lines that
+    matter for the task.
+    """
     s = symbols.select("id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("signature", F.concat_ws(" ", "kind", "qualname")).alias("head"), "hash")
-    body = F.rtrim(F.when(F.col("detail") == "full", F.col("source")).otherwise(F.concat("head", F.lit(" ..."))))
-    out = candidates.join(s, "id").withColumn("body", body)
+    out, full, outline = candidates.join(s, "id"), F.col("source"), F.concat("head", F.lit(" ..."))
+    if tasks is not None:
+        out = out.join(tasks.select("task_id", F.col("text").alias("__asked"), F.expr("budget div 2").cast("int").alias("__half")), "task_id")
+        terms, names = F.filter(text.search_terms(F.col("__asked")), lambda t: F.length(t) >= LEAST_TERM), F.transform(text.task_identifiers(F.col("__asked")), F.lower)
+        lines = text.excerpt_lines(F.col("source"), terms, names, F.greatest(F.lit(EXCERPT_LEAST), F.least(F.lit(EXCERPT_MOST), F.col("__half"))))
+        cut = F.when(F.size(lines) == 1, outline).otherwise(F.concat(F.lit("# focused excerpt\n"), F.array_join(F.transform(lines, lambda i: F.get(F.split("source", "\n"), i)), "\n")))
+        long = (F.col("role") == "task-anchor") & (F.octet_length("source") > F.greatest(F.lit(EXCERPT_FROM), F.col("__half")))
+        full = F.when(long, cut).otherwise(full)
+    out = out.withColumn("body", F.rtrim(F.when(F.col("detail") == "full", full).otherwise(outline)))
     block = F.concat(F.lit("\n# "), "role", F.lit(": "), "id", F.lit("\n"), "body", F.lit("\n"))
-    return out.withColumn("block", block).withColumn("bytes", F.octet_length("block")).withColumn("terms", text.distinct_terms(F.col("body"))).drop("source", "head")
+    return out.withColumn("block", block).withColumn("bytes", F.octet_length("block")).withColumn("terms", text.distinct_terms(F.col("body"))).drop("source", "head", "__asked", "__half")
 
 
 def _gathered(candidates: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,11 +99,12 @@ def marginal(score: float, size: int, cost: int, terms: frozenset, chosen: list[
     return (score - OVERLAP_PENALTY * overlap) * max(NOVELTY_FLOOR, 1 - overlap) / max(1, size + cost)
 
 
-def greedy(candidates: DataFrame, budget: int, required: list[str] | None = None) -> DataFrame:
+def greedy(candidates: DataFrame, budget: int | None) -> DataFrame:
     """Pick by marginal value until nothing is left: (task_id, id, place, state, value) with state included, omitted,
     pruned or reused.
 
-    Input columns: task_id, id, score, role, bytes, terms, required (boolean), known (boolean).  A candidate is worth
+    Input columns: task_id, id, score, role, bytes, terms, required (boolean), known (boolean), and without a common budget
+    each task's own (budget).  A candidate is worth
     less the more its terms overlap one already chosen, and less the longer it is.  Each choice depends on all
     earlier ones, so a task's candidates are packed by one call; many tasks share an Arrow batch.
     """
@@ -99,6 +113,7 @@ def greedy(candidates: DataFrame, budget: int, required: list[str] | None = None
     def pack(rows: list[dict]) -> list[tuple[str, str, float]]:
         left = {r["id"]: (r, frozenset(r["terms"])) for r in rows}
         chosen, used, out = [], 0, []
+        limit = rows[0]["budget"] if budget is None else budget
         while left:
             values = {i: marginal(r["score"], r["bytes"], ROLE_COST.get(r["role"], 120), terms, chosen) for i, (r, terms) in left.items()}
             need = {i: 2 if r["role"] == "task-anchor" else 1 if r["required"] else 0 for i, (r, _) in left.items()}
@@ -109,7 +124,7 @@ def greedy(candidates: DataFrame, budget: int, required: list[str] | None = None
                 break
             best = max(left, key=lambda i: (need[i], values[i], left[i][0]["score"], i))
             r, terms = left.pop(best)
-            fits = used + r["bytes"] <= budget
+            fits = used + r["bytes"] <= limit
             if r["known"] or fits:
                 chosen.append(terms)
                 used += 0 if r["known"] else r["bytes"]
@@ -125,7 +140,7 @@ def greedy(candidates: DataFrame, budget: int, required: list[str] | None = None
             yield pa.RecordBatch.from_arrays([tasks.take(at), *columns], ["task_id", "id", "place", "state", "value"])
 
     kind = candidates.schema["task_id"].dataType.simpleString()
-    gathered = _gathered(candidates, ["id", "score", "role", "bytes", "terms", "required", "known"])
+    gathered = _gathered(candidates, ["id", "score", "role", "bytes", "terms", "required", "known", *(["budget"] if budget is None else [])])
     return gathered.mapInArrow(run, f"task_id {kind}, id string, place int, state string, value double")
 
 

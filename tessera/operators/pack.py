@@ -83,7 +83,7 @@ def render(candidates: DataFrame, symbols: DataFrame, tasks: DataFrame | None =
         cut = F.when(F.size(lines) == 1, outline).otherwise(F.concat(F.lit("# focused excerpt\n"), F.array_join(F.transform(lines, lambda i: F.get(F.split("source", "\n"), i)), "\n")))
         long = (F.col("role") == "task-anchor") & (F.octet_length("source") > F.greatest(F.lit(EXCERPT_FROM), F.col("__half")))
         full = F.when(long, cut).otherwise(full)
-    out = out.withColumn("body", F.rtrim(F.when(F.col("detail") == "full", full).otherwise(outline)))
+    out = out.withColumn("body", text.rstrip(F.when(F.col("detail") == "full", full).otherwise(outline)))
     block = F.concat(F.lit("\n# "), "role", F.lit(": "), "id", F.lit("\n"), "body", F.lit("\n"))
     return out.withColumn("block", block).withColumn("bytes", F.octet_length("block")).withColumn("terms", text.distinct_terms(F.col("body"))).drop("source", "head", "__asked", "__half")
 

@@ -201,6 +201,26 @@ def above_threshold(matches: DataFrame) -> DataFrame:
     return matches.withColumn("threshold", best * ANCHOR_SHARE).where(F.col("score") >= F.col("threshold"))
 
 
+def anchors(matches: DataFrame) -> DataFrame:
+    """(task_id, id, rank, score, evidence): from the best match on, those that reach the threshold share of the first one's
+    score and neither hold one another nor are held, up to the task's number (most); a preferred match stands alone.
+
+    A fold over a task's matches (task_id, id, score, evidence, preferred, most), which recall bounds.
+    """
+    item = F.struct((~F.col("preferred")).alias("after"), (-F.col("score")).alias("minus"), "id", "score", "evidence")
+    rows = matches.groupBy("task_id").agg(F.array_sort(F.collect_list(item)).alias("m"), F.max("most").alias("most"))
+    first = F.get("m", 0)
+    rows = rows.withColumn("least", first.score * ANCHOR_SHARE).withColumn("most", F.when(first.after, F.col("most")).otherwise(1))
+
+    def take(kept: Column, x: Column) -> Column:
+        within = lambda a, b: F.startswith(a, F.concat(b, F.lit(".")))
+        related = F.exists(kept, lambda a: within(x.id, a.id) | within(a.id, x.id))
+        return F.when((F.size(kept) < F.col("most")) & (x.score >= F.col("least")) & ~related, F.concat(kept, F.array(x))).otherwise(kept)
+
+    kept = F.aggregate("m", F.slice("m", 1, 0), take)
+    return rows.select("task_id", F.posexplode(kept).alias("rank", "a")).select("task_id", "a.id", "rank", "a.score", "a.evidence")
+
+
 def creation_scores(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     """Score existing symbols as models for a new one: 12 a common leading letter, 20 times the sequence ratio, 2 a
     shared term, and points for comparison and length helpers when the task is about prefixes.

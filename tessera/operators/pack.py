@@ -99,20 +99,22 @@ def marginal(score: float, size: int, cost: int, terms: frozenset, chosen: list[
     return (score - OVERLAP_PENALTY * overlap) * max(NOVELTY_FLOOR, 1 - overlap) / max(1, size + cost)
 
 
-def greedy(candidates: DataFrame, budget: int | None) -> DataFrame:
+def greedy(candidates: DataFrame, budget: int | None, count=None) -> DataFrame:
     """Pick by marginal value until nothing is left: (task_id, id, place, state, value) with state included, omitted,
     pruned or reused.
 
     Input columns: task_id, id, score, role, bytes, terms, required (boolean), known (boolean), and without a common budget
     each task's own (budget).  A candidate is worth
-    less the more its terms overlap one already chosen, and less the longer it is.  Each choice depends on all
+    less the more its terms overlap one already chosen, and less the longer it is.  With ``count`` (a text's length in other
+    units, tokens say) the budget is one of these units for the text packed so far and the block together, as
+    units of parts need not add up; then the column block is read as well.  Each choice depends on all
     earlier ones, so a task's candidates are packed by one call; many tasks share an Arrow batch.
     """
     import pyarrow as pa
 
     def pack(rows: list[dict]) -> list[tuple[str, str, float]]:
         left = {r["id"]: (r, frozenset(r["terms"])) for r in rows}
-        chosen, used, out = [], 0, []
+        chosen, used, out, whole = [], 0, [], ""
         limit = rows[0]["budget"] if budget is None else budget
         while left:
             values = {i: marginal(r["score"], r["bytes"], ROLE_COST.get(r["role"], 120), terms, chosen) for i, (r, terms) in left.items()}
@@ -124,10 +126,11 @@ def greedy(candidates: DataFrame, budget: int | None) -> DataFrame:
                 break
             best = max(left, key=lambda i: (need[i], values[i], left[i][0]["score"], i))
             r, terms = left.pop(best)
-            fits = used + r["bytes"] <= limit
+            fits = used + r["bytes"] <= limit if count is None else count(whole + r["block"]) <= limit
             if r["known"] or fits:
                 chosen.append(terms)
                 used += 0 if r["known"] else r["bytes"]
+                whole += "" if r["known"] or count is None else r["block"]
             out.append((best, "reused" if r["known"] else "included" if fits else "omitted", values[best]))
         return out
 
@@ -140,13 +143,14 @@ def greedy(candidates: DataFrame, budget: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([tasks.take(at), *columns], ["task_id", "id", "place", "state", "value"])
 
     kind = candidates.schema["task_id"].dataType.simpleString()
-    gathered = _gathered(candidates, ["id", "score", "role", "bytes", "terms", "required", "known", *(["budget"] if budget is None else [])])
+    gathered = _gathered(candidates, ["id", "score", "role", "bytes", "terms", "required", "known", *(["budget"] if budget is None else []), *(["block"] if count else [])])
     return gathered.mapInArrow(run, f"task_id {kind}, id string, place int, state string, value double")
 
 
 def measured(blocks: DataFrame, count, column: str = "bytes") -> DataFrame:
-    """Blocks with their size in the caller's own units: ``count`` takes a text and gives a whole number (tokens of a
-    tokenizer, say).  Packing by it keeps a budget in these units; texts are counted in Arrow batches."""
+    """Blocks with their own size in the caller's units: ``count`` takes a text and gives a whole number (tokens of a
+    tokenizer, say).  Where such sizes do not add up, give ``count`` to ``greedy`` instead.  Texts are counted in Arrow
+    batches."""
     @F.pandas_udf("int")
     def units(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: int(count(t or "")))

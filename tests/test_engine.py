@@ -371,6 +371,22 @@ def test_budgets_in_other_units(spark):
     assert {r.id: r.state for r in rows} == {"a": "included", "b": "omitted"}
 
 
+def test_budgets_of_the_whole_text(spark):
+    """Units that merge across the seam of two blocks: the sum of the blocks' own counts says otherwise."""
+    def count(t):
+        return len(t.replace("\n\n", "\n").replace("xy", "z"))
+
+    rows = [(1, "a", 1200.0, "task-anchor", ["p"], True, False, "\naaaax"), (1, "b", 900.0, "test", ["q"], True, False, "ybbb\n"), (1, "c", 800.0, "test", ["r"], True, False, "\ncc"), (1, "d", 700.0, "test", ["s"], True, True, "known" * 9)]
+    df = spark.createDataFrame([(*r, len(r[-1])) for r in rows], "task_id long, id string, score double, role string, terms array<string>, required boolean, known boolean, block string, bytes int")
+    whole = count("\naaaaxybbb\n\ncc")
+    assert whole == sum(count(r[-1]) for r in rows[:3]) - 2
+    state = lambda budget: {r.id: r.state for r in pack.greedy(df, budget, count).collect()}
+    assert state(whole) == {"a": "included", "b": "included", "c": "included", "d": "reused"}
+    assert list(state(whole - 1).values()).count("omitted") == 1
+    packed = {r.id: r.state for r in pack.greedy(pack.measured(df, count), whole).collect()}
+    assert list(packed.values()).count("omitted") == 1
+
+
 def test_creation_scores_against_a_direct_one(spark):
     from difflib import SequenceMatcher
 

@@ -11,8 +11,9 @@ leaves return a number of links per vector and a star of links per local compone
 are cut into blocks and compared block by block.  Equal vectors of a label are one class (met by a digest) and are
 compared once.
 
-Null ids or labels, null, empty or zero vectors and those with null or non-finite components link with nothing.  Rows
-that repeat a vec_id each give a row; a vec_id counts once among the links of another.  An empty table gives an empty
+Null ids or labels, null, empty or zero vectors and those with null or non-finite components link with nothing.  Every
+row is a vector of its own: rows that repeat a vec_id each give a row, each counts among the links of another vector, and
+among each other's where they are near.  Ids are whole numbers, or text that reads as such.  An empty table gives an empty
 result; other columns are ignored.
 """
 

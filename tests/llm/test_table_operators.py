@@ -276,3 +276,10 @@ def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = jaccard_by_hand(rows)
     assert data.rows(ngram_join.query(spark, sf), "doc_id", "class_id", "n_links", "kept") == sorted(((i, *want[i]) for i, _ in rows), key=repr)
+
+
+def test_rows_that_repeat_an_id_are_vectors_of_their_own(spark):
+    a, near, nearer = [1.0] * 8, [1.0] * 7 + [1.1], [1.0] * 7 + [1.05]
+    rows = [(5, a, 1), (5, near, 1), (9, nearer, 1), (11, [-1.0] * 8, 1)]
+    out = embedding_dedup.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert data.rows(out, "vec_id", "n_links", "component_id") == [(11, 0, 11), (5, 2, 5), (5, 2, 5), (9, 2, 5)]

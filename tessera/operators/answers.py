@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 RULES = ("exact", "number_sequence", "numeric_sequence", "labeled_sequence", "path_categories", "ast_type_sequence")
 # The words of each category, any of which will do.
 PATH_CATEGORIES = [["absolute", "绝对路径"], ["internal", "内部状态"], ["symlink", "符号链接"]]
@@ -79,3 +81,14 @@ def derived_facts(tasks: DataFrame, anchors: DataFrame, symbols: DataFrame) -> D
     met = tasks.where(asks).select("task_id", folded.alias("folded")).join(anchors.select("task_id", "id"), "task_id").join(sizes, "id")
     fact = F.concat("name", F.lit(" cardinality = "), F.col("size").cast("string"))
     return met.where(F.col("folded").contains(F.lower("name"))).select("task_id", fact.alias("fact")).distinct()
+
+
+def control_flow_hints(tasks: DataFrame, anchors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(task_id, id, hint): for tasks (task_id, text) that ask about failures, what runs in an anchor (task_id, id) before its
+    first handler and so is not covered by it.  A null text asks nothing; an anchor given twice gives one row."""
+    asked = tasks.where(text.asks_about_failure(F.col("text"))).select("task_id").distinct()
+    open_ = symbols.where("exposed is not null").select("id", "language", "exposed.first", "exposed.last")
+    lines = F.format_string("%s lines %d-%d run before its try; what they raise does not reach its handlers", "id", "first", "last")
+    near = F.format_string("%s has statements before the try block near line %d; what they throw does not reach its catch", "id", "first")
+    found = anchors.select("task_id", "id").distinct().join(asked, "task_id").join(open_, "id")
+    return found.select("task_id", "id", F.when(F.col("language") == "python", lines).otherwise(near).alias("hint"))

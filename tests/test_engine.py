@@ -60,7 +60,7 @@ def outer(flag):
     assert ids == ["A", "A.x", "A.x.setter", "A.f", "outer", "outer.inner", "outer.inner#local2"]
     assert python_parser.fragment("m.py", "python", b"def a(): pass\ndef a(): pass\n")["diagnostics"]
     assert python_parser.fragment("m.py", "python", b"def a(:\n")["symbols"] == []
-    assert "not installed" in python_parser.fragment("m.go", "go", b"")["diagnostics"][0]["error"]
+    assert "not installed" in python_parser.fragment("m.rb", "ruby", b"")["diagnostics"][0]["error"]
     crlf = python_parser.fragment("m.py", "python", "def a():\r\n    return '漢字'\r\n".encode())["symbols"][0]
     assert crlf["source"] == "def a():\n    return '漢字'\n"
     relative = python_parser.fragment("p/q/m.py", "python", b"from ..r import s as t\n")["imports"][0]

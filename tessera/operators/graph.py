@@ -166,11 +166,14 @@ def relevant_tests(affected: DataFrame, limit: int = 2) -> DataFrame:
     return shared.top(affected.withColumn("score", score).where("score > 0"), ["task_id"], [F.desc("score"), F.col("id")], limit)
 
 
+STEM = r"([^/]*?)(?:\.[^./]*)?$"  # of a file's name
+
+
 def companions(paths: DataFrame, limit: int = 2) -> DataFrame:
     """For each task's best path (score, then path): other paths with the same file stem, in order, at most two;
     without any, the next best path."""
     best = Window.partitionBy("task_id").orderBy(F.desc("score"), F.desc("path"))
-    ranked = paths.withColumn("stem", F.lower(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))).withColumn("place", F.row_number().over(best))
+    ranked = paths.withColumn("stem", F.lower(F.regexp_extract("path", STEM, 1))).withColumn("place", F.row_number().over(best))
     lead = ranked.where("place = 1").select("task_id", F.col("path").alias("best"), F.col("stem").alias("best_stem"))
     others = ranked.where("place > 1").join(lead, "task_id")
     kin = shared.top(others.where(F.col("stem") == F.col("best_stem")), ["task_id"], [F.col("path")], limit)

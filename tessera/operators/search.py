@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -18,7 +16,6 @@ IDENTITY, BODY = 8.0, 1.0  # column weights of recall
 # Points of reranking.
 EXACT_IDENTIFIER, NAME_IN_TASK, IN_NAME, IN_IDENTITY, IN_BODY, TEST_FACTOR = 80.0, 12.0, 8, 5, 1, 0.72
 ANCHOR_SHARE = 0.30
-BATCH = 1000  # new names that are weighed against the symbols at once
 
 
 def pool_size(limit: int) -> int:
@@ -221,36 +218,6 @@ def anchors(matches: DataFrame) -> DataFrame:
     return rows.select("task_id", F.posexplode(kept).alias("rank", "a")).select("task_id", "a.id", "rank", "a.score", "a.evidence")
 
 
-def creation_scores(targets: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Score existing symbols as models for a new one: 12 a common leading letter, 20 times the sequence ratio, 2 a
-    shared term, and points for comparison and length helpers when the task is about prefixes.
-
-    Symbols stream past blocks of BATCH names, as many blocks as there are.  The ratio is the matching-blocks one, which
-    no built-in function has, so it runs in an Arrow batch function.
-    """
-    long = lambda terms: F.filter(F.array_distinct(terms), lambda t: F.length(t) >= 3)
-    asked = targets.select("task_id", F.lower("target").alias("t"), long(text.search_terms(F.col("text"))).alias("terms"))
-    here = symbols.where("not is_test").select("id", "path", F.lower("name").alias("n"), F.lower(F.coalesce("source", F.lit(""))).alias("s"), F.array_distinct(text.search_terms(F.coalesce("source", F.lit("")))).alias("have"))
-    # every new name is weighed against every symbol, by definition: names go past in numbered blocks of a fixed size
-    place = F.row_number().over(Window.orderBy("task_id", "t")) - 1
-    asked = shared.written(asked.withColumn("block", F.floor(place / BATCH)), "new-names")
-    blocks = [r.block for r in asked.select("block").distinct().orderBy("block").collect()]
-    return reduce(DataFrame.unionByName, [_weighed(here, asked.where(F.col("block") == k).drop("block")) for k in blocks or [0]])
-
-
-def _weighed(here: DataFrame, asked: DataFrame) -> DataFrame:
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    prefix = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t"))), F.lit(0), lambda s, k: F.when((s == k - 1) & (k <= F.length("n")) & (F.expr("t").substr(k, F.lit(1)) == F.expr("n").substr(k, F.lit(1))), k).otherwise(s))
-    met = here.join(F.broadcast(asked))  # BATCH rows at most
-    about_prefix = F.col("t").contains("startswith") | F.array_contains("terms", "prefix")
-    extra = F.when(about_prefix, F.when(F.col("s").contains("memcmp"), 80).otherwise(0) + F.when(F.col("n").endswith("cmp"), 50).otherwise(0) + F.when(F.col("n").endswith("len"), 25).otherwise(0)).otherwise(0)
-    score = prefix * 12 + ratio("t", "n") * 20 + F.size(F.array_intersect("terms", "have")) * 2 + extra
-    return met.select("task_id", "id", "path", F.round(score, 6).alias("score")).where("score > 0")
-
-
 # ---- definitions found by name, and an edit's surroundings
 
 # A definition of one of the names that stand for {0}.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, search, shared, stored
+from ..operators import creation, graph, search, shared, stored
 from . import bindings as b
 
 _T = "coalesce(source, '')"
@@ -155,11 +155,11 @@ SELECT CAST(p.task_id AS INTEGER) AS task_id, b.best, p.path FROM p JOIN b ON p.
 
 
 def creation_scores(spark, sf):
-    """Every benchmark passage asks for a new symbol, named by its first words; all parts are weighed as models."""
+    """Every benchmark passage asks for a new symbol, named by its first words: the 20 best models among all parts."""
     terms = text.search_terms(F.col("text"))
     targets = b.tasks(spark, sf).select("task_id", F.array_join(F.slice(terms, 1, 2), "_").alias("target"), "text")
     symbols = b.parts(spark, sf).withColumn("source", F.col("name"))
-    return shared.top(search.creation_scores(targets, symbols), ["task_id"], [F.desc("score"), F.col("id")], 20)
+    return shared.top(creation.best(targets, symbols, 20), ["task_id"], [F.desc("score"), F.col("id")], 20)
 
 
 def definition_prefilter(spark, sf):

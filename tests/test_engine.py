@@ -387,32 +387,6 @@ def test_budgets_of_the_whole_text(spark):
     assert list(packed.values()).count("omitted") == 1
 
 
-def test_creation_scores_against_a_direct_one(spark):
-    from difflib import SequenceMatcher
-
-    from tessera.operators import search
-
-    names = ["ring_size", "ring_cmp", "bolt_len", "Ring_sizes", "zed", "ring_prefix_cmp"]
-    symbols = [(f"p::{n}", n, "p", f"def {n}(prefix): memcmp(ring)", n == "zed") for n in names]
-    asked = [(1, "ring_sizer", "add ring_sizer like the ring helpers"), (2, "startswith_bolt", "create startswith_bolt by prefix")] + [(10 + i, f"n_{i}", "add n") for i in range(7)]
-    monkey, search.BATCH = search.BATCH, 3
-    try:
-        out = search.creation_scores(spark.createDataFrame(asked, "task_id long, target string, text string"), spark.createDataFrame(symbols, "id string, name string, path string, source string, is_test boolean")).collect()
-    finally:
-        search.BATCH = monkey
-    terms = lambda s: {w for w in "".join(c if c.isalnum() else " " for c in s.lower()).split() if len(w) > 1}
-    want = {}
-    for task, target, text in asked:
-        for i, name, _, source, test in symbols:
-            if not test:
-                a, b = target.lower(), name.lower()
-                same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-                asks = {w for w in terms(text) if len(w) >= 3}
-                extra = (80 + 50 * b.endswith("cmp") + 25 * b.endswith("len")) if "startswith" in a or "prefix" in asks else 0
-                want[task, i] = round(12 * same + 20 * SequenceMatcher(None, a, b).ratio() + 2 * len(asks & terms(source)) + extra, 6)
-    assert {(r.task_id, r.id): pytest.approx(r.score) for r in out} == {k: v for k, v in want.items() if v > 0}
-
-
 def test_bootstrap_against_a_direct_one(spark):
     import math
     import random

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import incremental, stats
+from ..operators import incremental, shared, stats
+from ..streaming import events
 from . import bindings as b
 
 
@@ -252,6 +255,21 @@ EVICT = """WITH r AS (SELECT 'receipt:' || event_id AS key, CAST(floor(epoch(ts)
 SELECT key, created < 1704067200.0 + 200000.0 - 86400 OR key NOT IN (SELECT key FROM n) AS expired FROM r"""
 
 
+def live_receipts(spark, sf):
+    """Events as receipts of their users, taken from the table by a stream that ends: those of each user's last week, the newest 100."""
+    at, path = f"{shared.shared_dir(spark)}/receipts-{uuid.uuid4().hex}", f"{sf}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern takes a file or a folder
+    rows = e.select(F.col("user_id").cast("string").alias("workspace"), F.concat(F.lit("receipt:"), F.col("event_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("created"))
+    sink = events.live_receipts(rows, 604_800).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return events.current(spark.read.schema("workspace string, version long, key string, created timestamp").parquet(f"{at}/out")).select("workspace", "key")
+
+
+LIVE = """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS workspace, 'receipt:' || event_id AS key, max(coalesce(epoch_us(ts), 0)) AS created FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT *, max(created) OVER (PARTITION BY workspace) AS newest, row_number() OVER (PARTITION BY workspace ORDER BY created DESC, key DESC) AS place FROM r)
+SELECT workspace, key FROM n WHERE place <= 100 AND created >= newest - 604800000000"""
+
+
 def last_wins(spark, sf):
     e = b.table(spark, sf, "events")
     return incremental.latest(e, ["user_id", "event_type"], F.col("event_id")).select("user_id", "event_type", "event_id", "value")
@@ -273,12 +291,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         tool_metrics, hook_counts, hook_report, latency_percentiles, paired_summary, pair_check, category_reduction, dimension_sets, matrix_cube, wilson_interval, bootstrap_ratio, median_latency, information_loss,
-        staged_totals, answer_families, agent_stream, answers_complete, resumable_pairs, index_stats, snapshot_fingerprint, incremental_plan, inventory_diff, last_good, posting_delta, receipt_eviction, last_wins, set_operations,
+        staged_totals, answer_families, agent_stream, answers_complete, resumable_pairs, index_stats, snapshot_fingerprint, incremental_plan, inventory_diff, last_good, posting_delta, receipt_eviction, live_receipts, last_wins, set_operations,
     )
 }
 ORACLES = {
     "tool_metrics": TOOLS, "hook_counts": HOOK_COUNTS, "hook_report": REPORT, "latency_percentiles": LATENCY, "paired_summary": f'WITH {b.RUNS} SELECT "group", {_M} FROM runs GROUP BY "group"', "pair_check": PAIRS,
     "category_reduction": REDUCTION, "dimension_sets": DIMENSIONS, "matrix_cube": CUBE, "wilson_interval": WILSON, "median_latency": MEDIAN, "information_loss": LOSS, "staged_totals": STAGED, "answer_families": FAMILIES,
     "agent_stream": STREAM, "answers_complete": ANSWERS, "resumable_pairs": RESUME, "index_stats": INDEX, "snapshot_fingerprint": FINGERPRINT, "incremental_plan": PLAN, "inventory_diff": STALE, "last_good": LAST,
-    "posting_delta": DELTA, "receipt_eviction": EVICT, "last_wins": LAST_WINS, "set_operations": SETS,
+    "posting_delta": DELTA, "receipt_eviction": EVICT, "live_receipts": LIVE, "last_wins": LAST_WINS, "set_operations": SETS,
 }

@@ -38,6 +38,7 @@ SPILL = 0.5  # margin in standard deviations of what a linked pair's projections
 THIN = 32  # sample vectors of a node that are still split by a direction of its own
 LEVELS = 24  # further levels at most
 BLOCK = 2048  # vectors of a leaf that are compared in one task
+PAIRS = 16_384  # pairs whose leaves are looked at together
 THRESHOLD = 0.98
 
 
@@ -182,9 +183,12 @@ def link_block(x: np.ndarray, side: np.ndarray, same: bool, threshold: float) ->
         yield left[a], right[b]
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n items the smallest index reachable through the links a-b."""
+def local_components(n: int, a: np.ndarray, b: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """For each of n items the smallest index reachable through the links a-b, and those that ``known`` stands for: the same
+    of links seen before."""
     low = np.arange(n)
+    if known is not None:
+        a, b = np.concatenate([a, low]), np.concatenate([b, known])
     while True:
         before = low.copy()
         m = np.minimum(low[a], low[b])
@@ -195,6 +199,22 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
+def block_links(x: np.ndarray, side: np.ndarray, same: bool, threshold: float, keys: np.ndarray, m: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of a block, or of two, its new links (weighted by m) and the smallest index that it is linked to.
+
+    In a crowd nearly all pairs are links, so their leaves are looked at so many pairs at a time, and pairs are not kept.
+    """
+    n = len(x)
+    links, low = np.zeros(n, np.int64), np.arange(n)
+    for a, b in link_block(x, side, same, threshold):
+        for i in range(0, len(a), PAIRS):
+            u, v = a[i : i + PAIRS], b[i : i + PAIRS]
+            new = _first(keys[u], keys[v], here)
+            links += (np.bincount(u[new], m[v[new]], n) + np.bincount(v[new], m[u[new]], n)).astype(np.int64)
+            low = local_components(n, u, v, low)
+    return links, low
+
+
 def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK, spill: float = SPILL) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row of ``vectors``."""
     spark = vectors.sparkSession
@@ -248,16 +268,9 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             ends = own.value_lengths().to_numpy()
             keys = np.full((n, ends.max()), -1, np.int64)
             keys[np.arange(keys.shape[1]) < ends[:, None]] = own.flatten().to_numpy()
-            links, a_all, b_all = np.zeros(n, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in link_block(x, np.where(mine.to_numpy() == lo, 0, 1), lo == hi, threshold):
-                a_all.append(a)
-                b_all.append(b)
-                new = _first(keys[a], keys[b], int(here))
-                links += (np.bincount(a[new], m[b[new]], n) + np.bincount(b[new], m[a[new]], n)).astype(np.int64)
-            a, b = np.concatenate(a_all), np.concatenate(b_all)
-            if len(a):
-                low = local_components(n, a, b)
-                at = np.unique(np.concatenate([a, b]))
+            links, low = block_links(x, np.where(mine.to_numpy() == lo, 0, 1), lo == hi, threshold, keys, m, int(here))
+            at = np.flatnonzero((low != np.arange(n)) | np.isin(np.arange(n), low[low != np.arange(n)]))  # those with links
+            if len(at):
                 yield pa.RecordBatch.from_arrays([cls.take(pa.array(at)), pa.array(links[at]), cls.take(pa.array(low[at]))], ["cls", "links", "low"])
 
     order = ["label", "leaf", "lo", "hi"]

@@ -28,8 +28,12 @@ def identity(s: str = "") -> Column:
 
 
 def documents(symbols: DataFrame) -> DataFrame:
-    """Search fields of symbols: terms of name, identity and body with repeats, and the weighted length."""
-    d = symbols.select(
+    """Search fields of symbols: terms of name, identity and body with repeats, and the weighted length.
+
+    Cutting texts into terms takes far longer than reading them, so they are dealt over all tasks first.
+    """
+    fields = ["id", "name", "qualname", "path", "is_test", "source"]
+    d = shared.dealt(symbols.select(*fields), "id").select(
         "id", "name", "qualname", "path", "is_test", text.distinct_terms(F.col("name")).alias("name_terms"),
         text.search_terms(identity()).alias("identity_terms"), text.search_terms(F.coalesce("source", F.lit(""))).alias("body_terms"),
     )

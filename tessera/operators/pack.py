@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate, pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def task_candidates(anchors: DataFrame, symbols: DataFrame, edges: DataFrame, te
     best offer; of equal offers the first one, in the order anchor by anchor and role by role.
     """
     rank = F.col("rank")
-    known = anchors.join(symbols.select("id", "path", "parent"), "id")
+    known = shared.written(anchors.join(symbols.select("id", "path", "parent"), "id"), "anchors")  # read by four roles
     outline = F.lit("outline")
     detail = F.lit("outline") if intent in ("impact", "test") else F.when((rank == 0) | F.array_contains("evidence", "exact-name"), "full").otherwise("outline")
     out = _row(known, "id", 1200 - rank * 80 + F.least(F.col("score"), F.lit(100.0)), "task-anchor", detail, 0)
@@ -68,14 +70,22 @@ def symbol_candidates(targets: DataFrame, symbols: DataFrame, edges: DataFrame,
     return shared.top(out, ["task_id", "id"], [F.desc("score"), F.col("offer")], 1, "best").select(*CANDIDATE)
 
 
-def render(candidates: DataFrame, symbols: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def render(candidates: DataFrame, symbols: DataFrame, tasks: DataFrame | None = None, once: bool = False) -> DataFrame:
     """Candidates with their block of text, its bytes and its terms.
 
     With tasks (task_id, text, budget), an anchor that would take half of its task's budget is cut to the lines that
-    matter for the task.
+    matter for the task.  With ``once`` (without tasks) both texts of a symbol are cut into terms before candidates meet
+    it: for batches that name most symbols, and many of them often.
     """
     s = symbols.select("id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("signature", F.concat_ws(" ", "kind", "qualname")).alias("head"), "hash")
-    out, full, outline = candidates.join(s, "id"), F.col("source"), F.concat("head", F.lit(" ..."))
+    full, outline = F.col("source"), F.concat("head", F.lit(" ..."))
+    of_detail = lambda a, o: F.when(F.col("detail") == "full", a).otherwise(o)
+    if once:
+        shared.require(tasks is None, "excerpts differ by task")
+        s = shared.dealt(s, "id").select("id", "hash", *(x for n, t in (("__full", text.rstrip(full)), ("__outline", text.rstrip(outline))) for x in (t.alias(n), text.distinct_terms(t).alias(n + "_terms"))))
+        out = candidates.join(s, "id").withColumn("body", of_detail(F.col("__full"), F.col("__outline"))).withColumn("terms", of_detail(F.col("__full_terms"), F.col("__outline_terms")))
+        return _as_blocks(out).drop("__full", "__full_terms", "__outline", "__outline_terms")
+    out = candidates.join(s, "id")
     if tasks is not None:
         out = out.join(tasks.select("task_id", F.col("text").alias("__asked"), F.expr("budget div 2").cast("int").alias("__half")), "task_id")
         terms, names = F.filter(text.search_terms(F.col("__asked")), lambda t: F.length(t) >= LEAST_TERM), F.transform(text.task_identifiers(F.col("__asked")), F.lower)
@@ -83,9 +93,14 @@ def render(candidates: DataFrame, symbols: DataFrame, tasks: DataFrame | None =
         cut = F.when(F.size(lines) == 1, outline).otherwise(F.concat(F.lit("# focused excerpt\n"), F.array_join(F.transform(lines, lambda i: F.get(F.split("source", "\n"), i)), "\n")))
         long = (F.col("role") == "task-anchor") & (F.octet_length("source") > F.greatest(F.lit(EXCERPT_FROM), F.col("__half")))
         full = F.when(long, cut).otherwise(full)
-    out = out.withColumn("body", text.rstrip(F.when(F.col("detail") == "full", full).otherwise(outline)))
+    out = _as_blocks(out.withColumn("body", text.rstrip(of_detail(full, outline))))
+    return out.withColumn("terms", text.distinct_terms(F.col("body"))).drop("source", "head", "__asked", "__half")
+
+
+def _as_blocks(df: DataFrame) -> DataFrame:
+    """Candidates that have a body, with the block that holds it and the block's bytes."""
     block = F.concat(F.lit("\n# "), "role", F.lit(": "), "id", F.lit("\n"), "body", F.lit("\n"))
-    return out.withColumn("block", block).withColumn("bytes", F.octet_length("block")).withColumn("terms", text.distinct_terms(F.col("body"))).drop("source", "head", "__asked", "__half")
+    return df.withColumn("block", block).withColumn("bytes", F.octet_length("block"))
 
 
 def _gathered(candidates: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,10 +108,37 @@ def _gathered(candidates: DataFrame, columns: list[str]) -> DataFrame:
     return candidates.groupBy("task_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
 
 
-def marginal(score: float, size: int, cost: int, terms: frozenset, chosen: list[frozenset]) -> float:
+def _flat(groups) -> tuple[list[range], dict[str, list]]:
+    """An Arrow column of arrays of structs as flat lists, one a field (arrays as sets), and each row's places in them.
+
+    Nested rows cost far more to turn into Python's objects one by one than flat columns do."""
+    def places(column) -> list[range]:
+        ends = [0, *accumulate(n or 0 for n in column.value_lengths().to_pylist())]
+        return [range(a, b) for a, b in pairwise(ends)]
+
+    def values(column) -> list:
+        if not hasattr(column, "value_lengths"):
+            return column.to_pylist()
+        flat = column.flatten().to_pylist()
+        return [frozenset(flat[r.start : r.stop]) if ok else None for r, ok in zip(places(column), column.is_valid().to_pylist(), strict=True)]
+
+    items = groups.flatten()
+    return places(groups), {f.name: values(c) for f, c in zip(items.type, items.flatten(), strict=True)}
+
+
+def overlap(terms: frozenset | None, chosen: list[frozenset]) -> float:
+    """The greatest part that terms share with one of those already chosen."""
+    most = 0.0
+    for c in chosen if terms else ():
+        both = len(terms & c)
+        if both:
+            most = max(most, both / (len(terms) + len(c) - both))
+    return most
+
+
+def marginal(score: float, size: int, cost: int, shared_part: float) -> float:
     """Value a byte: less the more the terms overlap those already chosen, and the longer the block is."""
-    overlap = max((len(terms & c) / max(1, len(terms | c)) for c in chosen), default=0.0)
-    return (score - OVERLAP_PENALTY * overlap) * max(NOVELTY_FLOOR, 1 - overlap) / max(1, size + cost)
+    return (score - OVERLAP_PENALTY * shared_part) * max(NOVELTY_FLOOR, 1 - shared_part) / max(1, size + cost)
 
 
 def greedy(candidates: DataFrame, budget: int | None, count=None) -> DataFrame:
@@ -112,31 +154,38 @@ def greedy(candidates: DataFrame, budget: int | None, count=None) -> DataFrame:
     """
     import pyarrow as pa
 
-    def pack(rows: list[dict]) -> list[tuple[str, str, float]]:
-        left = {r["id"]: (r, frozenset(r["terms"])) for r in rows}
-        chosen, used, out, whole = [], 0, [], ""
-        limit = rows[0]["budget"] if budget is None else budget
+    def pack(rows: range, ids, scores, roles, sizes, terms, required, known, budgets, blocks) -> list[tuple[str, str, float]]:
+        left = {ids[i]: i for i in rows}
+        need = {k: 2 if roles[i] == "task-anchor" else 1 if required[i] else 0 for k, i in left.items()}
+        met = dict.fromkeys(left, 0.0)  # the greatest overlap so far; a choice can only raise it
+        value = lambda k: marginal(scores[left[k]], sizes[left[k]], ROLE_COST.get(roles[left[k]], 120), met[k])
+        values = {k: value(k) for k in left}
+        used, out, whole, limit = 0, [], "", budgets[rows[0]] if budget is None else budget
         while left:
-            values = {i: marginal(r["score"], r["bytes"], ROLE_COST.get(r["role"], 120), terms, chosen) for i, (r, terms) in left.items()}
-            need = {i: 2 if r["role"] == "task-anchor" else 1 if r["required"] else 0 for i, (r, _) in left.items()}
-            for i in [i for i, v in values.items() if v < VALUE_FLOOR and not need[i]]:
-                out.append((i, "pruned", values[i]))
-                del left[i]
+            for k in [k for k in left if values[k] < VALUE_FLOOR and not need[k]]:
+                out.append((k, "pruned", values[k]))
+                del left[k]
             if not left:
                 break
-            best = max(left, key=lambda i: (need[i], values[i], left[i][0]["score"], i))
-            r, terms = left.pop(best)
-            fits = used + r["bytes"] <= limit if count is None else count(whole + r["block"]) <= limit
-            if r["known"] or fits:
-                chosen.append(terms)
-                used += 0 if r["known"] else r["bytes"]
-                whole += "" if r["known"] or count is None else r["block"]
-            out.append((best, "reused" if r["known"] else "included" if fits else "omitted", values[best]))
+            best = max(left, key=lambda k: (need[k], values[k], scores[left[k]], k))
+            i = left.pop(best)
+            fits = used + sizes[i] <= limit if count is None else count(whole + blocks[i]) <= limit
+            if known[i] or fits:
+                for k, j in left.items():
+                    shared_part = overlap(terms[j], [terms[i]])
+                    if shared_part > met[k]:
+                        met[k] = shared_part
+                        values[k] = value(k)
+                used += 0 if known[i] else sizes[i]
+                whole += "" if known[i] or count is None else blocks[i]
+            out.append((best, "reused" if known[i] else "included" if fits else "omitted", values[best]))
         return out
 
     def run(batches):
         for b in batches:
-            tasks, out = b.column(0), [pack(rows) for rows in b.column(1).to_pylist()]
+            places, c = _flat(b.column(1))
+            fields = [c.get(f) for f in ("id", "score", "role", "bytes", "terms", "required", "known", "budget", "block")]
+            tasks, out = b.column(0), [pack(rows, *fields) for rows in places]
             at = pa.array([i for i, rows in enumerate(out) for _ in rows], pa.int64())
             flat = [(place, *row) for rows in out for place, row in enumerate(rows)]
             columns = [pa.array([r[1] for r in flat], pa.string()), pa.array([r[0] for r in flat], pa.int32()), pa.array([r[2] for r in flat], pa.string()), pa.array([round(r[3], 3) for r in flat], pa.float64())]
@@ -164,29 +213,39 @@ def frontier(candidates: DataFrame, budget: int) -> DataFrame:
 
     A fold over the ordered candidates: its state is the bytes used, the roles met and the terms chosen so far.
     """
-    by_role = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    import pyarrow as pa
+
     place = F.array_position(F.array(*map(F.lit, FRONTIER_BASE)), F.col("role"))
-    own = candidates.where(F.col("role").isin(list(FRONTIER_BASE))).select(
-        "task_id", F.struct(place.alias("place"), "ord", "id", "role", F.col("bytes").cast("long").alias("bytes"), F.array_distinct("terms").alias("terms"), F.col("used").cast("long").alias("used"),
-                            by_role(FRONTIER_BASE)[F.col("role")].alias("base"), by_role(FRONTIER_COST)[F.col("role")].alias("cost")).alias("c"),
-    )
+    item = F.struct(place.alias("place"), "ord", "id", "role", F.col("bytes").cast("long").alias("bytes"), F.array_distinct("terms").alias("terms"), F.col("used").cast("long").alias("used"))
+    own = candidates.where(F.col("role").isin(list(FRONTIER_BASE))).select("task_id", item.alias("c"))
     rows = own.groupBy("task_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    out_type = "array<struct<id:string,role:string,state:string>>"
-    start = F.struct(F.get("c", 0).used.alias("used"), F.array().cast("array<string>").alias("roles"), F.array().cast("array<array<string>>").alias("chosen"), F.array().cast(out_type).alias("out"))
-
-    def take(s: Column, c: Column) -> Column:
-        shared_part = lambda x: F.size(F.array_intersect(c.terms, x)) / F.greatest(F.lit(1), F.size(F.array_union(c.terms, x)))
-        overlap = F.coalesce(F.array_max(F.transform(s.chosen, shared_part)), F.lit(0.0))
-        value = (c.base - OVERLAP_PENALTY * overlap) * F.greatest(F.lit(NOVELTY_FLOOR), 1 - overlap) / F.greatest(F.lit(1), c.bytes + c.cost)
-        pruned = F.array_contains(s.roles, c.role) & (value < VALUE_FLOOR)
-        fits = ~pruned & (s.used + c.bytes <= budget)
-        state = F.when(pruned, "pruned").when(fits, "included").otherwise("omitted")
-        return F.struct(
-            F.when(fits, s.used + c.bytes).otherwise(s.used).alias("used"), F.when(fits, F.array_union(s.roles, F.array(c.role))).otherwise(s.roles).alias("roles"),
-            F.when(fits, F.concat(s.chosen, F.array(c.terms))).otherwise(s.chosen).alias("chosen"), F.concat(s.out, F.array(F.struct(c.id.alias("id"), c.role.alias("role"), state.alias("state")))).alias("out"),
-        )
-
-    return rows.select("task_id", F.inline(F.aggregate("c", start, take).out))
+
+    def fold(rows: range, ids, roles, sizes, terms, used) -> list[tuple[str, str, str]]:
+        total, met, chosen, out = used[rows[0]], set(), [], []
+        for i in rows:
+            role, size = roles[i], sizes[i]
+            if size is not None and role in met and marginal(FRONTIER_BASE[role], size, FRONTIER_COST[role], overlap(terms[i], chosen)) < VALUE_FLOOR:
+                state = "pruned"
+            elif size is None or total is None or total + size > budget:
+                state = "omitted"
+            else:
+                state, total = "included", total + size
+                met.add(role)
+                if terms[i]:
+                    chosen.append(terms[i])
+            out.append((ids[i], role, state))
+        return out
+
+    def run(batches):
+        for b in batches:
+            places, c = _flat(b.column(1))
+            folded = [fold(rows, *(c[f] for f in ("id", "role", "bytes", "terms", "used"))) for rows in places]
+            at = pa.array([i for i, rows in enumerate(places) for _ in rows], pa.int64())
+            flat = [x for rows in folded for x in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array([x[i] for x in flat], pa.string()) for i in range(3))], ["task_id", "id", "role", "state"])
+
+    kind = candidates.schema["task_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"task_id {kind}, id string, role string, state string")
 
 
 def imports_block(used: DataFrame, imports: DataFrame, budget: int) -> DataFrame:

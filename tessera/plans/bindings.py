@@ -89,7 +89,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
 
     def arc(df: DataFrame, a: str, ka: str, b: str, kb: str, kind: str) -> DataFrame:
-        return df.select(F.concat(F.lit(a + "/"), F.col(ka).cast("string")).alias("source"), F.concat(F.lit(b + "/"), F.col(kb).cast("string")).alias("target"), F.lit(kind).alias("kind")).distinct()
+        pairs = df.select(ka, kb).distinct()  # numbers are exchanged, not their texts
+        return pairs.select(F.concat(F.lit(a + "/"), F.col(ka).cast("string")).alias("source"), F.concat(F.lit(b + "/"), F.col(kb).cast("string")).alias("target"), F.lit(kind).alias("kind"))
 
     out = arc(t("orders"), "c", "o_custkey", "o", "o_orderkey", "call")
     out = out.unionByName(arc(t("lineitem"), "o", "l_orderkey", "p", "l_partkey", "call")).unionByName(arc(t("lineitem"), "o", "l_orderkey", "s", "l_suppkey", "reference"))

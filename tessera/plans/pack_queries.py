@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -17,8 +20,9 @@ def _targets(spark, sf):
 def _nodes(spark, sf):
     """Orders and what they touch as symbols; suppliers are tests; customers of an order are its parents."""
     o = b.table(spark, sf, "orders").select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("parent"), F.concat("o_orderpriority", F.lit(" "), F.col("o_totalprice").cast("string")).alias("source"))
-    others = b.edges(spark, sf).where("path <> 'c'").select(F.col("target").alias("id")).unionByName(b.edges(spark, sf).where("path = 'c'").select(F.col("source").alias("id"))).distinct()
-    rest = others.select("id", F.lit(None).cast("string").alias("parent"), F.concat(F.lit("node "), F.regexp_replace("id", "/", " number ")).alias("source"))
+    ends = [("c", "orders", "o_custkey"), ("p", "lineitem", "l_partkey"), ("s", "lineitem", "l_suppkey"), ("n", "supplier", "s_nationkey"), ("r", "nation", "n_regionkey")]
+    others = [b.table(spark, sf, t).select(k).where(F.col(k).isNotNull()).distinct().select(F.concat(F.lit(p + "/"), F.col(k).cast("string")).alias("id")) for p, t, k in ends]
+    rest = reduce(DataFrame.unionByName, others).select("id", F.lit(None).cast("string").alias("parent"), F.concat(F.lit("node "), F.regexp_replace("id", "/", " number ")).alias("source"))
     out = o.unionByName(rest)
     return out.select("*", F.substring_index("id", "/", 1).alias("path"), F.lit("node").alias("kind"), F.col("id").alias("qualname"), F.lit(None).cast("string").alias("signature"), F.sha2("source", 256).alias("hash"))
 
@@ -67,7 +71,7 @@ SELECT task_id, id, CAST(score AS DOUBLE) AS score, role, detail FROM u QUALIFY
 
 
 def _blocks(spark, sf):
-    out = pack.render(_anchored(spark, sf), _nodes(spark, sf))
+    out = pack.render(_anchored(spark, sf), _nodes(spark, sf), once=True)
     return out.withColumn("required", F.col("role") == "task-anchor").withColumn("known", F.col("id").endswith("7"))
 
 

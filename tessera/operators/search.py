@@ -265,15 +265,24 @@ def exact_definitions(tasks: DataFrame, symbols: DataFrame, within: DataFrame |
     mentions, short paths, ids.  ``within`` (task_id, path), see ``defining_files``, says which files count for a task.
     """
     names = text.task_identifiers(F.col("text"))
-    asked = tasks.select("task_id", F.lower("text").alias("folded"), F.size(names).alias("n"), F.explode(names).alias("name"))
+    asked = shared.dealt(tasks.select("task_id", "text"), "task_id").select("task_id", F.lower("text").alias("folded"), F.size(names).alias("n"), F.explode(names).alias("name"))
     asked = asked.withColumn("leaf", F.lower(F.regexp_extract("name", r"([^.]*)$", 1))).withColumn("name", F.lower("name"))
-    own = symbols.withColumn("leaf", F.lower("name")).withColumn("qual", F.lower("qualname")).drop("name", "qualname")
-    met = asked.join(own, "leaf").where(~F.col("name").contains(".") | (F.col("qual") == F.col("name")) | F.col("qual").endswith(F.concat(F.lit("."), "name")))
+    # symbols of one spelling, path and kind differ by their ids alone, so two of them stand for all before they meet tasks
+    declares = F.col("language").isin("c", "cpp") & F.trim("source").endswith(";")
+    own = symbols.select("id", F.lower("name").alias("leaf"), F.lower("qualname").alias("qual"), "path", "is_test", declares.alias("declares"))
+    alike = ["path", "is_test", "declares"]
+    fewest = lambda df, *by: shared.top(df.select("id", *by, *alike).distinct(), [*by, *alike], [F.col("id")], 2, "nth").drop("nth")
+    # a dotted name is met by each dotted end of a symbol's whole name
+    parts = F.split("qual", r"\.")
+    ends = own.where("leaf is not null").withColumn("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))))
+    dotted = F.col("name").contains(".")
+    met = asked.where(~dotted).join(shared.small(shared.written(fewest(own, "leaf"), "plain-names")), "leaf").drop("leaf", "name")
+    met = met.unionByName(asked.where(dotted).join(fewest(ends.where(dotted), "leaf", "name"), ["leaf", "name"]).drop("leaf", "name"))
     if within is not None:
         met = met.join(within, ["task_id", "path"], "left_semi")
     parts = F.split(F.lower("path"), "/")
     said = F.size(F.filter(F.array_distinct(parts), lambda p: (F.length(p) >= 3) & F.replace(F.col("folded"), F.lit("\\"), F.lit("/")).contains(p)))
-    order = [F.col("is_test"), F.arrays_overlap(parts, F.array(*map(F.lit, VENDOR))), F.col("language").isin("c", "cpp") & F.trim("source").endswith(";"), F.desc(said), F.size(parts), F.col("id")]
+    order = [F.col("is_test"), F.arrays_overlap(parts, F.array(*map(F.lit, VENDOR))), F.col("declares"), F.desc(said), F.size(parts), F.col("id")]
     once = met.dropDuplicates(["task_id", "id"])
     best = shared.top(once, ["task_id"], order, 2, "place")
     return best.where((F.col("n") > 1) | (F.col("place") == 1)).select("task_id", "id", "place")

@@ -326,9 +326,15 @@ def nearby_symbols(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     t = targets.join(symbols.select("id", F.col("path").alias("own"), F.lower("name").alias("leaf"), F.lower("source").alias("body")), "id").select("task_id", F.col("id").alias("target"), "own", "leaf", "body")
     words = F.regexp_extract_all("body", F.lit(r"(?U)(\w+)"), F.lit(1))
     s = symbols.select("id", "path", F.lower("name").alias("name"), F.length("source").alias("size"), F.trim("source").endswith(";").alias("declares"))
+    s = shared.written(s, "near-names")
+    # of equal names only the shortest can be picked: as many as are asked for, and those that a target may rule out (itself
+    # and what it stands in, each as often as an id repeats)
+    dots = targets.agg(F.coalesce(F.max(F.size(F.split("id", r"\.")) - 1), F.lit(0))).first()[0]
+    repeats = s.groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    fewest = lambda df, by, n: shared.small(shared.written(shared.top(df, by, [F.col("size"), F.col("id")], n, "nth").drop("nth"), "shortest-names"))
     outside = (F.col("id") != F.col("target")) & ~F.startswith(F.col("target"), F.concat("id", F.lit(".")))
-    said = t.select("task_id", "target", F.col("own").alias("path"), F.explode(F.array_distinct(words)).alias("name")).where(F.length("name") >= 3)
-    near = said.join(s, ["path", "name"]).where(outside)
-    declared = t.join(s.where("declares"), F.col("leaf") == F.col("name")).where(F.col("id") != F.col("target"))
+    said = shared.dealt(t, "task_id").select("task_id", "target", F.col("own").alias("path"), F.explode(F.array_distinct(words)).alias("name")).where(F.length("name") >= 3)
+    near = said.join(fewest(s.where(F.length("name") >= 3), ["path", "name"], 2 + (1 + dots) * repeats), ["path", "name"]).where(outside)
+    declared = t.join(fewest(s.where("declares"), ["name"], 1 + repeats), F.col("leaf") == F.col("name")).where(F.col("id") != F.col("target"))
     pick = lambda df, role, n: shared.top(df, ["task_id"], [F.col("size"), F.col("id")], n, "place").select("task_id", "id", F.lit(role).alias("role"), "place")
     return pick(near, "dependency", 2).unionByName(pick(declared, "declaration", 1))

@@ -40,6 +40,7 @@ SLACK = 0.15  # pairs whose sketches are further below the threshold than this a
 BUCKET = 2048  # documents below a trie node that are compared in one task; more make the node crowded
 BLOCK = 512  # documents of a group that are verified in one task, about
 CACHED = 200_000  # word hashes a task remembers
+SLICE = 500_000  # hashes of a group that are compared at once, about
 
 _table = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -169,27 +170,39 @@ def neighbours(labels: np.ndarray, tree: int, depth: int, need: np.ndarray, mine
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of all intersections between two lists of sets (by index), by strips of an incidence matrix."""
-    lens = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), lens)
-    values, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    """Sizes of all intersections between two lists of sets (by index).
+
+    The sets are sorted hashes, so a range of hashes is a slice of each of them; ranges are taken one at a time, each of
+    about SLICE hashes in all, so that memory does not grow with the texts.
+    """
+    out = np.zeros((len(left), len(right)), np.float64)
+    place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    ranges = max(1, -(-sum(map(len, sets)) // SLICE))
+    cuts = np.array([k * 2**64 // ranges for k in range(1, ranges)], np.uint64)
+    at = np.array([[0, *np.searchsorted(s, cuts), len(s)] for s in sets])
+    for k in range(ranges):
+        _add_overlaps(out, [s[i:j] for s, i, j in zip(sets, at[:, k], at[:, k + 1], strict=True)], place_l, place_r)
+    return out
+
+
+def _add_overlaps(out: np.ndarray, sets: list[np.ndarray], place_l: np.ndarray, place_r: np.ndarray) -> None:
+    """Add the sizes of intersections by strips of an incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = n[col] > 1
     owner, col = owner[keep], (np.cumsum(n > 1) - 1)[col[keep]]
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     width = int((n > 1).sum())
-    out = np.zeros((len(left), len(right)), np.float64)
-    place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
-    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
     for i in range(0, width, 4096):
         a, b = np.searchsorted(col, [i, i + 4096])
         o, c = owner[a:b], col[a:b] - i
-        x, y = np.zeros((len(left), min(4096, width - i)), np.float32), np.zeros((len(right), min(4096, width - i)), np.float32)
+        x, y = np.zeros((out.shape[0], min(4096, width - i)), np.float32), np.zeros((out.shape[1], min(4096, width - i)), np.float32)
         in_l, in_r = place_l[o] >= 0, place_r[o] >= 0
         x[place_l[o[in_l]], c[in_l]] = 1
         y[place_r[o[in_r]], c[in_r]] = 1
         out += x @ y.T
-    return out
 
 
 def verify(m: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, lo: int, hi: int, threshold: float):
@@ -348,7 +361,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), cols in common.runs(batches, 3):
-            raw = [np.frombuffer(s, np.uint64) for s in cols[6].to_pylist()]
+            raw = [np.frombuffer(s.as_buffer(), np.uint64) for s in cols[6]]  # no copies
             at, links, low = verify(cols[5].to_numpy(), raw, cols[3].to_numpy(), lo, hi, threshold)
             if len(at):
                 yield pa.RecordBatch.from_arrays([cols[4].take(pa.array(at)), pa.array(links, pa.int64()), cols[4].take(pa.array(low))], ["cls", "links", "low"])

@@ -144,3 +144,23 @@ def test_short_symbols_stand_for_all_of_their_name(spark):
     got = sorted(tuple(r) for r in out.collect())
     assert got == [(1, "f/x::a.b.c01", "dependency", 1), (1, "f/x::a.b.c02", "dependency", 2), (1, "g", "declaration", 1), (2, "f/x::a.b.c00", "dependency", 1), (2, "f/x::a.b.c02", "dependency", 2), (2, "g", "declaration", 1), (3, "f/x::a.b.c01", "declaration", 1)]
     assert any("shortest-names" in path for path in out.inputFiles())
+
+
+def test_long_texts_of_a_group_take_little_memory():
+    """op7_ngram_join: the hashes of a whole group were sorted at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.llm import ngram_join as j
+
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 64, 400_000, np.uint64))
+    sets = [np.unique(rng.choice(pool, 20_000)) for _ in range(300)] + [pool[:0], pool[:1], pool[-1:], np.array([0, 2**64 - 1], np.uint64)]
+    left, right = np.arange(0, 304, 2), np.arange(1, 304, 2)
+    tracemalloc.start()
+    got = j.overlaps(sets, left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    assert all(got[a, b] == len(np.intersect1d(sets[left[a]], sets[right[b]])) for a, b in [(0, 0), (17, 140), (150, 151), (151, 150), (151, 151), (150, 3)])

@@ -87,7 +87,7 @@ def bm25(tasks: DataFrame, docs: DataFrame | None, limit: int, at: Index | None
     """(task_id, id, score, rank): the best ``limit`` documents of each task by smoothed BM25, ties by id.  ``docs`` may be
     missing where there is an index.
 
-    Scores are pre-aggregated by task and document, and each partition keeps its own best rows before the ranking
+    Scores are summed where a document's hits lie, and each partition keeps its own best rows before the ranking
     exchange.  Where many tasks have the same terms of more than ``common`` documents, these are ranked once for all of them.
     """
     at = at or index(tasks, docs)
@@ -110,7 +110,8 @@ def _part() -> Column:
 
 
 def _scored(hits: DataFrame, weights: DataFrame, by: str) -> DataFrame:
-    return hits.join(shared.small(weights), "term").groupBy(by, "id").agg(F.round(F.sum(_part()), 3).alias("score"))
+    """(by, id, score).  Hits are dealt by id, so that pairs, which are far more, need no exchange and fall on all tasks."""
+    return shared.dealt(hits, "id").join(shared.small(weights), "term").groupBy(by, "id").agg(F.round(F.sum(_part()), 3).alias("score"))
 
 
 def _scored_by_sets(hits: DataFrame, weights: DataFrame, sets: DataFrame, limit: int) -> DataFrame:

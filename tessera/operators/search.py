@@ -126,9 +126,12 @@ def bm25(tasks: DataFrame, docs: DataFrame | None, limit: int, at: Index | None
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = at.asked.join(df, "term").join(F.broadcast(whole)).select("task_id", "term", idf.alias("idf"), "avg_dl", (F.col("df") > common).alias("common"))
     weights = shared.written(weights, "weights")
-    n = weights.agg(F.count("*").alias("weights"), F.countDistinct("task_id").alias("tasks"), F.countDistinct("term").alias("terms")).first()
-    if n.weights <= FEW and n.tasks * n.terms <= CELLS:
-        return shared.top(_leading(at.hits, weights, limit), ["task_id"], [F.desc("score"), F.col("id")], limit)
+    n = weights.agg(*_sizes(), F.first("avg_dl").alias("avg_dl")).first()
+    if _few(n):
+        tf = IDENTITY * F.col("tf_identity") + BODY * F.col("tf_body")
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(n.avg_dl)))
+        best = _leading(at.hits.select("id", "term", part.alias("part")), weights, limit).where("n is null").drop("n")
+        return shared.top(best, ["task_id"], [F.desc("score"), F.col("id")], limit)
     sets = weights.where("common").groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("set"))
     n = sets.agg(F.count("*").alias("tasks"), F.countDistinct("set").alias("sets")).first()
     if 2 * n.sets >= n.tasks:  # hardly any two tasks have all their common terms alike
@@ -142,10 +145,24 @@ def _part() -> Column:
     return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
 
 
+def _sizes() -> list[Column]:
+    return [F.count("*").alias("weights"), F.countDistinct("task_id").alias("tasks"), F.countDistinct("term").alias("terms")]
+
+
+def _few(n) -> bool:
+    return n.weights <= FEW and n.tasks * n.terms <= CELLS
+
+
+#: What stands before a spelling, before a name and for a test, where these go with the terms of a document: no term begins so.
+EXACT, INSIDE, TEST = "=", "@", "!"
+
+
 def _leading(hits: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
-    """(task_id, id, score) of all documents that can be among a task's best ``limit``, for at most FEW weights.
+    """(task_id, id, score, n) of all documents that can be among a task's best ``limit``, for at most FEW weights; and of
+    each partition a row with how many documents have points for the task (n, without an id).
 
-    Pairs of tasks and documents are far more than hits: a document's hits meet the weights of all tasks as a product of
+    Hits (id, term, part) meet weights (task_id, term, idf).  Any of a task's spellings (EXACT) gives its points once, and so
+    does a name (INSIDE); TEST takes a share away.  Pairs of tasks and documents are far more than hits: a document's hits meet the weights of all tasks as a product of
     matrices, and a pair leaves its partition only if fewer than ``limit`` documents there are surely better.  The weights, a
     counted few, pass through the driver as those of a broadcast do.
     """
@@ -156,30 +173,36 @@ def _leading(hits: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
     task_ids, terms = asked["task_id"].combine_chunks().unique(), asked["term"].combine_chunks().unique()
     table = np.zeros((len(terms), len(task_ids)))
     place = lambda values: np.asarray(values.combine_chunks().dictionary_encode().indices)
-    table[place(asked["term"]), place(asked["task_id"])] = np.asarray(asked["idf"]) * (K1 + 1)
-    mean = asked["avg_dl"][0].as_py() if len(asked) else 1.0
+    table[place(asked["term"]), place(asked["task_id"])] = np.asarray(asked["idf"])
+    begins = np.array([t[:1] for t in terms.to_pylist()], dtype="U1")
+    marks = [(m, np.nonzero(begins == m)[0]) for m in (EXACT, INSIDE, TEST)]
+    plain = np.where(np.isin(begins, (EXACT, INSIDE, TEST))[:, None], 0.0, table)
     width = max(1, len(terms))
     docs = max(1, CELLS // max(width, len(task_ids), 1))  # of one matrix
 
     def run(batches):
         import pyarrow.compute as pc
 
-        best = np.zeros((limit, len(task_ids)))
+        best, total = np.zeros((limit, len(task_ids))), np.zeros(len(task_ids), np.int64)
 
         def score(rows: pa.Table):
-            nonlocal best
+            nonlocal best, total
             ids = rows["id"].combine_chunks().dictionary_encode(null_encoding="encode")
             row, column = np.asarray(ids.indices), np.asarray(pc.fill_null(pc.index_in(rows["term"], value_set=terms), -1))
-            tf = IDENTITY * np.asarray(rows["tf_identity"]) + BODY * np.asarray(rows["tf_body"])
-            part = tf / (tf + K1 * (1 - B + B * np.asarray(rows["dl"]) / mean))
+            part = np.asarray(rows["part"])
             for first in range(0, len(ids.dictionary), docs):
                 here, n = (row >= first) & (row < first + docs) & (column >= 0), min(docs, len(ids.dictionary) - first)
                 cells = np.bincount((row[here] - first) * width + column[here], weights=part[here], minlength=n * width).reshape(n, width)
-                scores = cells @ table
+                scores = cells @ plain
+                for mark, at in marks:
+                    if len(at):
+                        marked = cells[:, at] @ table[at] > 0
+                        scores = np.where(marked, scores * TEST_FACTOR, scores) if mark == TEST else scores + marked * (EXACT_IDENTIFIER if mark == EXACT else NAME_IN_TASK)
+                total += (scores > 0).sum(axis=0)
                 best = np.partition(np.vstack([best, scores]), -limit, axis=0)[-limit:]
                 # rounding may make the order of scores this near that of their ids
                 which, whose = np.nonzero((scores > 0) & (scores >= best.min(axis=0) - 0.0011))
-                yield pa.RecordBatch.from_arrays([task_ids.take(pa.array(whose)), ids.dictionary.take(pa.array(which + first)), pa.array(scores[which, whose])], ["task_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([task_ids.take(pa.array(whose)), ids.dictionary.take(pa.array(which + first)), pa.array(scores[which, whose]), pa.nulls(len(which), pa.int64())], names)
 
         rest = None  # the hits of a document may go on in the next batch
         for batch in batches:
@@ -193,9 +216,10 @@ def _leading(hits: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
             rest = rows.slice(start)
         if rest is not None:
             yield from score(rest)
+            yield pa.RecordBatch.from_arrays([task_ids, pa.nulls(len(total), pa.string()), pa.nulls(len(total), pa.float64()), pa.array(total)], names)
 
-    kind = weights.schema["task_id"].dataType.simpleString()
-    near = shared.dealt(hits.select("id", "term", "dl", "tf_identity", "tf_body"), "id").sortWithinPartitions("id").mapInArrow(run, f"task_id {kind}, id string, score double")
+    names, kind = ["task_id", "id", "score", "n"], weights.schema["task_id"].dataType.simpleString()
+    near = shared.dealt(hits.select("id", "term", "part"), "id").sortWithinPartitions("id").mapInArrow(run, f"task_id {kind}, id string, score double, n long")
     return near.withColumn("score", F.round("score", 3))
 
 
@@ -241,31 +265,43 @@ def spellings(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", "is_test", F.lower("name").alias("name"), F.array_distinct(F.array(*(F.lower(c) for c in ("name", "qualname", "id")), F.lower(local))).alias("keys"))
 
 
-def _ranked(found: DataFrame, tasks: DataFrame, limit: int, pooled: bool = False) -> DataFrame:
-    """From (task_id, id, is_test, lexical, ev, exact, named_in): points, evidence, total, the best ``limit``.  Rows of
-    bounded pools are written, so that they are worked out once for both."""
-    wants_tests = text.distinct_terms(F.col("text"))
-    about = tasks.select("task_id", F.arrays_overlap(wants_tests, F.array(F.lit("test"), F.lit("tests"), F.lit("测试"))).alias("about_tests"))
-    raw = F.coalesce("lexical", F.lit(0.0)) + F.when(F.col("exact"), EXACT_IDENTIFIER).otherwise(0.0) + F.when(F.col("named_in"), NAME_IN_TASK).otherwise(0.0)
+def _about_tests() -> Column:
+    return F.arrays_overlap(text.distinct_terms(F.col("text")), F.array(F.lit("test"), F.lit("tests"), F.lit("测试")))
+
+
+def _evidence() -> Column:
+    """Why a symbol is found, from the columns exact, named_in and ev."""
     none = F.array().cast("array<string>")
-    evidence = F.concat(
+    every = F.concat(
         F.when(F.col("exact"), F.array(F.lit("exact-identifier"))).otherwise(none), F.when(F.col("named_in"), F.array(F.lit("exact-name"))).otherwise(none),
         F.coalesce(F.transform(F.array_sort("ev"), lambda e: e.term), none),
     )
+    return F.slice(F.array_distinct(every), 1, 8)
+
+
+def _ranked(found: DataFrame, tasks: DataFrame, limit: int, pooled: bool = False) -> DataFrame:
+    """From (task_id, id, is_test, lexical, ev, exact, named_in): points, evidence, total, the best ``limit``.  Rows of
+    bounded pools are written, so that they are worked out once for both."""
+    about = tasks.select("task_id", _about_tests().alias("about_tests"))
+    raw = F.coalesce("lexical", F.lit(0.0)) + F.when(F.col("exact"), EXACT_IDENTIFIER).otherwise(0.0) + F.when(F.col("named_in"), NAME_IN_TASK).otherwise(0.0)
     out = found.join(shared.small(about), "task_id").withColumn("raw", raw).where("raw > 0")
     out = out.withColumn("score", F.round(F.when(F.col("is_test") & ~F.col("about_tests"), F.col("raw") * TEST_FACTOR).otherwise(F.col("raw")), 3))
-    out = out.withColumn("evidence", F.slice(F.array_distinct(evidence), 1, 8)).select("task_id", "id", "score", "evidence")
+    out = out.withColumn("evidence", _evidence()).select("task_id", "id", "score", "evidence")
     if pooled:
         out = shared.written(out, "ranked")
     total = out.groupBy("task_id").agg(F.count("*").alias("total"))
     return shared.top(out, ["task_id"], [F.desc("score"), F.col("id")], limit).join(shared.small(shared.written(total, "totals")), "task_id")
 
 
-def _terms_found(hits: DataFrame, asked: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    """(task_id, id, lexical, ev): weighted terms; their rarity is measured among the documents that ``by`` names."""
+def _rarity(hits: DataFrame, asked: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     df = hits.groupBy(*by).agg(F.count("*").alias("df"))
     idf = F.log((F.col("pool") + 1) / (F.col("df") + 1)) + 1
-    rare = asked.join(df, by).join(sizes, "task_id").select("task_id", "term", "pos", idf.alias("idf"))
+    return asked.join(df, by).join(sizes, "task_id").select("task_id", "term", "pos", idf.alias("idf"))
+
+
+def _terms_found(hits: DataFrame, asked: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """(task_id, id, lexical, ev): weighted terms; their rarity is measured among the documents that ``by`` names."""
+    rare = _rarity(hits, asked, sizes, by)
     met = hits.join(shared.small(rare), by) if "task_id" in by else hits.join(shared.small(rare), "term")
     return met.groupBy("task_id", "id").agg(F.sum(F.col("w") * F.col("idf")).alias("lexical"), F.collect_list(F.struct("pos", "term")).alias("ev"))
 
@@ -300,15 +336,33 @@ def rank_all(tasks: DataFrame, symbols: DataFrame, docs: DataFrame, limit: int)
     at = index(tasks, docs)
     hits = at.hits.select("id", "term", _weight().alias("w"))
     sizes = tasks.select("task_id").distinct().join(F.broadcast(at.lengths.agg(F.count("*").alias("pool"))))  # one row
-    scored = _terms_found(hits, at.asked, sizes, ["term"]).select("task_id", "id", "lexical", "ev")
     who = shared.written(spellings(symbols), "spellings")
-    named = tasks.select("task_id", F.explode(F.array_distinct(F.transform(text.task_identifiers(F.col("text")), F.lower))).alias("key"))
-    exact = who.select("id", F.explode("keys").alias("key")).join(shared.small(shared.written(named, "named")), "key").select("task_id", "id").distinct()
+    named = shared.written(tasks.select("task_id", F.explode(F.array_distinct(F.transform(text.task_identifiers(F.col("text")), F.lower))).alias("key")), "named")
+    exact = who.select("id", F.explode("keys").alias("key")).join(shared.small(named), "key").select("task_id", "id").distinct()
     # a name is sought in the distinct texts, which stand as ids here
     texts = shared.written(tasks.select("task_id", "text"), "task-texts")
     inside = find_all(who.select(F.col("name").alias("query")).distinct(), texts.select(F.col("text").alias("id"), F.lit("").alias("name")).distinct())
     inside = inside.select(F.col("query").alias("name"), F.col("id").alias("text")).join(texts, "text").select("task_id", "name")
-    inside = who.select("id", "name").join(shared.small(shared.written(inside, "names-inside")), "name").select("task_id", "id")
+    inside_tasks = shared.written(inside, "names-inside")
+    inside = who.select("id", "name").join(shared.small(inside_tasks), "name").select("task_id", "id")
+    if who.groupBy("id").count().where("count > 1").isEmpty():
+        of = lambda mark, c: F.concat(F.lit(mark), F.col(c)).alias("term")
+        about = tasks.where(~_about_tests()).select("task_id", F.lit(TEST).alias("term"))
+        marks = named.select("task_id", of(EXACT, "key")).unionByName(inside_tasks.select("task_id", of(INSIDE, "name"))).unionByName(about).where("term is not null").distinct()
+        weights = shared.written(_rarity(hits, at.asked, sizes, ["term"]).select("task_id", "term", "idf").unionByName(marks.withColumn("idf", F.lit(1.0))), "weights")
+        if _few(weights.agg(*_sizes()).first()):
+            have = who.select("id", F.explode(F.concat(F.transform("keys", lambda k: F.concat(F.lit(EXACT), k)), F.array(of(INSIDE, "name"), F.when(F.col("is_test"), TEST)))).alias("term"))
+            have = hits.select("id", "term", F.col("w").cast("double").alias("part")).unionByName(have.withColumn("part", F.lit(1.0)))
+            met = shared.written(_leading(have.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi"), weights, limit), "leading")
+            total = met.where("n is not null").groupBy("task_id").agg(F.sum("n").alias("total"))
+            best = shared.written(shared.top(met.where("n is null").drop("n"), ["task_id"], [F.desc("score"), F.col("id")], limit), "best")
+            # only the best need their evidence
+            ev = hits.join(F.broadcast(best.select("task_id", "id")), "id").join(F.broadcast(at.asked), ["task_id", "term"]).groupBy("task_id", "id").agg(F.collect_list(F.struct("pos", "term")).alias("ev"))
+            flag = lambda rows, c: rows.join(F.broadcast(best.select("task_id", "id")), ["task_id", "id"], "left_semi").distinct().withColumn(c, F.lit(True))
+            for more in (ev, flag(exact, "exact"), flag(inside, "named_in")):
+                best = best.join(more, ["task_id", "id"], "left")
+            return best.withColumn("evidence", _evidence()).join(total, "task_id").select("task_id", "id", "score", "evidence", "total", "rank")
+    scored = _terms_found(hits, at.asked, sizes, ["term"]).select("task_id", "id", "lexical", "ev")
     none = F.lit(None)
     rows = scored.select("task_id", "id", "lexical", "ev", F.lit(False).alias("exact"), F.lit(False).alias("named_in"))
     rows = rows.unionByName(exact.select("*", none.cast("double").alias("lexical"), none.cast(rows.schema["ev"].dataType).alias("ev"), F.lit(True).alias("exact"), F.lit(False).alias("named_in")))

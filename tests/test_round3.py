@@ -226,7 +226,7 @@ def test_exact_evidence_cuts_names_once_and_parses_sources_only(spark):
 
     body = "import os\nX = [1]\nclass Box:\n    @property\n    def size(self):\n        return os.sep\n    @size.setter\n    def size(self, v):\n        def inner(): pass\nif X:\n    def late_one(a=f(1)):\n        return g(a)\n"
     files = spark.createDataFrame([("a.py", "python", "h", body.encode()), ("b.py", "python", "i", b"def broken(:"), ("c.py", "python", "j", b"def f(): pass\ndef f(): pass\n")], "path string, language string, hash string, content binary")
-    brief, whole = ({r.path: r for r in python_parser.parse(files, d).collect()} for d in (False, True))
+    brief, whole = ({r.path: r for r in python_parser.parse(files.withColumn("details", F.lit(d))).collect()} for d in (False, True))
     same = ["id", "name", "qualname", "kind", "start", "end", "source", "parent", "is_test"]
     for path, n in (("a.py", 6), ("b.py", 0), ("c.py", 0)):
         assert [[s[c] for c in same] for s in brief[path].symbols] == [[s[c] for c in same] for s in whole[path].symbols] and len(brief[path].symbols) == n

@@ -27,11 +27,12 @@ def _row(df: DataFrame, id_col: str, score: Column, role: str, detail: Column, o
     return df.select("task_id", F.col(id_col).alias("id"), score.cast("double").alias("score"), F.lit(role).alias("role"), detail.alias("detail"), F.lit(offer).alias("offer"), F.col("rank").alias("anchor"))
 
 
-def task_candidates(anchors: DataFrame, symbols: DataFrame, edges: DataFrame, tests: DataFrame, intent: str, behavior: bool = False) -> DataFrame:
+def task_candidates(anchors: DataFrame, symbols: DataFrame, edges: DataFrame, tests: DataFrame, intent: str, behavior: bool = False, once: bool = False) -> DataFrame:
     """Anchors (task_id, id, rank from 0, score, evidence) with parents, dependencies, callers and tests.
 
     ``edges`` are resolved; ``tests`` (task_id, anchor_id, id, rank) are those found relevant.  Each symbol keeps its
-    best offer; of equal offers the first one, in the order anchor by anchor and role by role.
+    best offer; of equal offers the first one, in the order anchor by anchor and role by role.  With ``once`` offers are dealt by
+    symbol, so that they need no further exchange to meet their symbols in ``render``.
     """
     rank = F.col("rank")
     known = shared.written(anchors.join(symbols.select("id", "path", "parent"), "id"), "anchors")  # read by four roles
@@ -48,6 +49,7 @@ def task_candidates(anchors: DataFrame, symbols: DataFrame, edges: DataFrame, te
         out = out.unionByName(_row(e.withColumn("n", F.row_number().over(w)).where("n <= 4"), "source", 640 - rank * 20, "caller", outline, 3))
     if intent in ("edit", "impact", "test"):
         out = out.unionByName(_row(tests, "id", 820 - rank * 20, "test", F.lit("full" if intent in ("edit", "test") else "outline"), 4))
+    out = shared.dealt(out, "id") if once else out
     return shared.top(out, ["task_id", "id"], [F.desc("score"), F.col("anchor"), F.col("offer")], 1, "best").select(*CANDIDATE)
 
 
@@ -104,26 +106,31 @@ def _as_blocks(df: DataFrame) -> DataFrame:
 
 
 def _gathered(candidates: DataFrame, columns: list[str]) -> DataFrame:
-    """A task's candidates (a few hundred at most, by the retrieval limits) as one array."""
-    return candidates.groupBy("task_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
+    """A task's candidates (a few hundred at most, by the retrieval limits) as one array; rows are exchanged before they are
+    gathered, as arrays of them take twice the room."""
+    return candidates.select("task_id", *columns).repartition("task_id").groupBy("task_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
 
 
-def _flat(groups) -> tuple[list[range], dict[str, list]]:
-    """An Arrow column of arrays of structs as flat lists, one a field (arrays as sets), and each row's places in them.
+def _flat(groups, names: list[str]) -> tuple[list[range], dict[str, list]]:
+    """An Arrow column of arrays of structs: each row's places in the flat lists of the named fields that it has (of arrays, sets of
+    numbers that stand for their values in this batch).
 
     Nested rows cost far more to turn into Python's objects one by one than flat columns do."""
     def places(column) -> list[range]:
-        ends = [0, *accumulate(n or 0 for n in column.value_lengths().to_pylist())]
+        ends = [0, *accumulate(n or 0 for n in plain(column.value_lengths()))]
         return [range(a, b) for a, b in pairwise(ends)]
 
+    def plain(column) -> list:
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
     def values(column) -> list:
         if not hasattr(column, "value_lengths"):
-            return column.to_pylist()
-        flat = column.flatten().to_pylist()
-        return [frozenset(flat[r.start : r.stop]) if ok else None for r, ok in zip(places(column), column.is_valid().to_pylist(), strict=True)]
+            return plain(column)
+        numbers = plain(column.flatten().dictionary_encode().indices)
+        return [frozenset(numbers[r.start : r.stop]) if ok else None for r, ok in zip(places(column), plain(column.is_valid()), strict=True)]
 
     items = groups.flatten()
-    return places(groups), {f.name: values(c) for f, c in zip(items.type, items.flatten(), strict=True)}
+    return places(groups), {f.name: values(c) for f, c in zip(items.type, items.flatten(), strict=True) if f.name in names}
 
 
 def overlap(terms: frozenset | None, chosen: list[frozenset]) -> float:
@@ -155,36 +162,43 @@ def greedy(candidates: DataFrame, budget: int | None, count=None) -> DataFrame:
     import pyarrow as pa
 
     def pack(rows: range, ids, scores, roles, sizes, terms, required, known, budgets, blocks) -> list[tuple[str, str, float]]:
-        left = {ids[i]: i for i in rows}
-        need = {k: 2 if roles[i] == "task-anchor" else 1 if required[i] else 0 for k, i in left.items()}
+        left = list({ids[i]: i for i in rows}.values())
+        need = {i: 2 if roles[i] == "task-anchor" else 1 if required[i] else 0 for i in left}
+        cost = {i: ROLE_COST.get(roles[i], 120) for i in left}
         met = dict.fromkeys(left, 0.0)  # the greatest overlap so far; a choice can only raise it
-        value = lambda k: marginal(scores[left[k]], sizes[left[k]], ROLE_COST.get(roles[left[k]], 120), met[k])
-        values = {k: value(k) for k in left}
+        values = {i: marginal(scores[i], sizes[i], cost[i], 0.0) for i in left}
+        places = {i: (need[i], values[i], scores[i], ids[i]) for i in left}
         used, out, whole, limit = 0, [], "", budgets[rows[0]] if budget is None else budget
         while left:
-            for k in [k for k in left if values[k] < VALUE_FLOOR and not need[k]]:
-                out.append((k, "pruned", values[k]))
-                del left[k]
+            low = {i for i in left if values[i] < VALUE_FLOOR and not need[i]}
+            if low:
+                out += [(ids[i], "pruned", values[i]) for i in left if i in low]
+                left = [i for i in left if i not in low]
             if not left:
                 break
-            best = max(left, key=lambda k: (need[k], values[k], scores[left[k]], k))
-            i = left.pop(best)
+            i = max(left, key=places.__getitem__)
+            left.remove(i)
             fits = used + sizes[i] <= limit if count is None else count(whole + blocks[i]) <= limit
             if known[i] or fits:
-                for k, j in left.items():
-                    shared_part = overlap(terms[j], [terms[i]])
-                    if shared_part > met[k]:
-                        met[k] = shared_part
-                        values[k] = value(k)
+                own = terms[i] or frozenset()
+                for j in left if own else ():
+                    other = terms[j] or frozenset()
+                    both = len(other & own)
+                    shared_part = both / (len(other) + len(own) - both)
+                    if shared_part > met[j]:
+                        met[j] = shared_part
+                        values[j] = marginal(scores[j], sizes[j], cost[j], shared_part)
+                        places[j] = (need[j], values[j], scores[j], ids[j])
                 used += 0 if known[i] else sizes[i]
                 whole += "" if known[i] or count is None else blocks[i]
-            out.append((best, "reused" if known[i] else "included" if fits else "omitted", values[best]))
+            out.append((ids[i], "reused" if known[i] else "included" if fits else "omitted", values[i]))
         return out
 
     def run(batches):
         for b in batches:
-            places, c = _flat(b.column(1))
-            fields = [c.get(f) for f in ("id", "score", "role", "bytes", "terms", "required", "known", "budget", "block")]
+            names = ["id", "score", "role", "bytes", "terms", "required", "known", "budget", "block"]
+            places, c = _flat(b.column(1), names)
+            fields = [c.get(f) for f in names]
             tasks, out = b.column(0), [pack(rows, *fields) for rows in places]
             at = pa.array([i for i, rows in enumerate(out) for _ in rows], pa.int64())
             flat = [(place, *row) for rows in out for place, row in enumerate(rows)]
@@ -220,7 +234,7 @@ def frontier(candidates: DataFrame, budget: int) -> DataFrame:
     own = candidates.where(F.col("role").isin(list(FRONTIER_BASE))).select("task_id", item.alias("c"))
     rows = own.groupBy("task_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
 
-    def fold(rows: range, ids, roles, sizes, terms, used) -> list[tuple[str, str, str]]:
+    def fold(rows: range, roles, sizes, terms, used) -> list[str]:
         total, met, chosen, out = used[rows[0]], set(), [], []
         for i in rows:
             role, size = roles[i], sizes[i]
@@ -233,16 +247,17 @@ def frontier(candidates: DataFrame, budget: int) -> DataFrame:
                 met.add(role)
                 if terms[i]:
                     chosen.append(terms[i])
-            out.append((ids[i], role, state))
+            out.append(state)
         return out
 
     def run(batches):
+        names = ["role", "bytes", "terms", "used"]
         for b in batches:
-            places, c = _flat(b.column(1))
-            folded = [fold(rows, *(c[f] for f in ("id", "role", "bytes", "terms", "used"))) for rows in places]
+            places, c = _flat(b.column(1), names)
+            states = pa.array([x for rows in places for x in fold(rows, *(c[f] for f in names))], pa.string())
             at = pa.array([i for i, rows in enumerate(places) for _ in rows], pa.int64())
-            flat = [x for rows in folded for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array([x[i] for x in flat], pa.string()) for i in range(3))], ["task_id", "id", "role", "state"])
+            items = b.column(1).flatten()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(items.field(f) for f in ("id", "role")), states], ["task_id", "id", "role", "state"])
 
     kind = candidates.schema["task_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"task_id {kind}, id string, role string, state string")

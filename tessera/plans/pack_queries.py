@@ -50,10 +50,10 @@ UNION ALL SELECT task_id, target, 800, 'test', 'outline', 4 FROM t JOIN edges ON
 SELECT task_id, id, score, role, detail FROM u QUALIFY row_number() OVER (PARTITION BY task_id, id ORDER BY score DESC, o) = 1"""
 
 
-def _anchored(spark, sf):
+def _anchored(spark, sf, once=False):
     anchors = _targets(spark, sf).select(F.expr("task_id div 2").alias("task_id"), "id", (F.col("task_id") % 2).cast("int").alias("rank"), (F.col("task_id") * 7 % 150).cast("double").alias("score"), F.array(F.lit("order")).alias("evidence"))
     tests = _tests(spark, sf, anchors.select("task_id", "id")).join(anchors.where("rank = 0").select("task_id", "rank"), "task_id").distinct()
-    return pack.task_candidates(anchors, _nodes(spark, sf), b.edges(spark, sf).where("kind <> 'reference'"), tests, "edit")
+    return pack.task_candidates(anchors, _nodes(spark, sf), b.edges(spark, sf).where("kind <> 'reference'"), tests, "edit", once=once)
 
 
 def candidates_dedupe(spark, sf):
@@ -71,7 +71,7 @@ SELECT task_id, id, CAST(score AS DOUBLE) AS score, role, detail FROM u QUALIFY
 
 
 def _blocks(spark, sf):
-    out = pack.render(_anchored(spark, sf), _nodes(spark, sf), once=True)
+    out = pack.render(_anchored(spark, sf, once=True), _nodes(spark, sf), once=True)
     return out.withColumn("required", F.col("role") == "task-anchor").withColumn("known", F.col("id").endswith("7"))
 
 
@@ -81,6 +81,7 @@ def greedy_value_pack(spark, sf):
 
 def frontier_pack(spark, sf):
     d = _blocks(spark, sf).where("role <> 'task-anchor' and role <> 'parent'")
+    d = d.select("task_id", "id", "role", "bytes", "terms").repartition("task_id")  # for places by role and for whole tasks
     rows = d.select("task_id", "id", "role", F.row_number().over(_by("task_id", "role", "id")).alias("ord"), "bytes", "terms", F.lit(200).alias("used"))
     return pack.frontier(rows, 800)
 
